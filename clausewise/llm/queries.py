@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import fingerprint_edits
+from .jaccard_join import ngram_jaccard_join
 from .store import table
 from .substring_dedup import substring_dedup
+from .token_counts import length_histogram, length_profile
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,5 +36,23 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
-QUERIES = {"op5_substring_dedup": op5_substring_dedup}
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_profile(length_histogram(table(spark, sf_dir, "documents")))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op10_document_fingerprints": op10_document_fingerprints,
+}
 SQL = {"op5_substring_dedup": OP5_SQL}
