@@ -54,10 +54,10 @@ def bit_filter(keys: DataFrame, column: str, bits: int):
         keys.select(spot.alias("b"))
         .groupBy(F.shiftright("b", 6).cast("int").alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v"))
-        .toPandas()
+        .toArrow()
     )
     words = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    words[packed["w"].to_numpy(dtype=np.int64)] = packed["v"].to_numpy(dtype=np.int64).view(np.uint64)
+    words[packed.column("w").to_numpy()] = packed.column("v").to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(words)
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from . import text as tx
 from .store import bit_filter, cut, passes
 
-FILTER_BITS = 26
+FILTER_BITS = 24
 SHINGLE = 5
 LAST = (1 << 63) - 1
 ADDED = ("n_words", "n_removed", "spans", "kept_text")
