@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, mixing, toxicity, warc
 from .fingerprints import fingerprint_edits
 from .jaccard_join import ngram_jaccard_join
+from .mips import mips_search
+from .sentencepiece import encode_documents
 from .store import table
 from .substring_dedup import substring_dedup
 from .token_counts import length_histogram, length_profile
@@ -49,10 +52,97 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = mixing.sizes(table(spark, sf_dir, "documents"))
+    out = mixing.mix(slim, mixing.by_rule(slim, (1.0, 2.0, 3.0)))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_position")
+
+
+OP1_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY source),
+w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS w FROM s),
+r AS (SELECT *, 3 * ss AS room, 3 * ss / w AS level, CAST(sum(ss) OVER () AS DOUBLE) AS total, sum(w) OVER () AS all_w FROM w),
+f AS (
+  SELECT *, coalesce(sum(room) OVER p, 0) AS room_before, coalesce(sum(w) OVER p, 0) AS w_before
+  FROM r WINDOW p AS (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+g AS (SELECT *, level * (all_w - w_before) < total - room_before AS is_full FROM f),
+t AS (
+  SELECT source, ss, CASE WHEN is_full THEN CAST(room AS DOUBLE)
+    ELSE w * (total - coalesce(sum(CASE WHEN is_full THEN room END) OVER (), 0)) / (all_w - coalesce(sum(CASE WHEN is_full THEN w END) OVER (), 0)) END AS target
+  FROM g
+),
+c AS (
+  SELECT d.doc_id, d.size, t.ss, t.target,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+),
+k AS (
+  SELECT *, CAST(floor(target) AS BIGINT) AS goal FROM c
+)
+SELECT doc_id, size, ss AS source_size, target,
+  greatest(0, least(size, goal - x)) + greatest(0, least(size, goal - x - ss)) + greatest(0, least(size, goal - x - 2 * ss)) AS taken,
+  CASE WHEN size > 0 AND goal > x THEN CAST(x AS DOUBLE) / target END AS first_position
+FROM k
+"""
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(index, folder).drop("payload", "url")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, sha1(html) AS h FROM p),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM t
+"""
+
+
+def op4_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mips_search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def _fold(mod: int, left: int):
+    """Whether a row is held out: crc32 of the id as text, modulo."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == left, F.lit(False))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~_fold(4, 2)))
+    return language_id.predict(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~_fold(5, 0)))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", _fold(5, 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
+    "op3_warc": op3_warc,
+    "op4_mips": op4_mips,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_toxicity": op8_toxicity,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
-SQL = {"op5_substring_dedup": OP5_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op5_substring_dedup": OP5_SQL}

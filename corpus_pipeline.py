@@ -5,25 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewise.llm import mixing, toxicity
+from clausewise.llm.jaccard_join import SENT, ngram_jaccard_join
+from clausewise.llm.sentencepiece import encode_documents
 from clausewise.llm.store import cut, table
 from clausewise.llm.substring_dedup import substring_dedup
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted as toxic go. Labels whose crc32(doc_id) mod 5 is 0 are held out of the fit."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents linked at a similarity of 0.8 or more, the one with the least id stays.
+
+    Rows that share an id are one document, of which the row with the least hash of its text stays. Rows
+    without an id, and texts without words, have no links and stay.
+    """
+    rest = cut(ngram_jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct(), "near_copies")
+    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    small = lambda df: F.broadcast(df) if df.count() <= SENT else df
+    kept = docs.join(small(rest), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    twice = kept.join(small(repeated), "doc_id", "left_semi")
+    least = twice.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("d")).select("d.*")
+    return kept.join(small(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(least)
+
+
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 20 words or more that also start earlier; untouched texts stay as they are."""
+    """Passages of 20 words or more that also start earlier are cut out; untouched texts stay as they are."""
     out = substring_dedup(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-STAGES = [("substring dedup", drop_repeats)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources weigh 1, 2, 3 in turn and repeat at most 3 times; one row per copy taken, in training order."""
+    rows = mixing.sizes(docs, keep=True)
+    return mixing.training_order(rows, mixing.by_rule(mixing.sizes(docs), (1.0, 2.0, 3.0)), 3).select("doc.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as token ids, with a check that they decode to it."""
+    return encode_documents(docs).drop("decoded")
+
+
+STAGES = [("toxicity", drop_toxic), ("n-gram Jaccard join", drop_near_copies), ("substring dedup", drop_repeats), ("mixing", mix_sources), ("SentencePiece", encode)]
+#: Models and sampled joins take part, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs, f"stage{i}")
