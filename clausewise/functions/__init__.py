@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: text, geometry and similarity rules of contract documents."""
