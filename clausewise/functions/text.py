@@ -53,6 +53,11 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim of all Unicode white space."""
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
@@ -63,15 +68,18 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, f"{WS}+", " ")
 
 
-def find_all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def find_all(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(group))
 
 
 def distinct_by_case(words: Column) -> Column:
     """First of each word in order, letter case apart; the first spelling stays."""
-    low = F.transform(words, F.lower)
-    at = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_position(low, F.element_at(low, i)) == i)
-    return F.when(F.size(words) > 0, F.transform(at, lambda i: F.element_at(words, i.cast("int")))).otherwise(words)
+
+    def firsts(w):
+        low = F.transform(w["w"], F.lower)
+        return let(low, lambda lo: F.filter(w["w"], lambda x, i: F.array_position(lo, F.lower(x)) == i + 1))
+
+    return let(F.struct(words.alias("w")), firsts)
 
 
 def anchor_words(text: Column) -> Column:
@@ -98,20 +106,22 @@ def distinctive_tokens(name: Column) -> Column:
     return F.when(blank, F.array().cast("array<string>")).otherwise(distinct_by_case(F.concat(phrases, capital)))
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """All matches in order as array<struct<start, stop, matched>>; the pattern must not match the empty string.
 
     The pieces between matches and the matches alternate, so running lengths give the offsets.
     """
-    found = find_all(text, pattern)
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.transform(gaps, F.length), F.transform(found, F.length), lambda g, m: F.struct(F.coalesce(g, F.lit(0)).alias("g"), F.coalesce(m, F.lit(0)).alias("m")))
-    start = F.aggregate(
-        sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, s: F.struct((a["at"] + s["g"] + s["m"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["g"])).alias("starts")),
-        lambda a: a["starts"],
-    )
-    return F.transform(found, lambda m, i: F.struct(F.get(start, i).alias("start"), (F.get(start, i) + F.length(m)).alias("stop"), m.alias("matched")))
+
+    def of(b):
+        sizes = F.zip_with(F.transform(b["gaps"], F.length), F.transform(b["found"], F.length), lambda g, m: F.struct(F.coalesce(g, F.lit(0)).alias("g"), F.coalesce(m, F.lit(0)).alias("m")))
+        start = F.aggregate(
+            sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+            lambda a, s: F.struct((a["at"] + s["g"] + s["m"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["g"])).alias("starts")),
+            lambda a: a["starts"],
+        )
+        return let(start, lambda at: F.transform(b["found"], lambda m, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(m)).alias("stop"), m.alias("matched"))))
+
+    return let(F.struct(find_all(text, pattern).alias("found"), F.split(text, pattern, -1).alias("gaps")), of)
 
 
 def signature_line(text: Column) -> Column:
@@ -130,25 +140,19 @@ def in_role_phrase(before: Column, matched: Column, tokens: Column) -> Column:
 
     For every occurrence of a token, the 30 characters before it are read.
     """
-    whole = F.lower(F.concat(before, F.lit(" "), matched))
     roles = F.array(*map(F.lit, ROLE_WORDS))
 
-    def hit(token):
-        parts = F.split(whole, F.concat(F.lit("\\Q"), F.lower(token), F.lit("\\E")), -1)
-        # The text before the i-th occurrence is the first i pieces joined by the token.
-        return F.exists(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda i: F.arrays_overlap(roles, _last(F.filter(find_all(F.substr(_tail(F.array_join(F.slice(parts, F.lit(1), i.cast("int")), "\x00"), token), F.lit(1), F.lit(30)), "[а-яёa-z]+"), lambda w: w != ""), 3)),
-        ) & (F.size(parts) > 1)
+    def named(preceding):
+        return let(find_all(preceding, "[а-яёa-z]+"), lambda words: F.arrays_overlap(roles, F.slice(words, F.greatest(F.lit(1), F.size(words) - 2), F.lit(3))))
 
-    def _tail(joined, token):
-        text = F.replace(joined, F.lit("\x00"), F.lower(token))
-        return F.right(text, F.lit(30))
+    def hit(whole, token):
+        def each(parts):
+            size = lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * F.length(token)
+            return F.when(F.size(parts) > 1, F.exists(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: named(F.right(F.left(whole, size(k)), F.lit(30))))).otherwise(False)
 
-    def _last(words, n):
-        return F.slice(words, F.greatest(F.lit(1), F.size(words) - n + 1), F.lit(n))
+        return let(F.split(whole, escaped(F.lower(token)), -1), each)
 
-    return F.exists(tokens, hit)
+    return let(F.lower(F.concat(before, F.lit(" "), matched)), lambda whole: F.exists(tokens, lambda t: hit(whole, t)))
 
 
 def escaped(text: Column) -> Column:

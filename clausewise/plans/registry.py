@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matching
+from . import matching, searching
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (matching,)
+MODULES = (matching, searching)
 
 
 def queries() -> dict[str, Query]:
