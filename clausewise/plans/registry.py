@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matching, searching
+from . import language, matching, searching
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (matching, searching)
+MODULES = (matching, searching, language)
 
 
 def queries() -> dict[str, Query]:

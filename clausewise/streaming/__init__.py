@@ -1 +1,20 @@
-"""Streaming of the engine."""
+"""Matching documents as they arrive. An extension: the batch operators run on every micro-batch."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+
+def each_batch(arriving: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Run ``work`` on every micro-batch and append its rows below ``out``, one folder a batch.
+
+    The folder is named by the batch, so a batch that is run again replaces its own rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
