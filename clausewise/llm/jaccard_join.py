@@ -295,7 +295,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")).where("a != b"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of_rep = classes.select("one", "two", "rep", "copies").join(links, "rep", "left").join(label.withColumnRenamed("v", "rep"), "rep", "left")
-    of_doc = keys.select("id", "one", "two").join(of_rep, ["one", "two"]).groupBy("id").agg(
+    of_doc = keys.select("id", "one", "two").distinct().join(of_rep, ["one", "two"]).groupBy("id").agg(
         F.min(F.coalesce("label", "rep")).alias("class_id"), F.max("copies").alias("n_copies"), F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return (
