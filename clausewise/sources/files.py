@@ -72,7 +72,8 @@ class Catalog:
     def list_prefix(self, prefix: str) -> DataFrame:
         """(path) of all files whose relative path starts with ``prefix``, in order."""
         found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root)
-        relative = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").substr(F.lit(len(self.root.split(":", 1)[-1].replace("//", "/")) + 2), F.lit(4096))
+        plain = "/" + self.root.split(":/", 1)[-1].lstrip("/")
+        relative = F.substr(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), F.lit(len(plain) + 2))
         return found.select(relative.alias("path")).where(F.col("path").startswith(prefix)).orderBy("path")
 
     def read_text(self, name: str) -> str | None:
