@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -50,12 +50,17 @@ def for_spark(pattern: str) -> str:
     return "(?iu)" + pattern.replace("(?P<", "(?<")
 
 
-def party_tokens(party: Party) -> Column:
-    """Identifying words of the party's aliases and signer, each once."""
+def party_tokens(party: Party, spark: SparkSession) -> Column:
+    """Identifying words of the party's aliases and signer, each once, as a literal.
+
+    The rule is folded over one local row, so plans carry the words and not the rule.
+    """
     names = [*party.aliases, *([party.signer] if party.signer else [])]
     if not names:
         return F.array().cast("array<string>")
-    return tx.distinct_by_case(F.concat(*[tx.alias_tokens(F.lit(n)) for n in names]))
+    rule = tx.distinct_by_case(F.concat(*[tx.alias_tokens(F.lit(n)) for n in names]))
+    words = spark.sql("SELECT 1").select(rule.alias("words")).first()["words"]
+    return F.array(*map(F.lit, words)).cast("array<string>")
 
 
 def with_lines(pages: DataFrame) -> DataFrame:
@@ -73,13 +78,14 @@ def pattern_spans(text: Column, patterns) -> Column:
 def signature_candidates(rows: DataFrame, party: Party) -> DataFrame:
     """Adds ``found``: matches that hold a line to sign on, name no post and no other party.
 
-    Of equal spans the first pattern's counts, before other parties are looked at. Every step is a column of
-    its own, so that none is computed twice.
+    Of equal spans the first pattern's counts, before other parties are looked at. Pages without a line to
+    sign on go first, by one cheap test. Every step is a column of its own and none is filtered on, as a
+    filter would be pushed below the column and compute it again.
     """
-    text, tokens = F.col("text"), party_tokens(party)
+    text, tokens = F.col("text"), party_tokens(party, rows.sparkSession)
     before = lambda s: F.substr(text, F.greatest(F.lit(0), s["start"] - 40) + 1, F.least(s["start"], F.lit(40)))
     others = [a.strip().lower() for a in party.other_aliases if len(a.strip()) >= 3]
-    rows = rows.withColumn("_all", pattern_spans(text, [(i, p) for i, p in enumerate(party.patterns) if admissible(p)])).where(F.size("_all") > 0)
+    rows = rows.where(tx.signature_line(text)).withColumn("_all", pattern_spans(text, [(i, p) for i, p in enumerate(party.patterns) if admissible(p)]))
     rows = rows.withColumn("_kept", F.filter("_all", lambda s: tx.signature_line(s["matched"]) & ~tx.in_role_phrase(before(s), s["matched"], tokens)))
     rows = rows.withColumn("_first", F.filter("_kept", lambda s, i: ~F.exists(F.slice("_kept", F.lit(1), i), lambda e: (e["start"] == s["start"]) & (e["stop"] == s["stop"]))))
     named = lambda s: F.greatest(*[F.lower(s["matched"]).contains(a) for a in others], F.lit(False), F.lit(False))
@@ -88,7 +94,7 @@ def signature_candidates(rows: DataFrame, party: Party) -> DataFrame:
 
 def raw_matches(pages: DataFrame, party: Party) -> DataFrame:
     """Per page its candidates with rectangles on a line to sign on, numbered through the document."""
-    rows = signature_candidates(with_lines(pages), party).where(F.size("found") > 0)
+    rows = signature_candidates(with_lines(pages), party)
     rows = rows.withColumn("lines", geo.line_rects(F.col("page_lines")))
 
     def placed(s):
