@@ -52,17 +52,20 @@ def string_items(raw: Column) -> Column:
 
 def our_side(raw: Column) -> Column:
     """Our side in a reply: struct with error null, or the error; an index and a confidence of 0.5 are needed."""
-    value = json_object(raw)
-    get = lambda path, kind: F.try_variant_get(value, path, kind)
-    confidence = F.coalesce(get("$.confidence", "double"), F.lit(0.0))
-    error = F.when(value.isNull(), "no JSON").when(get("$.our_side_index", "int").isNull() | (confidence < 0.5), "side not found")
-    ok = error.isNull()
-    return F.struct(
-        F.when(ok, F.coalesce(get("$.our_side_synonyms.legal_entity", "string"), F.lit(""))).alias("legal_entity"),
-        F.when(ok, F.coalesce(get("$.our_side_synonyms.roles", "array<string>"), F.array().cast("array<string>"))).alias("roles"),
-        F.when(ok, F.coalesce(get("$.our_side_synonyms.signer", "string"), F.lit(""))).alias("signer"), F.when(ok, confidence).alias("confidence"),
-        F.when(ok, get("$.all_parties", "array<struct<legal_entity: string, role: string, signer: string>>")).alias("all_parties"), error.alias("error"),
-    )
+
+    def side(value):
+        get = lambda path, kind: F.try_variant_get(value, path, kind)
+        confidence = F.coalesce(get("$.confidence", "double"), F.lit(0.0))
+        error = F.when(value.isNull(), "no JSON").when(get("$.our_side_index", "int").isNull() | (confidence < 0.5), "side not found")
+        ok = error.isNull()
+        return F.struct(
+            F.when(ok, F.coalesce(get("$.our_side_synonyms.legal_entity", "string"), F.lit(""))).alias("legal_entity"),
+            F.when(ok, F.coalesce(get("$.our_side_synonyms.roles", "array<string>"), F.array().cast("array<string>"))).alias("roles"),
+            F.when(ok, F.coalesce(get("$.our_side_synonyms.signer", "string"), F.lit(""))).alias("signer"), F.when(ok, confidence).alias("confidence"),
+            F.when(ok, get("$.all_parties", "array<struct<legal_entity: string, role: string, signer: string>>")).alias("all_parties"), error.alias("error"),
+        )
+
+    return let(json_object(raw), side)
 
 
 def reply_patterns(raw: Column) -> Column:

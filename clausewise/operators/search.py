@@ -75,37 +75,42 @@ def pattern_spans(text: Column, patterns) -> Column:
     return F.concat(*found) if found else F.array().cast(NONE)
 
 
-def signature_candidates(rows: DataFrame, party: Party) -> DataFrame:
-    """Adds ``found``: matches that hold a line to sign on, name no post and no other party.
+def candidates(rows: DataFrame, spans: Column, tokens: Column, others: Column) -> DataFrame:
+    """Adds ``found``: of the ``spans``, those that hold a line to sign on, name no post and no other party.
 
     Of equal spans the first pattern's counts, before other parties are looked at. Pages without a line to
     sign on go first, by one cheap test. Every step is a column of its own and none is filtered on, as a
     filter would be pushed below the column and compute it again.
     """
-    text, tokens = F.col("text"), party_tokens(party, rows.sparkSession)
+    text = F.col("text")
     before = lambda s: F.substr(text, F.greatest(F.lit(0), s["start"] - 40) + 1, F.least(s["start"], F.lit(40)))
-    others = [a.strip().lower() for a in party.other_aliases if len(a.strip()) >= 3]
-    rows = rows.where(tx.signature_line(text)).withColumn("_all", pattern_spans(text, [(i, p) for i, p in enumerate(party.patterns) if admissible(p)]))
+    rows = rows.where(tx.signature_line(text)).withColumn("_all", spans)
     rows = rows.withColumn("_kept", F.filter("_all", lambda s: tx.signature_line(s["matched"]) & ~tx.in_role_phrase(before(s), s["matched"], tokens)))
     rows = rows.withColumn("_first", F.filter("_kept", lambda s, i: ~F.exists(F.slice("_kept", F.lit(1), i), lambda e: (e["start"] == s["start"]) & (e["stop"] == s["stop"]))))
-    named = lambda s: F.greatest(*[F.lower(s["matched"]).contains(a) for a in others], F.lit(False), F.lit(False))
-    return rows.withColumn("found", F.filter("_first", lambda s: ~named(s))).drop("_all", "_kept", "_first")
+    return rows.withColumn("found", F.filter("_first", lambda s: ~F.exists(others, lambda a: F.contains(F.lower(s["matched"]), a)))).drop("_all", "_kept", "_first")
 
 
-def raw_matches(pages: DataFrame, party: Party) -> DataFrame:
-    """Per page its candidates with rectangles on a line to sign on, numbered through the document."""
-    rows = signature_candidates(with_lines(pages), party)
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds ``raw``: the candidates of ``found`` with their rectangles on a line to sign on, numbered through the document."""
     rows = rows.withColumn("lines", geo.line_rects(F.col("page_lines")))
 
-    def placed(s):
+    def boxes(s):
         good = F.filter(geo.text_rects(F.col("page_lines"), s["matched"]), lambda r: (r["y1"] - r["y0"] <= geo.MAX_HEIGHT) & F.exists("lines", lambda u: geo.touches(u, r)))
         return F.transform(good, lambda r: F.struct(s.alias("s"), r.alias("r")))
 
-    rows = rows.withColumn("raw", F.flatten(F.transform("found", placed)))
+    rows = rows.withColumn("raw", F.flatten(F.transform("found", boxes)))
     before = Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum(F.size("raw")).over(before), F.lit(0)))
     numbered = F.transform("raw", lambda m, i: F.struct((F.col("before") + i + 1).cast("int").alias("seq"), m["s"].alias("s"), m["r"].alias("r")))
-    return rows.withColumn("raw", numbered).select("doc_id", "page_num", "text", "raw")
+    return rows.withColumn("raw", numbered).drop("lines", "before", "found")
+
+
+def raw_matches(pages: DataFrame, party: Party) -> DataFrame:
+    """Per page the matches of one party before suppression."""
+    others = F.array(*[F.lit(a.strip().lower()) for a in party.other_aliases if len(a.strip()) >= 3]).cast("array<string>")
+    spans = pattern_spans(F.col("text"), [(i, p) for i, p in enumerate(party.patterns) if admissible(p)])
+    rows = candidates(with_lines(pages), spans, party_tokens(party, pages.sparkSession), others)
+    return placed(rows).select("doc_id", "page_num", "text", "raw")
 
 
 def listed(rows: DataFrame, column: str, party: Party, prefix: str = "sig") -> DataFrame:
@@ -152,6 +157,15 @@ def page_hint(page: Column, n: Column) -> Column:
     return F.when(page == 0, "first").when(page == n - 1, "last").otherwise(page.cast("string"))
 
 
+def located(pages: DataFrame, locations: DataFrame) -> DataFrame:
+    """Places that a model named (doc_id, pos, page from 1, text_marker, context), with rectangles and confidence 0.7."""
+    rows = locations.where("text_marker <> ''").withColumn("page_num", F.col("page") - 1).join(with_lines(pages).select("doc_id", "page_num", "page_lines"), ["doc_id", "page_num"])
+    rows = rows.select("*", F.posexplode(geo.marker_rects(F.col("page_lines"), F.col("text_marker"))).alias("rect_order", "r"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "rect_order")).cast("string"))
+    name = F.concat(F.lit("llm_"), F.lpad("k", F.greatest(F.lit(3), F.length("k")), F.lit("0")))
+    return rows.select("doc_id", name.alias("match_id"), "page_num", F.col("r.x0").alias("x0"), F.col("r.y0").alias("y0"), F.col("r.x1").alias("x1"), F.col("r.y1").alias("y1"), F.substring(F.coalesce("context", "text_marker"), 1, 100).alias("context"), F.lit("llm_fallback").alias("pattern"), F.lit(0.7).alias("confidence"))
+
+
 def apply_anchors(pages: DataFrame, anchors: DataFrame) -> DataFrame:
     """A template's anchors on a document: (doc_id, match_id, page_num, box, context, pattern).
 
