@@ -276,13 +276,13 @@ SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, 1::DOUBLE - CASE WHE
 
 def names_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
-    key = F.expr("case c_custkey % 4 when 0 then '' when 1 then concat('sk-ant-api03-', c_custkey) when 2 then concat('key', c_custkey * 1000003) else c_name end")
+    key = F.expr("case c_custkey % 4 when 0 then '' when 1 then concat('ab-cd-ef03-', c_custkey) when 2 then concat('key', c_custkey * 1000003) else c_name end")
     path = F.expr("concat(c_name, element_at(array('.PDF', '.docx', '.txt', ''), cast(1 + c_custkey % 4 as int)))")
     name = rg.template_name(F.lit("ru"), F.lit("2024-01-01_0000"), F.when(F.col("c_custkey") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("Lease of "), F.col("c_name"))))
     return rows.select("c_custkey", rg.masked_key(key).alias("masked"), pr.decoder_of(path).alias("decoder"), name.alias("template_name"))
 
 
-NAMES_AND_KEYS = """WITH k AS (SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'sk-ant-api03-' || c_custkey WHEN 2 THEN 'key' || (c_custkey * 1000003) ELSE c_name END AS k FROM customer)
+NAMES_AND_KEYS = """WITH k AS (SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'ab-cd-ef03-' || c_custkey WHEN 2 THEN 'key' || (c_custkey * 1000003) ELSE c_name END AS k FROM customer)
 SELECT c_custkey, CASE WHEN k = '' THEN '' WHEN len(string_split(k, '-')) >= 3 THEN array_to_string(string_split(k, '-')[1:3], '-') || '-***' ELSE substr(k, 1, 8) || '-***' END AS masked, CASE c_custkey % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'unsupported' END AS decoder,
   'pipelineAuto1_2024-01-01_0000_ru' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '_' || replace(substr('Lease of ' || c_name, 1, 20), ' ', '_') END AS template_name FROM k"""
 
