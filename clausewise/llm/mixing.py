@@ -11,7 +11,7 @@ Within a source, documents stand in the order of a hash of their id, pass after
 among its source's words is inverted through the demand curve: the time at which the source's demand
 reaches that place is the training position. Sorting by range of position gives the training order.
 
-Scale. Sizes are computed once and written slim. Prefix sums come in two levels (sums of ``BUCKETS`` hash
+Scale. Sizes are written slim; what travels with a document is read again and shuffled for its window only. Prefix sums come in two levels (sums of ``BUCKETS`` hash
 buckets per source, then within a bucket), so a source with a third of all rows is dealt over all tasks.
 
 Defined results. A null text has size 0 and is taken 0 times. Null sources form a source of their own, last
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .store import cut
 
 BUCKETS = 4096
+#: Bucket sums that are sent to all executors (some 200 bytes each); more are joined by shuffle.
+SENT = 100_000
 WORD = r"[^\x20\x09-\x0D]++"
 
 
@@ -103,14 +105,17 @@ def assign(slim: DataFrame, schedule: DataFrame, max_repeats: int = 3) -> DataFr
     ``copies`` is array<struct<position: double, words: bigint>>: where in training each pass takes the
     document and how many of its words.
     """
-    slim = cut(slim, "sizes")
-    plan = demand(slim, schedule, max_repeats)
-    buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    thin = cut(slim.drop("doc"), "sizes")
+    rows = slim if "doc" in slim.columns else thin
+    plan = demand(thin, schedule, max_repeats)
+    buckets = thin.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     # The bucket table has at most BUCKETS rows a source and stands once for both lookups.
     b = buckets.join(plan, buckets["source"].eqNullSafe(plan["source"])).select(buckets["source"].alias("s"), F.col("bucket").alias("k"), "before", "source_size", "target", "curve")
-    rows = slim.join(b, slim["source"].eqNullSafe(b["s"]) & (slim["bucket"] == b["k"]))
+    b = cut(b, "buckets")
+    near = F.broadcast(b) if b.count() <= SENT else b
+    rows = rows.join(near, rows["source"].eqNullSafe(b["s"]) & (rows["bucket"] == b["k"]))
     inside = Window.partitionBy("source", "bucket").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     position = (
