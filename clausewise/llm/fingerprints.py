@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .store import small_batches
 
 K = 128
 SHINGLE = 5
@@ -109,16 +110,17 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.mapInArrow(job, "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def in_order(base: DataFrame, target: int = 16 << 20, most: int = 100_000) -> DataFrame:
-    """Rows (key, mark, text ...) in ranges of the key, each range with the row that follows it.
+def in_order(base: DataFrame, target: int = 4 << 20, most: int = 100_000) -> DataFrame:
+    """Rows (key, mark, text ...) sorted in ranges of the key (``part``), each range with the row that follows it.
 
     The range bounds are keys that occur, so the row after a range is known beforehand: it is sent
     to that range too, marked as its tail (``tail`` = 1). The last range is followed by the first
-    row of all. One shuffle of the rows; only bounds and totals reach the driver.
+    row of all. One shuffle of the rows, to as many tasks as there are ranges of about ``target`` bytes;
+    only bounds and totals reach the driver.
     """
     total, least = base.agg(F.sum(F.octet_length("text") + 32), F.min("key")).first()
     if least is None:
-        return base.withColumn("part", F.lit(0)).withColumn("tail", F.lit(0))
+        return base.withColumn("part", F.lit(0)).withColumn("tail", F.lit(0))  # no rows
     parts = max(1, min(most, math.ceil((total or 0) / target)))
     bounds = []
     if parts > 1:
@@ -137,7 +139,8 @@ def in_order(base: DataFrame, target: int = 16 << 20, most: int = 100_000) -> Da
         rows = base.withColumn("part", F.lit(0))
     heads = base.sparkSession.createDataFrame([(b, i) for i, b in enumerate([*bounds, least])], "key long, part int")
     tails = base.join(F.broadcast(heads), "key").select(*base.columns, "part").withColumn("tail", F.lit(1))
-    return rows.withColumn("tail", F.lit(0)).unionByName(tails)
+    rows = rows.withColumn("tail", F.lit(0)).unionByName(tails)
+    return rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "tail", "key", "mark")
 
 
 def _edits(k, shingle):
@@ -179,10 +182,11 @@ def _edits(k, shingle):
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Fingerprints of every text and of its edit, whose second half is the next document's beginning."""
+    small_batches(docs.sparkSession)
     base = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("key"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("mark"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
-    rows = in_order(base).repartition("part").sortWithinPartitions("part", "tail", "key", "mark")
+    rows = in_order(base)
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.select("part", "tail", "id", "text").mapInArrow(_edits(k, shingle), schema).withColumnRenamed("id", id_col)
