@@ -31,13 +31,12 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .graph import components
-from .store import bit_filter, cut, passes
+from .store import Filter, cut, small_batches
 
 COORDS = 64
 SMALL = 4096
 DEPTH = 3
 BLOCK = 1000
-FILTER_BITS = 24
 #: Classes whose ids are sent to all executors rather than shuffling texts (16 bytes each).
 SENT = 250_000
 U = tx.U
@@ -106,8 +105,8 @@ def _children(node, values, threshold):
         yield at, tx.mix(tx.mix(node[go] + (c + U(1)) * U(0x9E3779B97F4A7C15)) ^ values[at, c.astype(np.int64)].astype(U))
 
 
-def _root(runs, threshold, bits):
-    """(node, rep, sig) of each class in all runs; with a filter only of nodes that may have others."""
+def _root(runs, threshold, known=None, whole=True):
+    """(node, rep, sig) of each class in all runs, or the nodes alone; with a filter only of nodes that may have others."""
 
     def job(batches):
         for batch in batches:
@@ -116,12 +115,12 @@ def _root(runs, threshold, bits):
             for run in range(runs):
                 root = np.full(len(rep), tx.mix(np.array([run + 1], dtype=U))[0])
                 for at, node in _children(root, sig, threshold):
-                    if bits is not None:
-                        ok = passes(bits.value, node, FILTER_BITS)
+                    if known:
+                        ok = known.passes(node)
                         at, node = at[ok], node[ok]
                     if len(at):
                         row = {"node": pa.array(node.view(np.int64))}
-                        yield pa.RecordBatch.from_pydict(row | ({"rep": pa.array(rep[at]), "sig": _binary(low[at])} if bits is not None else {}))
+                        yield pa.RecordBatch.from_pydict(row | ({"rep": pa.array(rep[at]), "sig": _binary(low[at])} if whole else {}))
 
     return job
 
@@ -280,12 +279,13 @@ def _gather(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(F.col(key)).sortWithinPartitions(key)
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, most_bits: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id_col, class_id, n_copies (equal sets) and n_links (other documents at or over the threshold)."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     keys = cut(base.where("id is not null and text is not null").mapInArrow(_signatures(k), "id long, one long, two long, sig binary"), "keys")
     classes = cut(keys.groupBy("one", "two").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"), F.first("sig").alias("sig")), "classes")
-    edges = _candidate_edges(classes.select("rep", "sig"), threshold, recall)
+    edges = _candidate_edges(classes.select("rep", "sig"), threshold, recall, most_bits)
     groups = components(edges)
     size = groups.groupBy("label").agg(F.count("*").alias("size"))
     members = cut(groups.join(size, "label").join(classes.select(F.col("rep").alias("v"), "copies"), "v").select(F.col("v").alias("rep"), "label", "size", "copies"), "members")
@@ -304,14 +304,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _candidate_edges(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+def _candidate_edges(classes: DataFrame, threshold: float, recall: float, most_bits: int | None = None) -> DataFrame:
     """Spanning edges among classes whose sketches agree; three deviations below the threshold count."""
     runs = runs_for(recall, threshold, DEPTH)
     least = math.floor(COORDS * threshold - 3 * math.sqrt(COORDS * threshold * (1 - threshold)))
     schema = "node long, rep long, sig binary"
-    nodes = classes.mapInArrow(_root(runs, threshold, None), "node long")
+    nodes = classes.mapInArrow(_root(runs, threshold, whole=False), "node long")
     counts = cut(nodes.groupBy("node").count().where("count > 1"), "nodes")
-    rows = classes.mapInArrow(_root(runs, threshold, bit_filter(counts, "node", FILTER_BITS)), schema)
+    known = Filter.make(counts, "node", most_bits)
+    rows = classes.mapInArrow(_root(runs, threshold, known), schema)
+    if not known:  # too many nodes for a filter
+        rows = rows.join(counts.select("node"), "node", "left_semi")
     out = []
     for depth in range(1, DEPTH + 1):
         big = counts.where(f"count > {SMALL}")

@@ -6,6 +6,7 @@ every executor can read, so a lost executor costs a re-read and never a lost blo
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,30 +41,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bit_filter(keys: DataFrame, column: str, bits: int):
-    """Membership filter of fixed size over a bigint column: a Spark broadcast of a bit array.
+#: Filters hold 32 bits a key, at most 2**26 bits (8 MB) and then no less than eight a key; beyond that their users join instead.
+MOST_BITS = 26
+#: Arrow batches on their way to Python: a few megabytes, as every task holds some on both sides.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
-    One bit per key at ``pmod(key, 2**bits)``. The array has 2**bits / 8 bytes whatever the
-    number of keys, so what is sent stays bounded; with too many keys it passes more rows,
-    which costs time and changes no result, because every user of it accepts false positives.
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to ``BATCH``; smaller settings of the user stay."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or int(now) <= 0 or int(now) > int(most):
+            spark.conf.set(key, most)
+
+
+class Filter:
+    """Membership of bigint keys in a bit array that is sent to all executors: one bit a key, at its low bits.
+
+    False positives are possible; every user accepts them. ``make`` returns None for more keys than the
+    largest array is meant for.
     """
-    import numpy as np
-
-    spot = F.expr(f"pmod({column}, {1 << bits}L)")
-    packed = (
-        keys.select(spot.alias("b"))
-        .groupBy(F.shiftright("b", 6).cast("int").alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v"))
-        .toArrow()
-    )
-    words = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    words[packed.column("w").to_numpy()] = packed.column("v").to_numpy().view(np.uint64)
-    return keys.sparkSession.sparkContext.broadcast(words)
-
-
-def passes(words, keys, bits: int):
-    """Which of the uint64 ``keys`` may be in the filter made by ``bit_filter``."""
-    import numpy as np
-
-    b = keys & np.uint64((1 << bits) - 1)
-    return (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) != 0
+
+    def __init__(self, words, bits: int):
+        self.words, self.bits = words, bits
+
+    @staticmethod
+    def make(keys: DataFrame, column: str, most_bits: int | None = None):
+        """A filter of the ``column`` of ``keys``, which is counted first."""
+        import numpy as np
+
+        most = MOST_BITS if most_bits is None else most_bits
+        n = max(1, keys.count())
+        if 8 * n > 1 << most:
+            return None
+        bits = max(16, min(most, math.ceil(math.log2(32 * n))))
+        packed = (
+            keys.select(F.expr(f"pmod({column}, {1 << bits}L)").alias("b"))
+            .groupBy(F.shiftright("b", 6).cast("int").alias("w"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v"))
+            .toArrow()
+        )
+        words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        words[packed.column("w").to_numpy()] = packed.column("v").to_numpy().view(np.uint64)
+        return Filter(keys.sparkSession.sparkContext.broadcast(words), bits)
+
+    def passes(self, keys):
+        """Which of the uint64 ``keys`` may be in."""
+        import numpy as np
+
+        words, b = self.words.value, keys & np.uint64((1 << self.bits) - 1)
+        return (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) != 0

@@ -19,9 +19,11 @@ per document, which leaves the maximal repeats of at least ``window`` words.
 Scale. Only hashes travel until the end: (1) counts of anchor hashes, (2) the earliest member
 of each class of the anchors that occur twice, (3) the earliest place of each window of the
 anchors with several reaches, all three with map-side combining, so that a passage that a
-third of all documents share costs one row per task. Bit filters of fixed size keep rows that
-cannot matter from the shuffles; if they fill up, more rows travel and nothing else changes.
-Texts are shuffled once, to meet the places of earliest occurrences of their own document.
+third of all documents share costs one row per task. Which anchors occur twice, and which have
+several reaches, is told to the tasks by bit filters while these stay within their bound
+(``store.MOST_BITS``). Beyond it the same facts are joined: anchors with the repeated hashes
+(a join that adaptive execution splits where one hash is hot), and each document with the places
+of its own repeats. Texts are shuffled once with filters, twice without.
 
 Defined results. A null text has no words. Documents of fewer than ``window`` words lose
 nothing. A null id comes after all others. Rows that share an id are ordered by a hash of
@@ -31,6 +33,7 @@ columns are passed on untouched (the names that this operator adds are replaced)
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -40,11 +43,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .store import bit_filter, cut, passes
+from .store import Filter, cut, small_batches
 
-FILTER_BITS = 24
 SHINGLE = 5
 LAST = (1 << 63) - 1
+LISTS = ("_firsts", "_windows", "_repeats", "_edges")
 ADDED = ("n_words", "n_removed", "spans", "kept_text")
 
 
@@ -116,12 +119,12 @@ def _hash_job(window, k):
     return job
 
 
-def _reach_job(window, k, bits):
+def _reach_job(window, k, seen):
     def job(batches):
         for batch in batches:
             key, mark = batch.column("_key").to_numpy(), batch.column("_mark").to_numpy()
             for lo, hi, a in _pieces(batch, window, k):
-                ok = passes(bits.value, a.hash, FILTER_BITS)
+                ok = seen.passes(a.hash) if seen else np.ones(len(a.hash), dtype=bool)
                 if ok.any():
                     start = a.lo[ok]
                     yield _longs(h=a.hash[ok], reach=a.reach[ok], key=key[lo:hi][a.row[start]], place=a.place(mark[lo:hi], start))
@@ -129,12 +132,15 @@ def _reach_job(window, k, bits):
     return job
 
 
-def _window_job(window, k, bits):
+def _window_job(window, k, seen, edges):
+    """Windows of the anchors that pass both filters, or else of those that the document lists in ``_edges``."""
+
     def job(batches):
         for batch in batches:
             key, mark = batch.column("_key").to_numpy(), batch.column("_mark").to_numpy()
+            own = None if edges else Listed(batch.column("_edges"))
             for lo, hi, a in _pieces(batch, window, k):
-                anchor, start = a.windows(passes(bits.value, a.hash, FILTER_BITS))
+                anchor, start = a.windows(seen.passes(a.hash) & edges.passes(a.hash) if edges else own.holds(lo, hi, a, a.lo))
                 if len(anchor):
                     seed, words = a.window_keys(anchor, start)
                     yield _longs(seed=seed, words=words, key=key[lo:hi][a.row[start]], place=a.place(mark[lo:hi], start))
@@ -142,43 +148,49 @@ def _window_job(window, k, bits):
     return job
 
 
-def _lists(column):
-    """(values, row of each value) of an Arrow list<bigint> column; nulls are empty."""
-    n = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, dtype=np.int64)
-    if column.null_count:
-        n = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, n)
-    return column.flatten().to_numpy().astype(np.int64), n
+class Listed:
+    """Places in their own text that the rows of a list<bigint> column hold; nulls are empty."""
 
+    def __init__(self, column):
+        n = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, dtype=np.int64)
+        if column.null_count:
+            n = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, n)
+        self.n, self.values = n, column.flatten().to_numpy().astype(np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(n)))
 
-def _in(mine, listed):
-    """Membership of row-local values, both as (row, value) made unique per piece."""
-    if not len(listed) or not len(mine):
-        return np.zeros(len(mine), dtype=bool)
-    listed = np.sort(listed)
-    spot = np.minimum(np.searchsorted(listed, mine), len(listed) - 1)
-    return listed[spot] == mine
+    def holds(self, lo, hi, a, places):
+        """Which of the ``places`` of the piece ``a`` of rows lo to hi are listed."""
+        listed = self.values[self.begin[lo] : self.begin[hi]] + np.repeat(a.first[:-1], self.n[lo:hi])
+        if not len(listed) or not len(places):
+            return np.zeros(len(places), dtype=bool)
+        listed.sort()
+        spot = np.minimum(np.searchsorted(listed, places), len(listed) - 1)
+        return listed[spot] == places
 
 
 def _apply_job(window, k, seen, edges, schema):
-    """Marks repeats in each text from the earliest places that its own document holds."""
+    """Marks repeats in each text from the places that its own document lists.
+
+    With filters: known anchors that are not the first of their class are repeats. Without: those in ``_repeats``.
+    Windows of the first ones at edges are repeats unless they are listed as the first of their kind.
+    """
 
     def job(batches):
         for batch in batches:
-            (f_val, f_n), (w_val, w_n) = _lists(batch.column("_firsts")), _lists(batch.column("_windows"))
-            f_off, w_off = (np.concatenate(([0], np.cumsum(n))) for n in (f_n, w_n))
+            firsts, windows, repeats, edge = (Listed(batch.column(c)) for c in LISTS)
             texts = batch.column("text")
             n_words, n_removed, spans, kept = [], [], [], []
             for lo, hi, a in _pieces(batch, window, k):
-                base = a.first[:-1]
-                local = lambda val, off, n: val[off[lo] : off[hi]] + np.repeat(base, n[lo:hi])
-                known = passes(seen.value, a.hash, FILTER_BITS)
-                is_first = _in(a.lo, local(f_val, f_off, f_n))
+                if seen:
+                    known, first = seen.passes(a.hash), firsts.holds(lo, hi, a, a.lo)
+                    repeat, at_edge = known & ~first, known & first & edges.passes(a.hash)
+                else:
+                    repeat, at_edge = repeats.holds(lo, hi, a, a.lo), edge.holds(lo, hi, a, a.lo)
                 gone = np.zeros(a.n + 1, dtype=np.int64)
-                repeat = known & ~is_first
                 np.add.at(gone, a.lo[repeat], 1)
                 np.add.at(gone, a.hi[repeat] + window, -1)
-                anchor, start = a.windows(known & is_first & passes(edges.value, a.hash, FILTER_BITS))
-                start = start[~_in(start, local(w_val, w_off, w_n))]
+                _, start = a.windows(at_edge)
+                start = start[~windows.holds(lo, hi, a, start)]
                 np.add.at(gone, start, 1)
                 np.add.at(gone, start + window, -1)
                 gone = np.cumsum(gone[:-1]) > 0
@@ -200,12 +212,13 @@ def _apply_job(window, k, seen, edges, schema):
     return job
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, shingle: int = SHINGLE) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, shingle: int = SHINGLE, most_bits: int | None = None) -> DataFrame:
     """``docs`` with n_words, n_removed, spans (removed word ranges) and kept_text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if not 1 <= shingle <= window:
         raise ValueError("shingle must lie between 1 and window")
+    small_batches(docs.sparkSession)
     docs = docs.drop(*ADDED)
     keep = [c for c in docs.columns if c not in (id_col, text_col)]
     # Columns travel under private names, so that none can clash with the operator's own.
@@ -218,25 +231,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     slim = base.select("_key", "_mark", "text")
     counts = slim.select("text").mapInArrow(_hash_job(window, shingle), "h long").groupBy("h").count()
-    seen = bit_filter(counts.where("count > 1"), "h", FILTER_BITS)
-    # Earliest member of each class; every anchor that passes the filter is in one.
+    twice = cut(counts.where("count > 1").select("h"), "repeated")
+    seen = Filter.make(twice, "h", most_bits)
     places = slim.mapInArrow(_reach_job(window, shingle, seen), "h long, reach long, key long, place long")
-    firsts = cut(places.groupBy("h", "reach").agg(F.min(F.struct("key", "place")).alias("f")).select("h", "f.key", "f.place"), "firsts")
-    edges = bit_filter(firsts.groupBy("h").count().where("count > 1"), "h", FILTER_BITS)
-    windows = (
-        slim.mapInArrow(_window_job(window, shingle, edges), "seed long, words long, key long, place long")
-        .groupBy("seed", "words").agg(F.min(F.struct("key", "place")).alias("f")).select("f.key", "f.place")
-    )
+    if not seen:
+        places = cut(places.join(twice, "h", "left_semi"), "places")
+    # Earliest member of each class; with a filter also of anchors that only seem to be repeated.
+    firsts = cut(places.groupBy("h", "reach").agg(F.min(F.struct("key", "place")).alias("f")).select("h", "reach", "f.key", "f.place"), "firsts")
+    several = cut(firsts.groupBy("h").count().where("count > 1").select("h"), "edges")
+    edges = Filter.make(several, "h", most_bits) if seen else None
+    if seen and not edges:
+        return substring_dedup(docs, id_col, text_col, window, shingle, 0)
     mark, start = F.shiftright("place", 36), F.col("place").bitwiseAND(F.lit((1 << 36) - 1))
-    earliest = (
-        firsts.select("key", mark.alias("mark"), start.alias("a"), F.lit(None).cast("long").alias("w"))
-        .unionByName(windows.select("key", mark.alias("mark"), F.lit(None).cast("long").alias("a"), start.alias("w")))
-        .groupBy(F.col("key").alias("_key"), F.col("mark").alias("_mark"))
-        .agg(F.collect_list("a").alias("_firsts"), F.collect_list("w").alias("_windows"))
-    )
-    joined = base.join(earliest, ["_key", "_mark"], "left")
+    listed = lambda rows, name: rows.select(F.col("key").alias("_key"), mark.alias("_mark"), start.alias("at"), F.lit(name).alias("list"))
+    source, lists = slim, []
+    if edges:
+        lists.append(listed(firsts, "_firsts"))
+    else:
+        at_edge = cut(listed(firsts.join(several, "h", "left_semi"), "_edges"), "at_edge")
+        per_doc = at_edge.groupBy("_key", "_mark").agg(F.collect_list("at").alias("_edges"))
+        source = slim.join(per_doc, ["_key", "_mark"])
+        first = firsts.select("h", "reach", F.col("key").alias("k1"), F.col("place").alias("p1"))
+        later = places.join(first, ["h", "reach"]).where("key <> k1 or place <> p1")
+        lists += [at_edge, listed(later, "_repeats")]
+    windows = source.mapInArrow(_window_job(window, shingle, seen, edges), "seed long, words long, key long, place long")
+    windows = windows.groupBy("seed", "words").agg(F.min(F.struct("key", "place")).alias("f")).select("f.key", "f.place")
+    lists.append(listed(windows, "_windows"))
+    rows = functools.reduce(DataFrame.unionByName, lists)
+    own = rows.groupBy("_key", "_mark").agg(*[F.collect_list(F.when(F.col("list") == n, F.col("at"))).alias(n) for n in LISTS])
+    joined = base.join(own, ["_key", "_mark"], "left")
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept_text", T.StringType())]
-    out = T.StructType([f for f in joined.schema if f.name not in ("_key", "_mark", "_firsts", "_windows")] + added)
+    out = T.StructType([f for f in joined.schema if f.name not in ("_key", "_mark", *LISTS)] + added)
     marked = joined.mapInArrow(_apply_job(window, shingle, seen, edges, to_arrow_schema(out)), out)
     back = {"_id": id_col, "text": text_col} | {f"_x{i}": c for i, c in enumerate(keep)}
     order = {c: i for i, c in enumerate(docs.columns)}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .store import cut
+from .store import cut, small_batches
 
 SAMPLE = 20_000
 WORDS = 50_000
@@ -209,6 +209,7 @@ def _logistic(x, y):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` labelled rows, those with the least hash of their id."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     known = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -254,6 +255,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score, predicted and passages (word ranges with -ln E); columns of these names are replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     added = ("score", "predicted", "passages")
     docs = docs.drop(*added)
     names = [f"_c{i}" for i in range(len(docs.columns))]
