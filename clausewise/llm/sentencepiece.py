@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
+from .store import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 40
@@ -307,20 +308,26 @@ def encode(model, texts):
     return ids, after[np.searchsorted(starts, offsets)]
 
 
-def decode(model, ids, begin):
-    """UTF-8 bytes of each text, by one gather over the pieces' bytes."""
-    size = np.diff(model.begin)[ids]
-    after = np.concatenate(([0], np.cumsum(size)))
-    data = model.flat[np.repeat(model.begin[:-1][ids] - after[:-1], size) + np.arange(after[-1])].tobytes()
-    cut = after[begin]
-    drop = 1 if model.prefix else 0
-    return [data[i + drop if data[i : i + drop] == b" " * drop else i : j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+def decode(model, ids, begin, step: int = 1 << 18):
+    """UTF-8 bytes of each text, by gathers over the pieces' bytes of about ``step`` tokens at a time."""
+    out, drop, lo = [], 1 if model.prefix else 0, 0
+    while lo < len(begin) - 1:
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + step, side="right")) - 1)
+        own = ids[begin[lo] : begin[hi]]
+        size = np.diff(model.begin)[own]
+        after = np.concatenate(([0], np.cumsum(size)))
+        data = model.flat[np.repeat(model.begin[:-1][own] - after[:-1], size) + np.arange(after[-1])].tobytes()
+        cut = after[begin[lo : hi + 1] - begin[lo]]
+        out += [data[i + drop if data[i : i + drop] == b" " * drop else i : j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        lo = hi
+    return out
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", model_file: str = MODEL, piece_bytes: int = 8 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, text_col: str = "text", model_file: str = MODEL, piece_bytes: int = 3 << 20) -> DataFrame:
     """``docs`` with ids (array<int>), n_tokens, decoded (string) and round_trip (decoded equals the normalised text)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     with open(model_file, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     added = ("ids", "n_tokens", "decoded", "round_trip")
