@@ -2,8 +2,10 @@
 
 Fit. The labelled documents that hold a word are counted by label, once each, and the word's log-odds
 between the labels is taken under a Dirichlet prior proportional to its overall frequency. Words whose
-counts differ between the labels by a likelihood ratio of ``RATIO`` or more are kept (at most ``WORDS`` of
-them, the surest); every other word scores nothing but the drift, so that clean text drifts downwards.
+counts differ between the labels by an exact test are kept (at most ``WORDS`` of them, the surest). The test is corrected
+for the number of words compared: the bound is the largest at which chance alone would keep no more than a share ``FALSE``
+of the words kept, given in how many documents each word is, so that rare words, which cannot pass, cost small fits
+nothing. Every other word scores nothing but the drift, so that clean text drifts downwards.
 Near copies would make any word of theirs look decisive, so a document is learned from only if its id is
 the least of all that share any of its ``MARKS`` min-hashes.
 
@@ -38,7 +40,7 @@ from .store import cut, small_batches
 
 SAMPLE = 20_000
 WORDS = 50_000
-RATIO = 30.0
+FALSE = 0.05
 MARKS = 8
 PRIOR = 100.0
 DRIFT = 0.25
@@ -206,6 +208,32 @@ def _logistic(x, y):
     return float(a), float(max(b, 0.0))
 
 
+def _exact(n, n_bad, n_good):
+    """Toxic counts that a word of n documents can have, their chances and their two-sided p-values, labels being exchangeable."""
+    total, k = n_bad + n_good, np.arange(max(0, n - n_good), min(n, n_bad) + 1)
+    ln = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, total + 1)))))
+    choose = lambda a, b: ln[a] - ln[b] - ln[a - b]
+    chance = np.exp(choose(n_bad, k) + choose(n_good, n - k) - choose(total, n))
+    return k, chance, np.minimum(1.0, 2 * np.minimum(np.cumsum(chance), np.cumsum(chance[::-1])[::-1]))
+
+
+def _decisive(bad, good, words, n_bad, n_good):
+    """Which pairs of counts, of so many words each, are kept (Benjamini and Hochberg's step-up rule for discrete tests)."""
+    n, p = bad + good, np.ones(len(bad))
+    sizes, spot = np.unique(n, return_inverse=True)
+    for i, size in enumerate(sizes):
+        k, _, value = _exact(size, n_bad, n_good)
+        p[spot == i] = value[bad[spot == i] - k[0]]
+    bounds, at = np.unique(p, return_inverse=True)
+    found = np.cumsum(np.bincount(at, words))
+    by_chance = np.zeros(len(bounds) + 1)
+    for size, several in zip(sizes, np.bincount(spot, words), strict=True):
+        _, chance, value = _exact(size, n_bad, n_good)
+        np.add.at(by_chance, np.searchsorted(bounds, value), several * chance)
+    ok = np.flatnonzero((bounds <= FALSE) & (np.cumsum(by_chance[:-1]) <= FALSE * found))
+    return p <= (bounds[ok[-1]] if len(ok) else -1.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` labelled rows, those with the least hash of their id."""
     spark = docs.sparkSession
@@ -219,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = cut(train.join(F.broadcast(least), "id").select("text", "toxic"), "train")
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rate = n.get(1, 0) / max(1, sum(n.values()))
-    counts = train.mapInArrow(_word_counts, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = cut(train.mapInArrow(_word_counts, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "counts")
     r = {x["toxic"]: x["count"] for x in train.groupBy("toxic").count().collect()}
     bad, good = counts.agg(F.sum("bad"), F.sum("good")).first()
     if not bad or not good:
@@ -233,7 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_bad, n_good = (r.get(x, 0) for x in (1, 0))
     part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("bad") + F.col("good")) * share))).otherwise(0.0)
     rated = rated.withColumn("ratio", 2 * (part("bad", n_bad / (n_bad + n_good)) + part("good", n_good / (n_bad + n_good))))
-    kept = rated.where(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), "word").limit(WORDS).select("word", "score", "good").toArrow()
+    pairs = counts.groupBy("bad", "good").agg(F.count("*").alias("words")).toArrow()
+    ok = _decisive(*(pairs.column(c).to_numpy() for c in ("bad", "good", "words")), n_bad, n_good)
+    chosen = spark.createDataFrame(pairs.filter(pa.array(ok)).select(["bad", "good"]))
+    kept = rated.join(F.broadcast(chosen), ["bad", "good"]).orderBy(F.desc("ratio"), "word").limit(WORDS).select("word", "score", "good").toArrow()
     model = Model(kept.column("word").to_numpy().view(U), kept.column("score").to_numpy())
     model.rate = rate
     # Clean text: the kept words at their smoothed frequency, all other words at the drift.
