@@ -5,8 +5,10 @@ a space) are counted per language over 2**16 hash buckets, with additive smoothi
 
 Infer. A document is taken as a mixture of languages: every word is drawn from one of them. Words'
 log-likelihoods come from the trigram models, and expectation-maximisation over the words estimates
-the proportions. It runs for the one, two and three likeliest languages; the set with the best
-log-likelihood less a penalty of ``PENALTY`` * ln(words) per language is selected. The prediction is
+the proportions, first over all learned languages. It then runs for the likeliest language of these, the
+likeliest two and so on; the set with the best log-likelihood less a penalty of ``PENALTY`` * ln(words)
+per language is selected. A document is left when no larger set can win: no mixture at all exceeds the
+log-likelihood of the first by more than words * ln(largest gradient per word). The prediction is
 the language with the largest proportion, which is also its score.
 
 Scale. At most ``SAMPLE`` labelled documents per language are counted (those whose id has the least
@@ -30,7 +32,6 @@ from . import text as tx
 SAMPLE = 4_000
 BUCKETS = 1 << 16
 SMOOTH = 0.1
-TOP = 4
 ROUNDS = 6
 PENALTY = 2.0
 
@@ -106,7 +107,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _mixture(like, row, begin, use, rounds):
-    """Proportions and log-likelihood per row when only the languages in ``use`` (rows, m) take part."""
+    """Proportions, log-likelihood and a bound on that of any proportions per row when only the languages in ``use`` (rows, m) take part."""
     some = np.flatnonzero(np.diff(begin))
     share = use / np.maximum(use.sum(axis=1, keepdims=True), 1)
     top = np.where(use[row], like, -np.inf).max(axis=1) if len(row) else np.zeros(0)
@@ -118,10 +119,12 @@ def _mixture(like, row, begin, use, rounds):
         share = share.copy()
         share[some] = np.add.reduceat(part, begin[some]) / n
         share[some] = np.maximum(share[some], np.where(use[some], 1e-12, 0))
-    each = np.log((odds * share[row]).sum(axis=1)) + top
-    total = np.zeros(len(begin) - 1)
-    total[some] = np.add.reduceat(each, begin[some])
-    return share, total
+    whole = (odds * share[row]).sum(axis=1)
+    total, most = np.zeros(len(begin) - 1), np.zeros(len(begin) - 1)
+    total[some] = np.add.reduceat(np.log(whole) + top, begin[some])
+    gradient = np.add.reduceat(odds / whole[:, None], begin[some]) / n
+    most[some] = total[some] + n[:, 0] * np.log(gradient.max(axis=1))
+    return share, total, most
 
 
 def infer(model, data, offsets):
@@ -130,26 +133,22 @@ def infer(model, data, offsets):
     rows, words, kinds = len(offsets) - 1, len(begin) - 1, len(model.langs)
     like = np.add.reduceat(model.table[gram], begin[:-1], axis=0).astype(np.float64) if words else np.zeros((0, kinds))
     row = np.repeat(np.arange(rows), np.diff(first))
-    some = np.flatnonzero(np.diff(first))
-    whole = np.zeros((rows, kinds))
-    if words:
-        whole[some] = np.add.reduceat(like, first[some], axis=0)
-    top = np.argsort(-whole, axis=1, kind="stable")[:, :TOP]
-    like = np.take_along_axis(like, top[row], axis=1)
-    m = top.shape[1]
-    share, _ = _mixture(like, row, first, np.ones((rows, m), dtype=bool), ROUNDS)
+    share, _, most = _mixture(like, row, first, np.ones((rows, kinds), dtype=bool), ROUNDS)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
     n = np.maximum(np.diff(first), 2)
-    best, chosen = np.full(rows, -np.inf), share
-    for size in range(1, min(3, m) + 1):
-        use = rank < size
-        got, value = _mixture(like, row, first, use, ROUNDS if size > 1 else 0)
-        value = value - PENALTY * size * np.log(n)
-        better = value > best
-        best = np.where(better, value, best)
-        chosen = np.where(better[:, None], got, chosen)
-    full = np.zeros((rows, kinds))
-    np.put_along_axis(full, top, chosen, axis=1)
+    best, full = np.full(rows, -np.inf), share
+    for size in range(1, kinds + 1):
+        live = np.flatnonzero((size == 1) | (most - PENALTY * size * np.log(n) > best))
+        if not len(live):
+            break
+        count = np.diff(first)[live]
+        begin = np.concatenate(([0], np.cumsum(count)))
+        at = np.repeat(first[live] - begin[:-1], count) + np.arange(begin[-1])
+        got, value, _ = _mixture(like[at], np.repeat(np.arange(len(live)), count), begin, rank[live] < size, ROUNDS if size > 1 else 0)
+        value = value - PENALTY * size * np.log(n[live])
+        better = value > best[live]
+        best[live[better]] = value[better]
+        full[live[better]] = got[better]
     return full.argmax(axis=1), full.max(axis=1), full
 
 
