@@ -7,7 +7,7 @@ the tree picks one coordinate, or a second one so that 1 / threshold are picked
 class moves to the child named by its min-hash there. Nodes of at most ``SMALL`` classes are
 compared by brute force on the min-hashes, larger ones are split again up to ``DEPTH`` times and
 what is then still large (near copies that no coordinate tells apart) is compared block by
-block. ``runs_for`` repeats the tree until the stated recall.
+block. ``runs_for`` repeats the tree until the stated recall, the loss by the sketch ``cutoff`` included.
 
 Brute force on sketches only says which classes may be linked; it emits a spanning forest, not
 pairs. Its components are disjoint, so each class's text travels once to its component, where the
@@ -54,8 +54,21 @@ def survival(threshold: float, depth: int) -> float:
     return alive
 
 
+def cutoff(threshold: float) -> int:
+    """Coordinates in which a candidate pair must agree: five deviations below the mean of a pair at the threshold."""
+    return max(1, math.floor(COORDS * threshold - 5 * math.sqrt(COORDS * threshold * (1 - threshold))))
+
+
+def below_cutoff(threshold: float) -> float:
+    """Chance that a pair at the threshold agrees in fewer coordinates. All runs share them, so no run repairs it."""
+    return sum(math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k) for k in range(cutoff(threshold)))
+
+
 def runs_for(recall: float, threshold: float, depth: int) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth))))
+    wanted = recall / (1 - below_cutoff(threshold))
+    if wanted >= 1:
+        raise ValueError("recall is beyond what the sketches allow")
+    return max(1, math.ceil(math.log(1 - wanted) / math.log(1 - survival(threshold, depth))))
 
 
 def _signatures(k):
@@ -305,9 +318,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _candidate_edges(classes: DataFrame, threshold: float, recall: float, most_bits: int | None = None) -> DataFrame:
-    """Spanning edges among classes whose sketches agree; three deviations below the threshold count."""
+    """Spanning edges among classes whose sketches agree; five deviations below the threshold count."""
     runs = runs_for(recall, threshold, DEPTH)
-    least = math.floor(COORDS * threshold - 3 * math.sqrt(COORDS * threshold * (1 - threshold)))
+    least = cutoff(threshold)
     schema = "node long, rep long, sig binary"
     nodes = classes.mapInArrow(_root(runs, threshold, whole=False), "node long")
     counts = cut(nodes.groupBy("node").count().where("count > 1"), "nodes")
