@@ -1,28 +1,32 @@
 """SentencePiece encoding and decoding in batches with numpy.
 
-A text is a sequence of units: a run of spaces and the characters up to the next space. No piece of a
-supported model crosses a unit, so each distinct unit of a batch is encoded once. Units of equal length
-advance together: the hashes of all their substrings probe the sorted hashes of the pieces, which gives
-one score table per unit.
-
-* Unigram models: Viterbi. Position by position, the vectorised maximum over all pieces ending there is
-  kept with a backpointer, and the backpointers are followed from the end.
-* BPE models: the scores of a BPE model are merge ranks, and the best-scoring path is not what the model
-  means (see the README for how often it differs). Over the same tables the units advance together merge by merge: the
-  vectorised maximum over all neighbouring pairs, leftmost on ties, until no pair is a piece.
+A text is cut into units between characters that no piece holds next to each other: no piece crosses such a
+place, so each unit is encoded alone, and each distinct unit of a batch once. Units of equal length
+advance together through one Viterbi pass: at each position the hashes of all substrings that end there, grown by
+one character, probe the piece keys, and the vectorised maximum over all pieces that end there is
+kept with a backpointer; the backpointers are followed from the end. A hash only proposes: units of equal hash, and the
+pieces of each best path, are compared by their characters.
+
+* Unigram models: a piece gains its score.
+* BPE models: their scores are merge ranks, whose sum means nothing, so a piece gains 0 if merging leaves it
+  and the piece before it apart, and is barred if not. A sequence of pieces is what merging
+  gives exactly if that holds for all its neighbours (merges inside a span keep their order whatever lies
+  around it), and every beginning of a unit has one such sequence, so the best path is the model's own
+  encoding and one backpointer a position suffices. Which pairs stay apart is found by replaying the merges of the
+  two pieces beside each other (``Merges``), once a pair, and remembered by the worker (``PAIRS`` of them at most, then anew).
 
 Characters that no piece covers become byte pieces where the model has them, the unknown piece otherwise.
 Decoding joins piece bytes by one gather and gives the normalised text back exactly.
 
-Defined results. Null texts stay null (no ids); empty texts have no ids. U+2581 is a space, as in the model's
-own escape. Models whose normaliser changes characters or that hold user-defined pieces raise ValueError.
-Units longer than ``LONG`` characters are encoded one by one in n log n. Repeated rows are encoded alike;
-other columns are kept, and columns named like the added ones are replaced.
+Defined results. Null texts stay null (no ids); empty texts have no ids; an empty table has no rows. U+2581 is a space, as in the model's
+own escape. Models whose normaliser changes characters, that hold user-defined pieces, or BPE models with a piece of which a
+character is no piece raise ValueError. Units longer than ``LONG`` characters (very long texts without spaces, or of spaces) go through the
+same Viterbi pass one by one, in linear time. Repeated rows are encoded alike; other columns are kept, and columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,10 @@ from .store import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 40
-GROUP = 1 << 21
+#: Characters times units that advance together.
+GROUP = 1 << 19
+PAIRS = 4_000_000
+KNOWN = (1 << 20) - 1
 SPACE = "▁"
 U = tx.U
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -97,185 +104,333 @@ class Model:
         for i in np.flatnonzero(types == BYTE):
             self.byte_id[self.bytes[i][0]] = i
         whole = np.flatnonzero(types == NORMAL)
-        if any(b" " in self.bytes[i].lstrip(b" ") for i in whole):
-            raise ValueError("a piece holds a space after another character")
         self.score = np.array(scores, dtype=np.float32)
-        joined = np.frombuffer(b"".join(self.bytes[i] for i in whole), np.uint8)
-        end = np.cumsum([len(self.bytes[i]) for i in whole])
-        keys = tx.hash_words(joined, np.concatenate(([0], end[:-1])), end)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], whole[order].astype(np.int32)
-        self.known = np.zeros(1 << 22, dtype=bool)
-        self.known[(self.keys & U((1 << 22) - 1)).astype(np.int64)] = True
-        self.longest = max(len(self.bytes[i].decode("utf-8")) for i in whole)
+        self.lowest = float(self.score[whole].min()) - 10
         self.by_text = {self.bytes[i].decode("utf-8"): int(i) for i in whole}
+        if self.kind == BPE and not all(c in self.by_text for piece in self.by_text for c in piece):
+            raise ValueError("a piece holds a character that is no piece")
+        self.longest = max(map(len, self.by_text))
+        self.chars = np.zeros((len(pieces), self.longest), dtype=np.uint32)
+        self.size = np.zeros(len(pieces), dtype=np.int64)
+        for text, i in self.by_text.items():
+            self.chars[i, : len(text)] = _codes(text)
+            self.size[i] = len(text)
+        keys = np.zeros(len(whole), dtype=U)
+        for at in range(self.longest):
+            more = self.size[whole] > at
+            keys[more] = tx.join(keys[more], self.chars[whole[more], at].astype(U))
+        order = np.argsort(keys)
+        self.ids, self.slots = whole[order].astype(np.int32), Slots(keys[order])
+        self.known = np.zeros(KNOWN + 1, dtype=bool)
+        self.known[(keys & U(KNOWN)).astype(np.int64)] = True
+        self.bigrams = np.zeros(KNOWN + 1, dtype=bool)
+        for at in range(self.longest - 1):
+            more = whole[self.size[whole] > at + 1]
+            self.bigrams[_bigram(self.chars[more, at], self.chars[more, at + 1])] = True
+        self.pairs, self.are_apart, self.apart_one = Slots(), np.zeros(0, dtype=bool), {}
+        self.merges = Merges(self) if self.kind == BPE else None
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.begin = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes])))
 
     def probe(self, hashes):
-        """Piece id of each hash, -1 where there is none."""
-        out = np.full(hashes.shape, -1, dtype=np.int32)
-        maybe = np.flatnonzero(self.known[(hashes & U((1 << 22) - 1)).astype(np.int64)])
-        if len(maybe):
-            h = hashes.ravel()[maybe]
-            spot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[spot] == h
-            out.ravel()[maybe[hit]] = self.ids[spot[hit]]
+        """Pieces (start, unit, id) among the substrings of which ``hashes`` (starts, units) are given."""
+        start, unit = np.nonzero(self.known[(hashes & U(KNOWN)).astype(np.int64)])
+        at = self.slots.find(hashes[start, unit])
+        hit = np.flatnonzero(at >= 0)
+        return start[hit], unit[hit], self.ids[at[hit]]
+
+    def apart(self, left, right):
+        """Whether merging leaves each pair of pieces as it is."""
+        pair = left.astype(np.int64) * len(self.size) + right
+        at = self.pairs.find(pair.view(U))
+        new = np.unique(pair[at < 0])
+        if len(new):
+            if self.pairs.n + len(new) > PAIRS:
+                self.pairs, self.are_apart, new = Slots(), np.zeros(0, dtype=bool), np.unique(pair)
+            self.pairs.add(new.view(U))
+            self.are_apart = np.append(self.are_apart, self.merges.apart(new // len(self.size), new % len(self.size)))
+            at = self.pairs.find(pair.view(U))
+        return self.are_apart[at]
+
+    def spells(self, ids, codes, starts, sizes):
+        """Whether each piece (-1: any character) has the characters of its place."""
+        ok = (ids < 0) | (self.size[ids] == sizes)
+        for at in range(self.longest):
+            more = np.flatnonzero(ok & (ids >= 0) & (sizes > at))
+            if not len(more):
+                break
+            ok[more] = self.chars[ids[more], at] == codes[starts[more] + at]
+        return ok
+
+    def crossed(self, codes):
+        """Whether some piece may hold each character and the next one; never False where one does."""
+        return self.bigrams[_bigram(codes[:-1], codes[1:])]
+
+
+class Slots:
+    """Numbers of uint64 keys in order of arrival, looked up in a few tables of one slot a hash each."""
+
+    def __init__(self, keys=(), bits: int = 16):
+        self.n, self.bits, self.keys, self.tables = 0, bits, np.zeros(0, dtype=U), []
+        self.add(np.asarray(keys, dtype=U))
+
+    def _slot(self, keys, level):
+        return (((keys + U(level)) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
+    def add(self, keys):
+        """Adds distinct new keys."""
+        self.keys = np.append(self.keys, keys)
+        rest = np.arange(self.n, len(self.keys))
+        self.n = len(self.keys)
+        if self.n * 4 > 1 << self.bits:
+            self.bits, self.tables, rest = max(self.bits, self.n.bit_length() + 3), [], np.arange(self.n)
+        level = 0
+        while len(rest):
+            if level == len(self.tables):
+                self.tables.append(np.full(1 << self.bits, -1, dtype=np.int32))
+            table, slot = self.tables[level], self._slot(self.keys[rest], level)
+            free = table[slot] < 0
+            table[slot[free]] = rest[free]
+            rest = rest[table[slot] != rest]
+            level += 1
+
+    def find(self, keys):
+        """The number of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        rest = np.arange(len(keys))
+        for level, table in enumerate(self.tables):
+            at = table[self._slot(keys[rest], level)]
+            some = at >= 0  # an empty slot ends the search
+            hit = some & (self.keys[at] == keys[rest])
+            out[rest[hit]] = at[hit]
+            rest = rest[some & ~hit]
+            if not len(rest):
+                break
         return out
 
 
-def _tables(model, sums, marks):
-    """Piece ids (units, from, to) of all substrings; marks are character boundaries (units, L + 1)."""
-    n, length = marks.shape[0], marks.shape[1] - 1
+def _bigram(a, b):
+    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int64)
+
+
+def _codes(text: str):
+    """Code points of a string."""
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _grown(model, codes):
+    """For each end, (end, hashes of the substrings of all units that end there, from the last starts on)."""
+    n, length = codes.shape
+    hashes = np.zeros((length, n), dtype=U)
+    for j in range(1, length + 1):
+        lo = max(0, j - model.longest)
+        hashes[lo:j] = tx.join(hashes[lo:j], codes[:, j - 1].astype(U))
+        yield j, hashes[lo:j]
+
+
+def _tables(model, codes):
+    """Piece ids (units, from, to) of all substrings; -1 where there is none."""
+    n, length = codes.shape
     ids = np.full((n, length, length + 1), -1, dtype=np.int32)
-    for i in range(length):
-        for j in range(i + 1, min(length, i + model.longest) + 1):
-            ids[:, i, j] = model.probe(tx.spans_hash(sums, tx.BYTES_P, marks[:, i], marks[:, j]))
+    for j, hashes in _grown(model, codes):
+        start, unit, own = model.probe(hashes)
+        ids[unit, j - len(hashes) + start, j] = own
     return ids
 
 
-def viterbi(model, ids):
-    """Ends of the pieces that start at each position of the best path (0: none starts there)."""
-    n, length = ids.shape[:2]
-    lowest = model.score[model.ids].min() - 10
-    best = np.full((n, length + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.zeros((n, length + 1), dtype=np.int64)
-    for j in range(1, length + 1):
-        for i in range(max(0, j - model.longest), j):
-            own = ids[:, i, j]
-            s = np.where(own >= 0, model.score[own], lowest if j == i + 1 else -np.inf)
-            value = best[:, i] + s
-            better = value > best[:, j]
-            best[better, j], back[better, j] = value[better], i
-    ends = np.zeros((n, length), dtype=np.int64)
+def viterbi(model, codes):
+    """Best paths of units of one length, (units, characters): the end of the piece that starts at each position (0: none) and its id (-1: a character without one)."""
+    n, length = codes.shape
+    best = np.full((length + 1, n), -np.inf)
+    best[0] = 0
+    back = np.zeros((length + 1, n), dtype=np.int32)
+    last = np.full((length + 1, n), -1, dtype=np.int32)
+    for j, hashes in _grown(model, codes):
+        lo = j - len(hashes)
+        start, unit, own = model.probe(hashes)
+        gain = np.full((j - lo, n), -np.inf)
+        piece = np.full((j - lo, n), -1, dtype=np.int32)
+        gain[-1] = 0.0 if model.kind == BPE else model.lowest
+        piece[start, unit] = own
+        if model.kind == BPE:
+            before = last[lo + start, unit]
+            free = before < 0  # nothing before it, or a character that no piece holds
+            free[~free] = model.apart(before[~free], own[~free])
+            gain[start, unit] = np.where(free, 0.0, -np.inf)
+        else:
+            gain[start, unit] = model.score[own]
+        value = best[lo:j] + gain
+        k = value.argmax(axis=0)
+        at = np.arange(n)
+        best[j], back[j], last[j] = value[k, at], lo + k, piece[k, at]
+    ends, ids = np.zeros((n, length), dtype=np.int64), np.full((n, length), -1, dtype=np.int32)
     at, rows = np.full(n, length), np.arange(n)
-    while (live := at > 0).any():
-        r = rows[live]
-        frm = back[r, at[r]]
-        ends[r, frm] = at[r]
-        at[r] = frm
-    return ends
-
-
-def merges(model, ids):
-    """Ends of the pieces that start at each position after all merges (0: none starts there)."""
-    n, length = ids.shape[:2]
-    score = np.where(ids >= 0, model.score[ids], -np.inf).astype(np.float32)
-    ends = np.tile(np.arange(1, length + 1), (n, 1))
-    before = np.tile(np.arange(-1, length - 1), (n, 1))
-    pair = np.full((n, length), -np.inf, dtype=np.float32)
-    for i in range(length - 1):
-        pair[:, i] = score[:, i, i + 2]
-    rows = np.arange(n)
     while len(rows):
-        i = pair[rows].argmax(axis=1)
-        go = pair[rows, i] > -np.inf
-        rows, i = rows[go], i[go]
-        if not len(rows):
-            break
-        j = ends[rows, i]  # where the pair's second half starts
-        end = ends[rows, j]
-        ends[rows, i], ends[rows, j] = end, 0
-        pair[rows, j] = -np.inf
-        right = end < length
-        pair[rows, i] = -np.inf
-        r, a, e = rows[right], i[right], end[right]
-        before[r, e] = a
-        pair[r, a] = score[r, a, ends[r, e]]
-        left = before[rows, i]
-        some = left >= 0
-        r, a = rows[some], left[some]
-        pair[r, a] = score[r, a, end[some]]
-    return ends
+        frm = back[at[rows], rows]
+        ends[rows, frm], ids[rows, frm] = at[rows], last[at[rows], rows]
+        at[rows] = frm
+        rows = rows[frm > 0]
+    return ends, ids
+
+
+class Merges:
+    """How each piece of a BPE model comes about by merging alone, and which piece two neighbours make.
+
+    ``steps`` (pieces, longest): scores of the merges in their order, -inf after the last. ``left`` and ``right``: the first and the last
+    part after so many merges. ``whole``: whether merging ends with the piece itself.
+    """
+
+    def __init__(self, model):
+        count, longest = model.chars.shape
+        self.steps = np.full((count, longest), -np.inf, dtype=np.float32)
+        self.left, self.right = np.full((2, count, longest), -1, dtype=np.int32)
+        self.whole = np.zeros(count, dtype=bool)
+        keys, scores = [], []
+        for size in np.unique(model.size[model.size > 0]):
+            own = np.flatnonzero(model.size == size)
+            ids = _tables(model, model.chars[own, :size])
+            self._run(model, own, ids)
+            for k in range(1, size):
+                both = np.flatnonzero((ids[:, 0, k] >= 0) & (ids[:, k, size] >= 0))
+                keys.append(ids[both, 0, k].astype(np.int64) * count + ids[both, k, size])
+                scores.append(model.score[own[both]])
+        keys, scores = np.concatenate(keys), np.concatenate(scores)
+        self.made, self.count = Slots(keys.view(U)), count
+        self.score = np.append(scores, np.float32(-np.inf))
+
+    def _run(self, model, own, ids):
+        """Merges the pieces ``own`` of one length: the best-scoring pair of neighbours first, the leftmost on ties."""
+        n, length = ids.shape[:2]
+        score = np.where(ids >= 0, model.score[ids], -np.inf).astype(np.float32)
+        ends = np.tile(np.arange(1, length + 1), (n, 1))
+        before = np.tile(np.arange(-1, length - 1), (n, 1))
+        pair = np.full((n, length), -np.inf, dtype=np.float32)
+        for i in range(length - 1):
+            pair[:, i] = score[:, i, i + 2]
+        rows, tail = np.arange(n), np.full(n, length - 1)
+        self.left[own, 0], self.right[own, 0] = ids[:, 0, 1], ids[:, length - 1, length]
+        for step in range(length - 1):
+            i = pair[rows].argmax(axis=1)
+            go = pair[rows, i] > -np.inf
+            rows, i = rows[go], i[go]
+            if not len(rows):
+                break
+            self.steps[own[rows], step] = pair[rows, i]
+            j = ends[rows, i]  # where the pair's second half starts
+            end = ends[rows, j]
+            ends[rows, i], ends[rows, j] = end, 0
+            pair[rows, j] = -np.inf
+            right = end < length
+            pair[rows, i] = -np.inf
+            r, a, e = rows[right], i[right], end[right]
+            before[r, e] = a
+            pair[r, a] = score[r, a, ends[r, e]]
+            left = before[rows, i]
+            some = left >= 0
+            r, a = rows[some], left[some]
+            pair[r, a] = score[r, a, end[some]]
+            tail[rows[~right]] = i[~right]
+            self.left[own[rows], step + 1] = ids[rows, 0, ends[rows, 0]]
+            self.right[own[rows], step + 1] = ids[rows, tail[rows], length]
+        self.whole[own] = ends[:, 0] == length
+
+    def apart(self, a, b):
+        """Whether merging leaves the pieces a and b next to each other as they are.
+
+        Each piece's own merges keep their order; of both next ones and the merge across the border, the best goes first (the leftmost on ties).
+        """
+        out = self.whole[a] & self.whole[b]
+        u, v = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+        live = np.flatnonzero(out)
+        longest = self.steps.shape[1]
+        while len(live):
+            x, y, s, t = a[live], b[live], u[live], v[live]
+            own, other = self.steps[x, np.minimum(s, longest - 1)], self.steps[y, np.minimum(t, longest - 1)]
+            across = self.score[self.made.find((self.right[x, s].astype(np.int64) * self.count + self.left[y, t]).view(U))]
+            joined = (across > own) & (across >= other)
+            out[live[joined]] = False
+            first = own >= other
+            on = ~joined & (np.maximum(own, other) > -np.inf)
+            u[live[on & first]] += 1
+            v[live[on & ~first]] += 1
+            live = live[on]
+        return out
 
 
 def _one(model, unit: str):
-    """Pieces of one long unit, as strings."""
-    if model.kind == UNIGRAM:
-        n, lowest = len(unit), float(model.score[model.ids].min()) - 10
-        best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - model.longest), j):
-                own = model.by_text.get(unit[i:j])
-                s = float(model.score[own]) if own is not None else lowest if j == i + 1 else -np.inf
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, i
-        out, at = [], n
-        while at:
-            out.append(unit[back[at] : at])
-            at = back[at]
-        return out[::-1]
-    ends, before = list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))
-    heap = []
-
-    def offer(i):
-        if i >= 0 and ends[i] < len(unit):
-            own = model.by_text.get(unit[i : ends[ends[i]]])
-            if own is not None:
-                heapq.heappush(heap, (-float(model.score[own]), i, ends[i], ends[ends[i]]))
-
-    for i in range(len(unit)):
-        offer(i)
-    while heap:
-        _, i, j, end = heapq.heappop(heap)
-        if ends[i] != j or ends[j] != end:
-            continue
-        ends[i], ends[j] = end, 0
-        if end < len(unit):
-            before[end] = i
-        offer(i)
-        offer(before[i])
-    return [unit[i:e] for i, e in enumerate(ends) if e]
-
-
-def _units(model, data, starts, ends):
+    """``viterbi`` of one long unit: (end, id) of the pieces in order."""
+    n, bpe, known = len(unit), model.kind == BPE, model.apart_one
+    best, back, last = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+    for j in range(1, n + 1):
+        for i in range(max(0, j - model.longest), j):
+            own = model.by_text.get(unit[i:j], -1)
+            if own < 0 and i < j - 1 or best[i] == -np.inf:
+                continue
+            if not bpe:
+                value = best[i] + (float(model.score[own]) if own >= 0 else model.lowest)
+            elif own < 0 or last[i] < 0:
+                value = 0.0
+            else:
+                pair = (last[i], own)
+                if pair not in known:
+                    if len(known) >= PAIRS:
+                        known.clear()
+                    known[pair] = bool(model.apart(np.array([last[i]]), np.array([own]))[0])
+                value = 0.0 if known[pair] else -np.inf
+            if value > best[j]:
+                best[j], back[j], last[j] = value, i, own
+    out, at = [], n
+    while at:
+        out.append((at, last[at]))
+        at = back[at]
+    return out[::-1]
+
+
+def _utf8(codes, which):
+    """The byte number ``which`` of each code point's UTF-8 form."""
+    size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+    own = codes >> (6 * (size - 1 - which)).astype(np.uint32)
+    return np.where(which > 0, own & 0x3F | 0x80, own | np.array([0, 0, 0xC0, 0xE0, 0xF0], dtype=np.uint32)[size]).astype(np.uint8)
+
+
+def _units(model, codes, starts, ends):
     """Token ids of distinct units: (ids, begin of each unit)."""
-    n = len(starts)
-    lead = (data & 0xC0) != 0x80
-    chars = np.concatenate(([0], np.cumsum(lead)))
-    length = chars[ends] - chars[starts]
-    places = np.flatnonzero(lead)
+    n, length = len(starts), ends - starts
     out_unit, out_from, out_piece, out_to = [], [], [], []
-    for size in np.unique(length):
-        if size > LONG:
-            continue
+    doubtful = [np.flatnonzero(length > LONG)]
+    for size in np.unique(length[length <= LONG]):
         mine = np.flatnonzero(length == size)
-        step = max(1, GROUP // int(size * (size + 1)))
+        step = max(1, GROUP // int(size))
         for lo in range(0, len(mine), step):
             part = mine[lo : lo + step]
-            first = chars[starts[part]]
-            marks = np.concatenate((places[first[:, None] + np.arange(size)], ends[part][:, None]), axis=1)
-            # Prefix sums over these units only, so that memory follows the group.
-            base = np.concatenate(([0], np.cumsum(ends[part] - starts[part])))
-            at = np.repeat(starts[part] - base[:-1], np.diff(base)) + np.arange(base[-1])
-            sums = tx.prefix(tx.BYTE_CODE[data[at]], tx.BYTES_P)
-            local = marks - (starts[part] - base[:-1])[:, None]
-            ids = _tables(model, sums, local)
-            to = (merges if model.kind == BPE else viterbi)(model, ids)
+            to, ids = viterbi(model, codes[starts[part][:, None] + np.arange(size)])
             unit, frm = np.nonzero(to)
-            end = to[unit, frm]
-            out_unit.append(part[unit]), out_from.append(marks[unit, frm]), out_piece.append(ids[unit, frm, end]), out_to.append(marks[unit, end])
-    for u in np.flatnonzero(length > LONG):
-        raw = data[starts[u] : ends[u]].tobytes()
-        at = int(starts[u])
-        found = _one(model, raw.decode("utf-8"))
-        size = np.array([len(p.encode("utf-8")) for p in found])
-        frm = at + np.concatenate(([0], np.cumsum(size)[:-1]))
-        out_unit.append(np.full(len(found), u)), out_from.append(frm), out_to.append(frm + size)
-        out_piece.append(np.array([model.by_text.get(p, -1) for p in found], dtype=np.int32))
+            false = np.unique(unit[~model.spells(ids[unit, frm], codes, starts[part[unit]] + frm, to[unit, frm] - frm)])
+            if len(false):  # a hash of a piece without its characters
+                doubtful.append(part[false])
+                keep = ~np.isin(unit, false)
+                unit, frm = unit[keep], frm[keep]
+            first = starts[part[unit]]
+            out_unit.append(part[unit]), out_from.append(first + frm), out_piece.append(ids[unit, frm]), out_to.append(first + to[unit, frm])
+    for u in np.concatenate(doubtful):
+        found = np.array(_one(model, codes[starts[u] : ends[u]].tobytes().decode("utf-32-le")))
+        to = starts[u] + found[:, 0]
+        out_unit.append(np.full(len(found), u)), out_from.append(np.concatenate(([starts[u]], to[:-1]))), out_to.append(to), out_piece.append(found[:, 1].astype(np.int32))
     if not out_unit:
         return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
     unit, frm, piece, to = (np.concatenate(x) for x in (out_unit, out_from, out_piece, out_to))
     order = np.lexsort((frm, unit))
     unit, frm, piece, to = unit[order], frm[order], piece[order], to[order]
     # Characters without a piece: one id per byte, or the unknown piece.
-    size = np.where((piece < 0) & (model.byte_id[0] >= 0), to - frm, 1)
+    own = codes[frm]
+    size = np.where((piece < 0) & (model.byte_id[0] >= 0), 1 + (own > 0x7F) + (own > 0x7FF) + (own > 0xFFFF), 1)
     begin = np.concatenate(([0], np.cumsum(size)))
     tokens = np.repeat(piece, size)
-    spot = np.repeat(frm - begin[:-1], size) + np.arange(begin[-1])
-    lost = tokens < 0
-    tokens[lost] = model.byte_id[data[spot[lost]]] if model.byte_id[0] >= 0 else model.unknown
+    lost = np.flatnonzero(tokens < 0)
+    if len(lost) and model.byte_id[0] >= 0:
+        which = (np.arange(begin[-1]) - np.repeat(begin[:-1], size))[lost]
+        tokens[lost] = model.byte_id[_utf8(np.repeat(own, size)[lost], which)]
+    tokens[tokens < 0] = model.unknown
     return tokens, np.concatenate(([0], np.cumsum(np.bincount(np.repeat(unit, size), minlength=n))))
 
 
@@ -289,19 +444,24 @@ def normalise(model, text: str) -> str:
 
 def encode(model, texts):
     """Token ids of a list of strings: (ids, begin of each text)."""
-    raw = [((" " if model.prefix else "") + t).encode("utf-8") if (t := normalise(model, x)) else b"" for x in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    raw = [(" " if model.prefix else "") + t if (t := normalise(model, x)) else "" for x in texts]
+    codes = _codes("".join(raw))
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    if not len(data):
+    if not len(codes):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    blank = data == 0x20
-    begin = np.zeros(len(data), dtype=bool)
-    begin[1:] = blank[1:] & ~blank[:-1]
+    begin = np.zeros(len(codes), dtype=bool)
+    begin[1:] = ~model.crossed(codes)
     begin[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(begin)
-    ends = np.append(starts[1:], len(data))
-    _, pick, inverse = np.unique(tx.hash_words(data, starts, ends), return_index=True, return_inverse=True)
-    tokens, of = _units(model, data, starts[pick], ends[pick])
+    ends = np.append(starts[1:], len(codes))
+    data = codes.view(np.uint8)
+    _, pick, inverse = np.unique(tx.hash_words(data, 4 * starts, 4 * ends), return_index=True, return_inverse=True)
+    # Units of equal hash but other characters stand for themselves.
+    alike = pick[inverse]
+    other = np.flatnonzero((ends - starts != ends[alike] - starts[alike]) | ~tx.same_bytes(data, 4 * starts, 4 * starts[alike], 4 * np.minimum(ends - starts, ends[alike] - starts[alike])))
+    inverse[other] = len(pick) + np.arange(len(other))
+    pick = np.append(pick, other)
+    tokens, of = _units(model, codes, starts[pick], ends[pick])
     size = np.diff(of)[inverse]
     after = np.concatenate(([0], np.cumsum(size)))
     ids = tokens[np.repeat(of[:-1][inverse] - after[:-1], size) + np.arange(after[-1])]
@@ -323,6 +483,18 @@ def decode(model, ids, begin, step: int = 1 << 18):
     return out
 
 
+_models = {}
+
+
+def _model(data: bytes) -> Model:
+    """The worker's own copy of a model, kept from task to task with the pairs it has met."""
+    key = hashlib.sha256(data).digest()
+    if key not in _models:
+        _models.clear()
+        _models[key] = Model(data)
+    return _models[key]
+
+
 def encode_documents(docs: DataFrame, text_col: str = "text", model_file: str = MODEL, piece_bytes: int = 3 << 20) -> DataFrame:
     """``docs`` with ids (array<int>), n_tokens, decoded (string) and round_trip (decoded equals the normalised text)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -339,7 +511,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_file: str =
     schema = to_arrow_schema(out)
 
     def job(batches):
-        model = Model(sent.value)
+        model = _model(sent.value)
         for batch in batches:
             column = batch.column(source)
             _, offsets = tx.column_bytes(column)

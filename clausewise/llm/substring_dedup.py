@@ -25,10 +25,11 @@ several reaches, is told to the tasks by bit filters while these stay within the
 (a join that adaptive execution splits where one hash is hot), and each document with the places
 of its own repeats. Texts are shuffled once with filters, twice without.
 
-Defined results. A null text has no words. Documents of fewer than ``window`` words lose
-nothing. A null id comes after all others. Rows that share an id are ordered by a hash of
-their text; rows that repeat id and text count as one document and get equal results. Other
-columns are passed on untouched (the names that this operator adds are replaced).
+Defined results. A null text has no words; an empty table has no rows. Documents of fewer than ``window`` words lose
+nothing. A null id comes after all others. Rows that share an id (null ids too) are ordered by a 64-bit hash of
+their text, which is carried whole beside the id; rows that repeat id and text count as one document and get equal
+results. Very long texts are one row of one batch, worked on whole. Windows are told apart by 128 bits of hash (the anchor
+and its place, and the words). Other columns are passed on untouched, whatever their names (the names that this operator adds are replaced).
 """
 
 from __future__ import annotations
@@ -64,9 +65,8 @@ class Anchors:
         self.lo = self.hi = self.at = empty
         if self.n < window:
             return
-        self.sums = tx.prefix(tx.hash_words(data, starts, ends), tx.WORDS_P)
-        i = np.arange(self.n - k + 1)
-        grams = tx.spans_hash(self.sums, tx.WORDS_P, i, i + k)
+        words = tx.hash_words(data, starts, ends)
+        grams, self.runs = tx.runs(words, k), tx.runs(words, window)
         chosen = tx.sliding_argmin(grams, window - k + 1)
         begin = np.flatnonzero(self.row[: self.n - window + 1] == self.row[window - 1 :])
         if not len(begin):
@@ -76,13 +76,14 @@ class Anchors:
         self.lo, self.hi = begin[edge], begin[np.concatenate((edge[1:], [len(begin)])) - 1]
         self.at = chosen[edge]
         self.hash = grams[self.at]
-        span = tx.spans_hash(self.sums, tx.WORDS_P, self.lo, self.hi + window)
-        self.reach = tx.mix(span ^ (self.at - self.lo).astype(tx.U) * tx.U(0x9E3779B97F4A7C15))
+        # The first and the last window cover the whole reach between them.
+        span = tx.join(self.runs[self.lo], self.runs[self.hi])
+        self.reach = tx.join(span, ((self.at - self.lo) << 32 | (self.hi - self.lo)).astype(tx.U))
 
-    def place(self, mark, lo):
-        """Row mark (23 bits), start in the row's words (36 bits) in one ordered value."""
+    def places(self, key, mark, lo):
+        """Columns that say where the starts ``lo`` are: the row's key and mark, and the word in the row."""
         row = self.row[lo]
-        return (mark[row] << 36) | (lo - self.first[row])
+        return {"key": key[row], "mark": mark[row], "place": lo - self.first[row]}
 
     def windows(self, keep):
         """(anchor index, start) of every window of the kept anchors."""
@@ -94,9 +95,7 @@ class Anchors:
 
     def window_keys(self, anchor, start):
         """128 bits for (anchor, place of the window around it, its words)."""
-        words = tx.spans_hash(self.sums, tx.WORDS_P, start, start + self.window)
-        seed = tx.mix(self.hash[anchor] + (self.at[anchor] - start).astype(tx.U))
-        return seed, words
+        return tx.mix(self.hash[anchor] + (self.at[anchor] - start).astype(tx.U)), self.runs[start]
 
 
 def _pieces(batch, window, k):
@@ -127,7 +126,7 @@ def _reach_job(window, k, seen):
                 ok = seen.passes(a.hash) if seen else np.ones(len(a.hash), dtype=bool)
                 if ok.any():
                     start = a.lo[ok]
-                    yield _longs(h=a.hash[ok], reach=a.reach[ok], key=key[lo:hi][a.row[start]], place=a.place(mark[lo:hi], start))
+                    yield _longs(h=a.hash[ok], reach=a.reach[ok], **a.places(key[lo:hi], mark[lo:hi], start))
 
     return job
 
@@ -143,7 +142,7 @@ def _window_job(window, k, seen, edges):
                 anchor, start = a.windows(seen.passes(a.hash) & edges.passes(a.hash) if edges else own.holds(lo, hi, a, a.lo))
                 if len(anchor):
                     seed, words = a.window_keys(anchor, start)
-                    yield _longs(seed=seed, words=words, key=key[lo:hi][a.row[start]], place=a.place(mark[lo:hi], start))
+                    yield _longs(seed=seed, words=words, **a.places(key[lo:hi], mark[lo:hi], start))
 
     return job
 
@@ -224,7 +223,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Columns travel under private names, so that none can clash with the operator's own.
     base = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("_key"),
-        F.expr(f"pmod(xxhash64(`{text_col}`), {1 << 23}L)").alias("_mark"),
+        F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_mark"),
         F.col(f"`{id_col}`").alias("_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
         *[F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(keep)],
@@ -233,29 +232,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = slim.select("text").mapInArrow(_hash_job(window, shingle), "h long").groupBy("h").count()
     twice = cut(counts.where("count > 1").select("h"), "repeated")
     seen = Filter.make(twice, "h", most_bits)
-    places = slim.mapInArrow(_reach_job(window, shingle, seen), "h long, reach long, key long, place long")
+    where = "key long, mark long, place long"
+    places = slim.mapInArrow(_reach_job(window, shingle, seen), f"h long, reach long, {where}")
     if not seen:
         places = cut(places.join(twice, "h", "left_semi"), "places")
     # Earliest member of each class; with a filter also of anchors that only seem to be repeated.
-    firsts = cut(places.groupBy("h", "reach").agg(F.min(F.struct("key", "place")).alias("f")).select("h", "reach", "f.key", "f.place"), "firsts")
+    least = F.min(F.struct("key", "mark", "place")).alias("f")
+    firsts = cut(places.groupBy("h", "reach").agg(least).select("h", "reach", "f.*"), "firsts")
     several = cut(firsts.groupBy("h").count().where("count > 1").select("h"), "edges")
     edges = Filter.make(several, "h", most_bits) if seen else None
-    if seen and not edges:
-        return substring_dedup(docs, id_col, text_col, window, shingle, 0)
-    mark, start = F.shiftright("place", 36), F.col("place").bitwiseAND(F.lit((1 << 36) - 1))
-    listed = lambda rows, name: rows.select(F.col("key").alias("_key"), mark.alias("_mark"), start.alias("at"), F.lit(name).alias("list"))
+    listed = lambda rows, name: rows.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("place").alias("at"), F.lit(name).alias("list"))
     source, lists = slim, []
     if edges:
         lists.append(listed(firsts, "_firsts"))
     else:
+        if seen:  # too many edges for a filter: from here on by joins, with the places found so far
+            places, seen = cut(places, "places"), None
         at_edge = cut(listed(firsts.join(several, "h", "left_semi"), "_edges"), "at_edge")
         per_doc = at_edge.groupBy("_key", "_mark").agg(F.collect_list("at").alias("_edges"))
         source = slim.join(per_doc, ["_key", "_mark"])
-        first = firsts.select("h", "reach", F.col("key").alias("k1"), F.col("place").alias("p1"))
-        later = places.join(first, ["h", "reach"]).where("key <> k1 or place <> p1")
+        first = firsts.select("h", "reach", F.struct("key", "mark", "place").alias("first"))
+        later = places.join(first, ["h", "reach"]).where(F.struct("key", "mark", "place") != F.col("first"))
         lists += [at_edge, listed(later, "_repeats")]
-    windows = source.mapInArrow(_window_job(window, shingle, seen, edges), "seed long, words long, key long, place long")
-    windows = windows.groupBy("seed", "words").agg(F.min(F.struct("key", "place")).alias("f")).select("f.key", "f.place")
+    windows = source.mapInArrow(_window_job(window, shingle, seen, edges), f"seed long, words long, {where}")
+    windows = windows.groupBy("seed", "words").agg(least).select("f.*")
     lists.append(listed(windows, "_windows"))
     rows = functools.reduce(DataFrame.unionByName, lists)
     own = rows.groupBy("_key", "_mark").agg(*[F.collect_list(F.when(F.col("list") == n, F.col("at"))).alias(n) for n in LISTS])

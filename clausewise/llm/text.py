@@ -2,26 +2,31 @@
 
 Words are the runs of bytes outside space and ``\\t\\n\\v\\f\\r``; these bytes are ASCII, so
 cutting the UTF-8 bytes cuts the same words as the code-point pattern ``[^\\x20\\x09-\\x0D]+``.
-All hashes are polynomials modulo 2**64 over random byte codes, finished by an avalanche
-step: prefix sums then give the hash of every word and of every run of words in constant
-time. Work goes in pieces of about one megabyte, so memory does not grow with a batch.
+A word's 64-bit hash chains its 8-byte blocks through an avalanche that is one-to-one, so words of
+one length of at most 8 bytes never collide; words beyond ``LONG_WORD`` bytes are hashed by BLAKE2. Runs of
+words are hashed by joining the hashes of shorter runs through the same avalanche. Nothing here is a polynomial,
+so texts of regular structure collide no more often than any others. Work goes in pieces of about one
+megabyte, so memory does not grow with a batch.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+LONG_WORD = 64
 U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240611))
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: What stays of an 8-byte block of which only so many bytes belong to the word.
+OWN = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
 
 
 def mix(x):
-    """Avalanche of uint64 values, in place on a fresh array."""
+    """Avalanche of uint64 values, one to one, in place on a fresh array."""
     x = x ^ (x >> U(30))
     x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
@@ -30,38 +35,26 @@ def mix(x):
     return x
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, extended on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U)
-
-    def get(self, n: int):
-        if len(self.up) < n:
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                p = np.full(max(n, PIECE), b, dtype=U)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up, self.down
+def join(a, b):
+    """Hash of two neighbouring runs from theirs."""
+    return mix(a * U(0xA0761D6478BD642F) + b)
 
 
-BYTES_P = Powers(0x9E3779B97F4A7C15)
-WORDS_P = Powers(0xD1B54A32D192ED03)
-
-
-def prefix(values, powers: Powers):
-    """Prefix sums of values times powers: one more entry than values."""
-    up, _ = powers.get(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
-
-
-def spans_hash(sums, powers: Powers, lo, hi):
-    """Hashes of the runs [lo, hi) given ``prefix`` sums; equal runs get equal hashes."""
-    _, down = powers.get(len(sums))
-    return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(U) * U(0xA0761D6478BD642F))
+def runs(values, k: int):
+    """Hashes of every run of ``k`` neighbouring values, by doubling."""
+    out, size, power = None, 0, [values]
+    while 2 << len(power) - 1 <= k:
+        half, p = 1 << len(power) - 1, power[-1]
+        power.append(join(p[:-half], p[half:]) if len(p) > half else p[:0])
+    for bit in reversed(range(len(power))):
+        if k >> bit & 1:
+            if out is None:
+                out = power[bit]
+            else:
+                n = max(0, len(values) - size - (1 << bit) + 1)
+                out = join(out[:n], power[bit][size : size + n])
+            size += 1 << bit
+    return out if k > 1 else mix(values)
 
 
 def column_bytes(column):
@@ -105,16 +98,40 @@ def find_words(data, offsets, space=SPACE):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data, starts, ends, code=BYTE_CODE):
-    """64-bit hash of each word; bytes are read in pieces cut between words."""
-    out = np.empty(len(starts), dtype=U)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, side="right")))
-        base = starts[i]
-        sums = prefix(code[data[base : ends[j - 1]]], BYTES_P)
-        out[i:j] = spans_hash(sums, BYTES_P, starts[i:j] - base, ends[i:j] - base)
-        i = j
+def blocks(data):
+    """The 8 bytes that begin at every place of ``data`` (zeros beyond its end), as little-endian uint64."""
+    wide = np.zeros(len(data) + 8, dtype=np.uint8)
+    wide[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", wide, strides=(1,))
+
+
+def hash_words(data, starts, ends):
+    """64-bit hash of each word."""
+    size = ends - starts
+    eight = blocks(data)
+    out = mix((eight[starts] & OWN[np.minimum(size, 8)]) + size.astype(U) * U(0xD6E8FEB86659FD93))
+    live = np.flatnonzero(size > 8)
+    for at in range(8, LONG_WORD, 8):
+        if not len(live):
+            break
+        out[live] = mix(out[live] ^ (eight[starts[live] + at] & OWN[np.minimum(size[live] - at, 8)]))
+        live = live[size[live] > at + 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(data, a, b, size):
+    """Whether the ``size`` bytes from each place of ``a`` equal those from ``b``."""
+    out = np.ones(len(a), dtype=bool)
+    eight, live, at = blocks(data), np.flatnonzero((a != b) & (size > 0)), 0
+    while len(live) and at < LONG_WORD:
+        own = OWN[np.minimum(size[live] - at, 8)]
+        out[live] &= (eight[a[live] + at] & own) == (eight[b[live] + at] & own)
+        at += 8
+        live = live[size[live] > at]
+    for i in live[out[live]]:
+        out[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
     return out
 
 
@@ -135,25 +152,36 @@ def sliding_argmin(values, width: int):
     return index
 
 
-def shingles(sums, first, k: int):
+def shingles(values, first, k: int):
     """Hashes of the k-word shingles of each row and the index of each row's first shingle.
 
     A row of 1 to k-1 words has one shingle, all its words; a row without words has none.
-    ``sums`` are prefix sums over the rows' word hashes, ``first`` the rows' first words.
+    ``values`` are the rows' word hashes, ``first`` the rows' first words.
     """
     n = np.diff(first)
     count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
     begin = np.zeros(len(count) + 1, dtype=np.int64)
     np.cumsum(count, out=begin[1:])
     lo = np.repeat(first[:-1] - begin[:-1], count) + np.arange(begin[-1])
-    hi = np.minimum(lo + k, np.repeat(first[1:], count))
-    return spans_hash(sums, WORDS_P, lo, hi), begin
+    every = runs(values, k)
+    out = np.zeros(len(lo), dtype=U)
+    whole = np.repeat(n >= k, count)
+    out[whole] = every[lo[whole]]
+    for size in range(1, k):
+        short = np.flatnonzero(n == size)
+        if len(short):
+            own = values[first[short][:, None] + np.arange(size)]
+            h = np.full(len(short), size, dtype=U)
+            for column in own.T:
+                h = join(h, column)
+            out[begin[short]] = h
+    return out, begin
 
 
 def row_shingles(data, offsets, k: int):
     """``shingles`` straight from bytes and row offsets."""
     starts, ends, first = find_words(data, offsets)
-    return shingles(prefix(hash_words(data, starts, ends), WORDS_P), first, k)
+    return shingles(hash_words(data, starts, ends), first, k)
 
 
 def sorted_sets(values, begin):

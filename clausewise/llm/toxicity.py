@@ -49,14 +49,14 @@ U = tx.U
 
 #: Words are runs of ASCII letters and digits and of bytes above 127; case is folded for ASCII.
 _apart = np.array([not (chr(b).isalnum() or b > 127) if b < 128 else False for b in range(256)])
-_fold = tx.BYTE_CODE.copy()
-_fold[ord("A") : ord("Z") + 1] = tx.BYTE_CODE[ord("a") : ord("z") + 1]
+_fold = np.arange(256, dtype=np.uint8)
+_fold[ord("A") : ord("Z") + 1] = _fold[ord("a") : ord("z") + 1]
 
 
 def _hashed(data, offsets):
     """Word hashes of the rows of one piece and each row's first word."""
     starts, ends, first = tx.find_words(data, offsets, _apart)
-    return tx.hash_words(data, starts, ends, _fold), first
+    return tx.hash_words(_fold[data], starts, ends), first
 
 
 def _word_counts(batches):

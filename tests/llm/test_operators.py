@@ -367,16 +367,20 @@ def texts():
     return PIECES + ["".join(r.choice("ab cé\n日xyz  ▁😀t") for _ in range(r.randint(0, 60))) for _ in range(300)] + [t for _, t in corpus(1)]
 
 
-@pytest.mark.parametrize("unigram", [False, True])
-def test_encoding_is_the_librarys(unigram):
-    import sentencepiece as library
-
+def model_file(unigram):
     with open(sentencepiece.MODEL, "rb") as f:
         data = f.read()
     if unigram:  # the same pieces, read as a unigram model
         i = data.rindex(b"\x12\x06tok_v0\x18\x02")
         data = data[: i + 9] + b"\x01" + data[i + 10 :]
-    model, own = sentencepiece.Model(data), library.SentencePieceProcessor(model_proto=data)
+    return data
+
+
+@pytest.mark.parametrize("unigram", [False, True])
+def test_encoding_is_the_librarys(unigram):
+    import sentencepiece as library
+
+    model, own = sentencepiece.Model(model_file(unigram)), library.SentencePieceProcessor(model_proto=model_file(unigram))
     ids, begin = sentencepiece.encode(model, texts())
     got = [ids[a:b].tolist() for a, b in itertools.pairwise(begin)]
     assert got == [own.encode(t) for t in texts()]
@@ -384,19 +388,50 @@ def test_encoding_is_the_librarys(unigram):
 
 
 def test_viterbi_is_the_best_path():
-    with open(sentencepiece.MODEL, "rb") as f:
-        model = sentencepiece.Model(f.read())
+    """Against all cuts of short units: the best sum of scores."""
+    model = sentencepiece.Model(model_file(unigram=True))
     for unit in (" hello", " the", "abcab", " aüz"):
-        data = np.frombuffer(unit.encode(), np.uint8)
-        places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[None]
-        ids = sentencepiece._tables(model, tx.prefix(tx.BYTE_CODE[data], tx.BYTES_P), places)
-        ends = sentencepiece.viterbi(model, ids)[0]
-        low = float(model.score[model.ids].min()) - 10
+        ends, ids = (x[0] for x in sentencepiece.viterbi(model, sentencepiece._codes(unit)[None]))
         def cost(cuts):
-            return sum(float(model.score[ids[0, a, b]]) if ids[0, a, b] >= 0 else (low if b == a + 1 else -np.inf) for a, b in itertools.pairwise(cuts))
+            own = [model.by_text.get(unit[a:b]) for a, b in itertools.pairwise(cuts)]
+            return sum(float(model.score[i]) if i is not None else (model.lowest if b == a + 1 else -np.inf) for i, (a, b) in zip(own, itertools.pairwise(cuts)))
         n = len(unit)
         best = max(cost([0, *c, n]) for k in range(n) for c in itertools.combinations(range(1, n), k))
-        assert cost([0, *[e for e in ends if e]]) == best
+        cuts = [0, *[e for e in ends if e]]
+        assert cost(cuts) == best and [ids[a] for a in cuts[:-1]] == [model.by_text.get(unit[a:b], -1) for a, b in itertools.pairwise(cuts)]
+
+
+def merged(model, unit):
+    """Pieces of a unit by merging the best-scoring pair of neighbours, leftmost on ties."""
+    parts = list(unit)
+    while True:
+        found = [(-float(model.score[model.by_text[a + b]]), i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in model.by_text]
+        if not found:
+            return parts
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_viterbi_over_merge_ranks_is_the_one_path_whose_neighbours_stay_apart():
+    model = sentencepiece.Model(model_file(unigram=False))
+    r, pieces = random.Random(6), list(model.by_text)
+    pairs = [(r.choice(pieces), r.choice(pieces)) for _ in range(2000)]
+    pairs += [(w[:k], w[k:]) for w in r.sample([p for p in pieces if len(p) > 3], 500) for k in range(1, len(w)) if w[:k] in model.by_text and w[k:] in model.by_text]
+    got = model.apart(*(np.array([model.by_text[p[i]] for p in pairs]) for i in (0, 1)))
+    assert got.tolist() == [merged(model, a + b) == [a, b] for a, b in pairs] and 100 < got.sum() < len(got) - 100
+    for unit in ["".join(r.choice(pieces) for _ in range(r.randint(1, 3)))[:30] for _ in range(300)]:
+        ends, ids = (x[0] for x in sentencepiece.viterbi(model, sentencepiece._codes(unit)[None]))
+        cuts = [0, *[e for e in ends if e]]
+        assert [unit[a:b] for a, b in itertools.pairwise(cuts)] == merged(model, unit)
+
+
+def test_long_units_and_few_remembered_pairs(monkeypatch):
+    model = sentencepiece.Model(model_file(unigram=False))
+    want = sentencepiece.encode(model, texts())
+    monkeypatch.setattr(sentencepiece, "LONG", 3)
+    monkeypatch.setattr(sentencepiece, "PAIRS", 50)
+    got = sentencepiece.encode(sentencepiece.Model(model_file(unigram=False)), texts())
+    assert all((a == b).all() for a, b in zip(got, want))
 
 
 def test_encode_documents(spark):
