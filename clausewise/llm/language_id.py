@@ -12,12 +12,14 @@ log-likelihood of the first by more than words * ln(largest gradient per word).
 the language with the largest proportion, which is also its score.
 
 Scale. At most ``SAMPLE`` labelled documents per language are counted (those whose id has the least
-hash, picked by a hash bound, not by sorting); counting combines before the shuffle. Prediction is one
+hash, picked by a hash bound, not by sorting), of the ``LANGUAGES`` with the most documents; counting combines before the shuffle. Prediction is one
 narrow pass with a table of 2**16 floats per language.
 
+A piece is smaller the more languages there are, so memory follows the longest text alone.
+
 Defined results. A null text, or one without a letter, is ``und`` with score 0; so is every text when
 nothing can be learned. Ties go to the language that sorts first. Null languages and null ids are not
-learned from. Repeated rows are predicted alike; other columns are ignored.
+learned from. A very long text is read whole. An empty table has no rows. Repeated rows are predicted alike; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 SAMPLE = 4_000
+#: Most languages that are learned: labels beyond the most frequent ones are not, so junk labels do not fill the driver.
+LANGUAGES = 200
 BUCKETS = 1 << 16
 SMOOTH = 0.1
 ROUNDS = 6
@@ -91,15 +95,16 @@ class Model:
         self.langs, self.table = langs, table
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+    """Learns from about ``sample`` documents of each of the ``languages`` labels that most documents have (of equally frequent ones those that sort first)."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
-    n = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     langs = sorted(n)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     # A hash bound that lets about ``sample`` documents of each language pass.
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / n[k]))])
-    picked = base.where(F.expr("pmod(xxhash64(id, 7), 1000000) / 1000000D") < share[F.col("lang")])
+    picked = base.where(F.col("lang").isin(langs)).where(F.expr("pmod(xxhash64(id, 7), 1000000) / 1000000D") < share[F.col("lang")])
     counts = picked.select("text", "lang").mapInArrow(_count(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(langs)), SMOOTH)
     table[counts.column("bucket").to_numpy(), counts.column("lang").to_numpy()] += counts.column("n").to_numpy()
@@ -163,7 +168,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             data, offsets = tx.column_bytes(batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             pred, score, shares = [], [], []
-            for lo, hi in tx.pieces(offsets):
+            for lo, hi in tx.pieces(offsets, max(1 << 14, tx.PIECE * 4 // max(4, len(model.langs)))):
                 if model.langs:
                     best, part, full = infer(model, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     known = letters[lo:hi]
