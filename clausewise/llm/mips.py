@@ -5,19 +5,21 @@ the part of the residual that is parallel to the vector weighs ``eta`` times the
 products. Assignments descend coordinate by coordinate, codewords solve the weighted least squares.
 The codebooks are fitted on at most ``SAMPLE`` vectors (those with the least hash of their id).
 
-Search. All vectors are encoded, four bits a subspace, two to a byte. Queries and candidates meet in
-cells of a query block and a candidate block. In a cell each query scans the packed codes through its table
-(one lookup a byte), keeps the ``RERANK`` best, reranks them by the exact inner product in double precision
-and emits its ``k`` best; the best over all cells are kept with a limit per group before the shuffle.
-Equal vectors of a block are scanned once, so a vector that very many rows share neither crowds others
-out nor costs more, and its smallest ids are emitted.
-
-Scale. A stated query set meets all rows in blocks: each vector is sent to every block of queries and each
-query to every block of vectors; a cell holds ``CANDIDATES`` + ``QUERIES`` vectors at most.
-
-Defined results. Vectors that are null, zero, of another than the commonest length (the longer on ties) or that hold null or
-non-finite components take no part, nor do null ids. A query's own id is no candidate. Rows that repeat an id are each candidates.
-Ties go to the smaller id. With fewer candidates than ``k`` all are returned. Other columns are ignored.
+Index. Every distinct vector is encoded once, four bits a subspace, two to a byte; equal vectors are one entry that
+stands for its ``k`` + 1 least ids, so a vector that very many rows share neither crowds others out nor costs more.
+
+Search. Queries and codes meet in cells of a query block and a code block. In a cell each query scans the packed codes
+through its table (one lookup a byte) and keeps the best, its share of ``rerank`` with six deviations to spare; over all cells its ``rerank`` best are kept, with a limit per group before
+the shuffle. Their vectors are joined, the exact inner products in double precision rank them, and the ``k`` best rows stay.
+
+Scale. A stated query set meets all rows in blocks: what travels to every block of queries are codes (a byte for four
+dimensions), and what travels to every block of codes are queries. Blocks grow with the data up to ``QUERIES`` and ``CANDIDATES``, which
+bounds a cell; a vector is shuffled once to be fetched and once for each short list it is on.
+
+Defined results. Vectors that are null, zero, of another than the commonest length (the longer on ties; their product with the rest is
+not defined) or that hold null or non-finite components take no part, nor do null ids; very long ones only cost more. A query's own id is no candidate.
+Rows that repeat an id are each candidates and each queries, equal rows are one query. Ties go to the smaller id. With fewer candidates than ``k`` all are returned;
+an empty table has no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,16 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, small_batches
 
 SUB = 2
 CODES = 16
 SAMPLE = 10_000
 THRESHOLD = 0.2
 ROUNDS = 4
-RERANK = 200
-CANDIDATES = 16_384
-QUERIES = 1_024
+#: Vectors reranked exactly for a query over a table of ``USUAL`` rows; more for larger tables, as the ``POWER`` of their size.
+RERANK, USUAL, POWER = 400, 50_000, 0.4
+#: Most codes and queries in a cell (some 40 and 600 bytes each), and how many are looked at together.
+CANDIDATES = 1 << 20
+QUERIES = 1 << 14
+SCAN = 1 << 16
+#: Most bytes of query vectors that are sent to all executors for reranking; more are joined by shuffle.
+SENT = 16 << 20
 
 
 class Index:
@@ -123,54 +130,63 @@ def _vectors(column, dim):
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def search_block(index, q_ids, q, c_ids, c, k, rerank):
-    """The k best candidates of one block for each query: (query id, candidate id, score), best first."""
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    # Equal vectors stand for one another; ``where`` lists the rows of each distinct one by id.
-    raw = np.ascontiguousarray(c + 0.0).view(np.dtype((np.void, c.shape[1] * 8)))[:, 0]
-    _, first, group = np.unique(raw, return_index=True, return_inverse=True)
-    where = np.argsort(group, kind="stable")
-    begin = np.searchsorted(group[where], np.arange(len(first) + 1))
-    packed = index.pack(index.encode(c[first]))
-    columns = np.ascontiguousarray(packed.T).astype(np.int64)
+def scan(index, q, packed, rerank):
+    """The ``rerank`` best rows of the packed codes for each query, by rough score: (query, row, score)."""
     out = []
     for lo in range(0, len(q), 64):
-        table = index.tables(q[lo : lo + 64])
-        for row in range(len(table)):
-            rough = table[row, 0][columns[0]]
-            for b in range(1, len(columns)):
-                rough += table[row, b][columns[b]]
-            if len(rough) > rerank:
-                top = np.argpartition(-rough, rerank)[:rerank]
-            else:
-                top = np.arange(len(rough))
-            exact = (c[first[top]] * q[lo + row]).sum(axis=1)
-            # Of each vector at most k + 1 rows can matter (one may be the query's own).
-            n = np.minimum(begin[top + 1] - begin[top], k + 1)
-            at = where[np.repeat(begin[top] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-            score = np.repeat(exact, n)
-            keep = c_ids[at] != q_ids[lo + row]
-            at, score = at[keep], score[keep]
-            best = np.lexsort((c_ids[at], -score))[:k]
-            out.append((np.full(len(best), q_ids[lo + row]), c_ids[at[best]], score[best]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-
-
-def _cell(index, k, rerank):
-    def job(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        table, best = index.tables(q[lo : lo + 64]), [None] * min(64, len(q) - lo)
+        for begin in range(0, len(packed), SCAN):
+            columns = np.ascontiguousarray(packed[begin : begin + SCAN].T).astype(np.int64)
+            for row in range(len(table)):
+                rough = table[row, 0][columns[0]]
+                for b in range(1, len(columns)):
+                    rough += table[row, b][columns[b]]
+                top = np.argpartition(-rough, rerank)[:rerank] if len(rough) > rerank else np.arange(len(rough))
+                at, score = begin + top, rough[top]
+                if best[row] is not None:
+                    at, score = np.append(best[row][0], at), np.append(best[row][1], score)
+                    if len(at) > rerank:
+                        top = np.argpartition(-score, rerank)[:rerank]
+                        at, score = at[top], score[top]
+                best[row] = at, score
+        out += [(np.full(len(at), lo + row), at, score) for row, (at, score) in enumerate(best)]
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def _encoder(index):
+    def job(batches):
         model = index.value
-        if not queries.num_rows or not rows.num_rows:
-            found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        else:
-            found = search_block(
-                model, queries.column("id").to_numpy(), _vectors(queries.column("v").combine_chunks(), model.dim), rows.column("id").to_numpy(), _vectors(rows.column("v").combine_chunks(), model.dim), k, rerank
-            )
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+        for batch in batches:
+            if batch.num_rows:
+                code = model.pack(model.encode(_vectors(batch.column("v"), model.dim)))
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "a": batch.column("a"), "b": batch.column("b"), "code": pa.array([c.tobytes() for c in code], pa.binary())})
 
     return job
 
 
+def _cell(index, rerank):
+    def job(queries: pa.Table, codes: pa.Table) -> pa.Table:
+        model, columns = index.value, ("query_id", "qa", "qb")
+        if not queries.num_rows or not codes.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in (*columns, "a", "b")} | {"rough": pa.array([], pa.float32())})
+        packed = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(codes.num_rows, -1)
+        row, at, rough = scan(model, _vectors(queries.column("v").combine_chunks(), model.dim), packed, rerank)
+        found = {c: queries.column(c).to_numpy()[row] for c in columns} | {c: codes.column(c).to_numpy()[at] for c in ("a", "b")}
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in found.items()} | {"rough": pa.array(rough, pa.float32())})
+
+    return job
+
+
+def blocks(m: int, n: int, queries: int, candidates: int, cells: int):
+    """Numbers of query and of code blocks: blocks as large as allowed, but so many cells if there are rows for them."""
+    while math.ceil(m / queries) * math.ceil(n / candidates) < cells and (queries > 256 or candidates > 4096):
+        if candidates > 4096 and (candidates >= 16 * queries or queries <= 256):
+            candidates = max(4096, candidates // 2)
+        else:
+            queries = max(256, queries // 2)
+    return math.ceil(m / queries), math.ceil(n / candidates)
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the vectors that take part."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where(
@@ -183,20 +199,38 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def mips_search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, sample: int = SAMPLE, rerank: int = RERANK, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    rows = cut(usable(vectors, id_col, vector_col), "vectors")
-    asked = rows.where(F.col("id") % every == 0)
+    small_batches(spark)
+    plain = usable(vectors, id_col, vector_col).select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))  # no negative zeros
+    rows = cut(plain.select("id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), F.col("v")).alias("b")), "vectors")
+    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "a", "b"]).select(F.col("id").alias("query_id"), F.col("a").alias("qa"), F.col("b").alias("qb"), "v")
     n, m = rows.count(), asked.count()
-    schema = "query_id long, vec_id long, score double"
     if not n or not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    known = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    known = rows.orderBy(F.xxhash64("id"), "id", "a").limit(sample).select("v").toArrow().column("v").combine_chunks()
     x = known.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(known), -1)
     index = spark.sparkContext.broadcast(fit(x))
-    q_blocks, c_blocks = math.ceil(m / queries), math.ceil(n / candidates)
-    block = lambda of, salt: F.expr(f"cast(pmod(xxhash64(id, {salt}), {of}) as int)")
+    codes = rows.select("id", "a", "b", "v").mapInArrow(_encoder(index), "id long, a long, b long, code binary")
+    nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))
+    entries = cut(codes.withColumn("nth", nth).where(F.col("nth") <= k + 1), "codes")
+    members = entries.select("a", "b", F.col("id").alias("vec_id"))
+    q_blocks, c_blocks = blocks(m, n, queries, candidates, 2 * spark.sparkContext.defaultParallelism)
+    block = lambda of, salt, *by: F.pmod(F.xxhash64(*by, F.lit(salt)), F.lit(of)).cast("int")
     every_of = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = asked.withColumn("qb", block(q_blocks, 1)).withColumn("cb", every_of(c_blocks)).groupBy("qb", "cb")
-    right = rows.withColumn("cb", block(c_blocks, 2)).withColumn("qb", every_of(q_blocks)).groupBy("qb", "cb")
-    found = left.cogroup(right).applyInArrow(_cell(index, k, rerank), schema)
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    left = asked.withColumn("x", block(q_blocks, 1, "query_id", "qa")).withColumn("y", every_of(c_blocks)).groupBy("x", "y")
+    right = entries.where("nth = 1").withColumn("y", block(c_blocks, 2, "a")).withColumn("x", every_of(q_blocks)).groupBy("x", "y")
+    # Codes are dealt by hash, so a block holds its share of the best ones; six deviations are added to it.
+    rerank = math.ceil(rerank * max(1.0, n / USUAL) ** POWER)
+    own = min(rerank, math.ceil(rerank / c_blocks + 6 * math.sqrt(rerank / c_blocks) + 10))
+    found = left.cogroup(right).applyInArrow(_cell(index, own), "query_id long, qa long, qb long, a long, b long, rough float")
+    query = ("query_id", "qa", "qb")
+    place = lambda *order: F.row_number().over(Window.partitionBy(*query).orderBy(*order))
+    short = found.withColumn("place", place(F.desc("rough"), "a", "b")).where(F.col("place") <= rerank).select(*query, "a", "b")
+    distinct = rows.groupBy("a", "b").agg(F.first("v").alias("v"), F.min("id").alias("least"))
+    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    asking = asked.withColumnRenamed("v", "q")
+    asking = F.broadcast(asking) if m * x.shape[1] * 8 <= SENT else asking
+    scored = short.join(distinct, ["a", "b"]).join(asking, [*query]).select(*query, "a", "b", "least", product.alias("score"))
+    # Each better vector has a better row, one of which may be the query's own.
+    near = scored.withColumn("place", place(F.desc("score"), "least")).where(F.col("place") <= k + 1)
+    ranked = near.join(members, ["a", "b"]).where("vec_id <> query_id").withColumn("rank", place(F.desc("score"), "vec_id")).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
