@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import cut
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public word pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -78,6 +80,8 @@ def length_histogram(docs: DataFrame, text_col: str = "text", ranks: str = RANKS
 
 def length_profile(histogram: DataFrame) -> DataFrame:
     """For each length as context limit: documents and tokens from it on, share of documents up to it, tokens kept by truncation."""
+    # Written once: the rows and the sums over blocks both read it, and the texts are encoded once.
+    histogram = cut(histogram, "lengths")
     rows = histogram.withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
