@@ -153,3 +153,17 @@ def test_held_out_toxicity(spark):
     out = queries.op8_toxicity(spark, f"{DATA}/sf0.1").join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id").where("held_out")
     hit, said, toxic = out.agg(F.sum(F.expr("predicted * toxic")), F.sum("predicted"), F.sum("toxic")).first()
     assert hit / said > 0.9 and hit / toxic > 0.85
+
+
+def test_mixing_of_one_hot_id(spark, monkeypatch):
+    """Rows of one id enter the sums by size; every word of a source is still placed once a pass."""
+    r = random.Random(5)
+    rows = [(None, "s", "x " * r.choice([0, 3, 3, 8])) for _ in range(300)] + [(7, r.choice("st"), "x " * r.randint(0, 9)) for _ in range(200)] + [(i, r.choice("st"), "x " * 5) for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    s = mixing.sizes(docs, keep=True)
+    plain = Counter((x.id, x.source, x["size"], tuple(x.copies)) for x in mixing.mix(mixing.sizes(docs), mixing.by_rule(s)).collect())
+    monkeypatch.setattr(mixing, "MANY", 20)
+    assert Counter((x.id, x.source, x["size"], tuple(x.copies)) for x in mixing.mix(mixing.sizes(docs), mixing.by_rule(s)).collect()) == plain
+    monkeypatch.setattr(mixing, "PER_BUCKET", 1)
+    out = mixing.training_order(s, mixing.by_rule(s)).collect()
+    assert len(out) == sum(len(k[3]) * n for k, n in plain.items()) and all(x.doc.text.split() == ["x"] * len(x.doc.text.split()) and x.doc.doc_id == x.id for x in out)
