@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
 Fit. The labelled documents that hold a word are counted by label, once each, and the word's log-odds
-between the labels is taken under a Dirichlet prior proportional to its overall frequency. Words whose
+between the labels is taken under a Dirichlet prior, proportional to its overall frequency and half a document besides. Words whose
 counts differ between the labels by an exact test are kept (at most ``WORDS`` of them, the surest). The test is corrected
 for the number of words compared: the bound is the largest at which chance alone would keep no more than a share ``FALSE``
 of the words kept, given in how many documents each word is, so that rare words, which cannot pass, cost small fits
@@ -43,6 +43,8 @@ WORDS = 50_000
 FALSE = 0.05
 MARKS = 8
 PRIOR = 100.0
+#: Documents that the prior adds to each word under either label, so that a word seen under one of them only scores by how often it was.
+HALF = 0.5
 DRIFT = 0.25
 SIGNIFICANT = 0.05
 U = tx.U
@@ -254,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model = Model(np.zeros(0, U), np.zeros(0))
         model.rate = rate
         return model
-    prior = F.col("bad").cast("double").__add__(F.col("good")) * (PRIOR / (bad + good))
+    prior = F.col("bad").cast("double").__add__(F.col("good")) * (PRIOR / (bad + good)) + HALF
     odds = lambda c, total: F.log((F.col(c) + F.col("prior")) / (total + PRIOR - F.col(c) - F.col("prior")))
     rated = counts.withColumn("prior", prior).withColumn("score", odds("bad", bad) - odds("good", good))
     # Likelihood ratio of a word's documents by label against the labels' shares of all documents.
