@@ -13,7 +13,11 @@ from clausewise.llm.substring_dedup import substring_dedup
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted as toxic go. Labels whose crc32(doc_id) mod 5 is 0 are held out of the fit."""
+    """Documents predicted as toxic go. Labels whose crc32(doc_id) mod 5 is 0 are held out of the fit.
+
+    Null and empty texts hold no evidence and stay, as does everything where no label of either kind is at hand. Very long texts
+    are judged whole. Repeated rows are judged alike; an empty table gives an empty one.
+    """
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     labels = table(spark, sf_dir, "labels").where(~held_out)
     model = toxicity.fit(docs, labels)
@@ -21,37 +25,57 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked at a similarity of 0.8 or more, the one with the least id stays.
+    """Of each class of documents linked at a similarity of 0.8 or more, the one with the least id stays (null ids after all others).
 
-    Rows that share an id are one document, of which the row with the least hash of its text stays. Rows
-    without an id, and texts without words, have no links and stay.
+    Documents are told apart by id and text, so rows that share an id, or have none, are judged each by its own text. Of rows equal in
+    both, one stays (that with the least hash of all its columns). Texts without words (null and empty too) have no links and all stay. Very long texts are
+    compared whole; an empty table gives an empty one.
     """
-    rest = cut(ngram_jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct(), "near_copies")
-    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     small = lambda df: F.broadcast(df) if df.count() <= SENT else df
-    kept = docs.join(small(rest), "doc_id", "left_anti")
+    joined = ngram_jaccard_join(keyed.select(key, "text"), id_col=key)
+    linked = cut(joined.where("n_links > 0").select(key, "class_id").distinct(), "linked")
+    ids = keyed.select(key, "doc_id").join(small(linked.select(key)), key, "left_semi").distinct()
+    stays = linked.join(ids, key).groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("s")).select("class_id", F.col(f"s.{key}").alias("stays"))
+    rest = cut(linked.join(stays, "class_id").where(F.col(key) != F.col("stays")).select(key), "near_copies")
+    repeated = cut(keyed.where(words).groupBy(key).count().where("count > 1").select(key), "repeated")
+    kept = keyed.join(small(rest), key, "left_anti")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
-    twice = kept.join(small(repeated), "doc_id", "left_semi")
-    least = twice.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("d")).select("d.*")
-    return kept.join(small(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(least)
+    least = kept.join(small(repeated), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("d")).select("d.*")
+    return kept.join(small(repeated), key, "left_anti").select(*docs.columns).unionByName(least)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 words or more that also start earlier are cut out; untouched texts stay as they are."""
+    """Passages of 20 words or more that also start earlier are cut out; untouched texts stay as they are.
+
+    Null texts stay null and empty ones empty; a text of which every word goes becomes empty. Rows stand in the order of id (null last), then of a hash of the text.
+    Very long texts are read whole; an empty table gives an empty one.
+    """
     out = substring_dedup(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh 1, 2, 3 in turn and repeat at most 3 times; one row per copy taken, in training order."""
+    """Sources weigh 1, 2, 3 in turn and repeat at most 3 times; one row per copy taken, in training order.
+
+    Documents without words (null and empty texts) are taken 0 times and go. Null sources are a source of their own. Repeated rows each count; of rows that tie in place any
+    may come first. The document in which a target ends is kept whole; an empty table gives an empty one.
+    """
     rows = mixing.sizes(docs, keep=True)
     return mixing.training_order(rows, mixing.by_rule(mixing.sizes(docs), (1.0, 2.0, 3.0)), 3).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text as token ids, with a check that they decode to it."""
+    """Every text as token ids, with a check that they decode to it.
+
+    A null text has null ids, an empty one none. Very long texts are encoded whole, repeated rows alike; an empty table gives an empty one.
+    """
     return encode_documents(docs).drop("decoded")
 
 
