@@ -40,8 +40,8 @@ from .store import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 40
 #: Characters times units that advance together.
-GROUP = 1 << 19
-PAIRS = 4_000_000
+GROUP = 1 << 18
+PAIRS = 500_000
 KNOWN = (1 << 20) - 1
 SPACE = "▁"
 U = tx.U
@@ -175,19 +175,19 @@ class Slots:
         self.add(np.asarray(keys, dtype=U))
 
     def _slot(self, keys, level):
-        return (((keys + U(level)) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+        return (((keys + U(level)) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits + 3 * (level > 0))).astype(np.int64)
 
     def add(self, keys):
         """Adds distinct new keys."""
         self.keys = np.append(self.keys, keys)
         rest = np.arange(self.n, len(self.keys))
         self.n = len(self.keys)
-        if self.n * 4 > 1 << self.bits:
-            self.bits, self.tables, rest = max(self.bits, self.n.bit_length() + 3), [], np.arange(self.n)
+        if self.n * 2 > 1 << self.bits:
+            self.bits, self.tables, rest = max(self.bits, self.n.bit_length() + 2), [], np.arange(self.n)
         level = 0
         while len(rest):
             if level == len(self.tables):
-                self.tables.append(np.full(1 << self.bits, -1, dtype=np.int32))
+                self.tables.append(np.full(1 << self.bits - 3 * (level > 0), -1, dtype=np.int32))
             table, slot = self.tables[level], self._slot(self.keys[rest], level)
             free = table[slot] < 0
             table[slot[free]] = rest[free]
@@ -210,7 +210,7 @@ class Slots:
 
 
 def _bigram(a, b):
-    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)).astype(np.int64)
+    return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(12)
 
 
 def _codes(text: str):
@@ -495,7 +495,7 @@ def _model(data: bytes) -> Model:
     return _models[key]
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", model_file: str = MODEL, piece_bytes: int = 3 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, text_col: str = "text", model_file: str = MODEL, piece_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` with ids (array<int>), n_tokens, decoded (string) and round_trip (decoded equals the normalised text)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
