@@ -36,7 +36,7 @@ def admissible(patterns: pd.Series) -> pd.Series:
 
 def _spans(text: Column, patterns: Column, allowed: Column) -> Column:
     """Matches of each document's own patterns, pattern by pattern."""
-    java = lambda p: F.concat(F.lit("(?iu)"), F.replace(p, F.lit("(?P<"), F.lit("(?<")))
+    java = lambda p: F.concat(F.lit(se.FLAGS), F.replace(p, F.lit("(?P<"), F.lit("(?<")))
     each = lambda p, i: F.transform(tx.spans(text, java(p)), lambda s: F.struct(i.alias("pattern_idx"), s["start"].alias("start"), s["stop"].alias("stop"), s["matched"].alias("matched")))
     return F.flatten(F.transform(patterns, lambda p, i: F.when(F.get(allowed, i), each(p, i)).otherwise(F.array().cast(se.NONE))))
 

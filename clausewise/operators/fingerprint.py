@@ -53,13 +53,15 @@ def simhash(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """64-bit SimHash of 4-character grams: (key, simhash as bigint in two's complement).
 
     Lower-cased letters, digits and underscores; a text shorter than four is one gram. A bit is set if more
-    than half of all grams have it. Two bits are counted per sum, in the halves of a bigint.
+    than half of all grams have it. The distinct grams of a text are counted first, each is hashed once and weighs its count;
+    two bits are counted per sum, in the halves of a bigint. Rows that share a key are one text.
     """
     plain = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}_]", "")
     grams = texts.select(key, plain.alias("t")).select(key, F.explode(F.expr("transform(sequence(1, greatest(1, length(t) - 3)), i -> substr(t, i, 4))")).alias("gram"))
-    hashed = grams.select(key, F.expr("cast(conv(substr(md5(gram), 17, 16), 16, -10) as bigint)").alias("h"))
-    pairs = [F.sum(F.expr(f"shiftright(h, {b}) & 4294967297L")).alias(f"s{b}") for b in range(32)]
-    sums = hashed.groupBy(key).agg(F.count("*").alias("n"), *pairs)
+    counted = grams.groupBy(key, "gram").agg(F.count("*").alias("w"))
+    hashed = counted.select(key, "w", F.expr("cast(conv(substr(md5(gram), 17, 16), 16, -10) as bigint)").alias("h"))
+    pairs = [F.sum(F.expr(f"w * (shiftright(h, {b}) & 4294967297L)")).alias(f"s{b}") for b in range(32)]
+    sums = hashed.groupBy(key).agg(F.sum("w").alias("n"), *pairs)
     low = " | ".join(f"if(2 * (s{b} & 4294967295L) > n, {1 << b}L, 0L)" for b in range(32))
     high = " | ".join(f"if(2 * shiftrightunsigned(s{b}, 32) > n, shiftleft(1L, {b + 32}), 0L)" for b in range(32))
     return sums.select(key, F.expr(f"({low}) | ({high})").alias("simhash"))

@@ -60,6 +60,19 @@ def added_anchors(anchors: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("template_id").orderBy("late", "pos")) - 1).drop("late")
 
 
+def new_version(templates: DataFrame, wanted: DataFrame, created_at: str) -> DataFrame:
+    """Rows for new versions of the ``wanted`` templates (template_id): the next free name, the given date, no usage yet.
+
+    The new id is the old one with the version's suffix; everything else is the old row's. Unknown ids give no row.
+    """
+    old = templates.join(wanted.select("template_id").distinct(), "template_id", "left_semi")
+    named = old.join(next_version(old, templates), "template_id")
+    fresh = {"name": F.col("new_name"), "template_id": F.concat("template_id", F.lit("_"), F.regexp_extract("new_name", "_(v[0-9]+)$", 1)), "created_at": F.lit(created_at)}
+    fresh |= {c: F.lit(0).cast(templates.schema[c].dataType) for c in ("times_applied", "times_confirmed", "times_rejected") if c in templates.columns}
+    fresh |= {c: F.lit(None).cast(templates.schema[c].dataType) for c in ("last_used",) if c in templates.columns}
+    return named.select(*[(fresh[c] if c in fresh else F.col(c)).alias(c) for c in templates.columns])
+
+
 def usage(templates: DataFrame, events: DataFrame) -> DataFrame:
     """Counters per template from its events (template_id, event, ts); unknown events do nothing."""
     n = lambda e: F.count_if(F.col("event") == e)

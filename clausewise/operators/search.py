@@ -9,13 +9,17 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as geo
 from ..functions import text as tx
 
 NONE = "array<struct<pattern_idx: int, start: int, stop: int, matched: string>>"
+#: Case and character classes as Unicode has them.
+FLAGS = "(?iuU)"
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,12 @@ def valid_pattern(pattern: str) -> bool:
     return True
 
 
+@F.pandas_udf(T.StringType())
+def compiling(patterns: pd.Series) -> pd.Series:
+    """Spark's form of each pattern, null where it does not compile."""
+    return patterns.map(lambda p: for_spark(p) if p is not None and valid_pattern(p) else None)
+
+
 def admissible(pattern: str) -> bool:
     """Not a backward pattern over several lines (line first, then any text), and valid."""
     bare = re.sub(r"^\(\?:", "", pattern)
@@ -46,8 +56,8 @@ def admissible(pattern: str) -> bool:
 
 
 def for_spark(pattern: str) -> str:
-    """A Python pattern for Spark's engine: letter case ignored in all scripts."""
-    return "(?iu)" + pattern.replace("(?P<", "(?<")
+    """A Python pattern for Spark's engine: letter case ignored in all scripts, and classes such as \\s or \\w of all scripts."""
+    return FLAGS + pattern.replace("(?P<", "(?<")
 
 
 def party_tokens(party: Party, spark: SparkSession) -> Column:
@@ -142,7 +152,7 @@ def find_signatures_smart(pages: DataFrame, party: Party, more_patterns: tuple[s
 
 def hinted_pages(hint: Column, n: Column) -> Column:
     """Page numbers that an anchor's hint names; negative ones count from the end when they are read."""
-    number = F.expr("try_cast({} as int)".format("page_hint")) if isinstance(hint, str) else hint.try_cast("int")
+    number = hint.try_cast("int")
     every = F.sequence(F.lit(0), n - 1)
     return F.when(hint == "first", F.array(F.lit(0))).when(hint == "last", F.array(n - 1)).when(hint == "any", every).when(number.isNotNull(), F.array(number)).otherwise(every)
 
@@ -169,15 +179,16 @@ def located(pages: DataFrame, locations: DataFrame) -> DataFrame:
 def apply_anchors(pages: DataFrame, anchors: DataFrame) -> DataFrame:
     """A template's anchors on a document: (doc_id, match_id, page_num, box, context, pattern).
 
-    anchors: doc_id, anchor_idx, pattern, page_hint, context_before, anchor_text, bbox. Patterns must be valid
-    (null: none). An anchor without any match falls back to its own box on its first hinted page, if that exists.
+    anchors: doc_id, anchor_idx, pattern, page_hint, context_before, anchor_text, bbox. An anchor without any match (none is looked for
+    where its pattern is null or does not compile) falls back to its own box on its first hinted page, if that exists.
     """
+    anchors = anchors.withColumn("_regex", compiling("pattern"))
     pages = with_lines(pages)
     count = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
     asked = anchors.join(count, "doc_id").withColumn("hinted", hinted_pages(F.col("page_hint"), F.col("n")))
     on_page = asked.select("*", F.posexplode("hinted").alias("page_order", "page")).withColumn("page_num", F.when(F.col("page") < 0, F.col("n") + F.col("page")).otherwise(F.col("page")))
-    rows = on_page.join(pages.select("doc_id", "page_num", "text", "page_lines"), ["doc_id", "page_num"]).where("pattern is not null")
-    rows = rows.withColumn("s", F.explode(tx.spans(F.col("text"), F.concat(F.lit("(?iu)"), F.col("pattern")))))
+    rows = on_page.join(pages.select("doc_id", "page_num", "text", "page_lines"), ["doc_id", "page_num"]).where("_regex is not null")
+    rows = rows.withColumn("s", F.explode(tx.spans(F.col("text"), F.col("_regex"))))
     wanted = F.lower(tx.strip(tx.squeeze(F.col("context_before"))))
     size = F.length("context_before") + 40
     preceding = F.lower(tx.squeeze(F.substr(F.col("text"), F.greatest(F.lit(0), F.col("s.start") - size) + 1, F.least(F.col("s.start"), size))))
@@ -197,8 +208,8 @@ def apply_anchors(pages: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def matches_to_anchors(matches: DataFrame) -> DataFrame:
     """Matches as anchors: the context is the text, and what stands before and after the pattern in it is kept."""
-    pattern = F.concat(F.lit("(?iu)"), F.col("pattern"))
-    hit = F.regexp_extract("context", pattern, 0) if isinstance(pattern, str) else F.get(tx.find_all(F.col("context"), pattern), F.lit(0))
+    pattern = F.concat(F.lit(FLAGS), F.col("pattern"))
+    hit = F.get(tx.find_all(F.col("context"), pattern), F.lit(0))
     parts = F.split("context", pattern, 2)
     before, after = F.when(hit.isNotNull(), F.get(parts, F.lit(0))).otherwise(""), F.when(hit.isNotNull(), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).otherwise("")
     return matches.select(
