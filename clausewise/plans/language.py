@@ -294,16 +294,10 @@ def _prompts(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
     return rows.select("doc_id", F.length(text).alias("size"), F.md5(text.cast("binary")).alias("digest"))
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts over the first 300 characters alone, as its oracle has it; ``prompts_whole`` takes whole texts."""
-    return _prompts(spark, sf_dir, F.substring("text", 1, 300))
-
-
 def prompts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prompts(spark, sf_dir, F.col("text"))
 
 
-PROMPTS = PRELUDE + ", p AS (SELECT doc_id, 'Language ' || language || ': - \"Lessor\" (синонимы/языковые варианты: Owner, Арендодатель; отображение: Side A)' || chr(10) || '- \"Lessee\" (Lessee)' || chr(10) || substr(text, 1, 300) AS t FROM contracts) SELECT doc_id, length(t)::INTEGER AS size, md5(t) AS digest FROM p"
 PROMPTS_WHOLE = PRELUDE + ", p AS (SELECT doc_id, 'Language ' || language || ': - \"Lessor\" (синонимы/языковые варианты: Owner, Арендодатель; отображение: Side A)' || chr(10) || '- \"Lessee\" (Lessee)' || chr(10) || text AS t FROM contracts) SELECT doc_id, length(t)::INTEGER AS size, md5(t) AS digest FROM p"
 
 
@@ -318,6 +312,6 @@ def settings_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SETTINGS_FALLBACK = "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 0.8 WHEN n_nationkey % 2 = 0 THEN 0.9 ELSE 0.95 END::DOUBLE AS green_threshold, CASE WHEN n_nationkey % 4 = 0 THEN '2.0' ELSE '1.0' END AS version, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS updated_at FROM nation"
 
-_names = "anchor_words alias_tokens distinctive_tokens header_text doc_prefix strategic_fragments strategic_text llm_parse our_side llm_validate party_map parties_json parties_md merge_patterns tpl_list tpl_upsert tpl_archive tpl_version add_anchors usage_stats alias_by_lang ink_confidence names_and_keys prompts prompts_whole settings_fallback"
+_names = "anchor_words alias_tokens distinctive_tokens header_text doc_prefix strategic_fragments strategic_text llm_parse our_side llm_validate party_map parties_json parties_md merge_patterns tpl_list tpl_upsert tpl_archive tpl_version add_anchors usage_stats alias_by_lang ink_confidence names_and_keys prompts_whole settings_fallback"
 QUERIES = {n: globals()[n] for n in _names.split()}
 SQL = {n: globals()[n.upper()] for n in _names.split() if n not in ("parties_json", "parties_md")} | {"parties_json": PARTIES_JSON_SQL, "parties_md": PARTIES_MD_SQL}
