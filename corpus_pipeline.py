@@ -15,7 +15,7 @@ from clausewise.llm.substring_dedup import substring_dedup
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted as toxic go. Labels whose crc32(doc_id) mod 5 is 0 are held out of the fit.
 
-    Null and empty texts hold no evidence and stay, as does everything where no label of either kind is at hand. Very long texts
+    Null and empty texts hold no evidence and get the score of that. Without labels everything stays; where all labels are toxic everything goes. Very long texts
     are judged whole. Repeated rows are judged alike; an empty table gives an empty one.
     """
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
