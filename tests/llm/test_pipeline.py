@@ -60,8 +60,12 @@ def test_stages_take_hard_tables(spark, tmp_path):
     """An empty table, clashing names, very long, blank, null and repeated rows through all stages."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, score string, ids string, row string, doc string"
     hard = [(1, None), (2, ""), (3, "\n " * 300_000), (4, "w " * 200_000), (4, "w " * 200_000), (None, None), (None, "null id here"), (5, "one")]
+    clean = range(10, 30)
+    hard += [(i, f"clean words number {i} of many") for i in clean]
     for name, rows in (("empty", []), ("hard", [(i, t, None, "s" if i else None, len(t or ""), "a", "b", "c", "d") for i, t in hard])):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        spark.createDataFrame([(4, 1, 1), *((i, 1, 0) for i in (1, 2, 3, 5, 8, 9)), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(4, 1, 1), *((i, 1, 0) for i in (1, 2, 3, 5, *clean)), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         out = cp.run(spark, f"{tmp_path}/{name}").collect()
-        assert {x.doc_id for x in out} == ({4, None, 5} if rows else set()) and all(x.round_trip for x in out)
+        ids = {x.doc_id for x in out}
+        # Texts without words are not taken; the null source is taken as often as allowed, the other one not quite whole.
+        assert all(x.round_trip for x in out) and ids <= {4, 5, None, *clean} and (not rows and not ids or None in ids and len(ids) >= 15)
