@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import WS, strip
 
@@ -23,6 +28,9 @@ SECTION_TITLE = (
 HEADER_CHARS = 300
 HEADER_PAGES = 3
 TITLE_CHARS = 200
+GRAM = 4
+#: Grams hashed and counted at once, and distinct ones kept: bounds of a worker's memory, not of the text.
+GRAMS_AT_ONCE, GRAMS_KEPT = 1 << 16, 1 << 20
 
 
 def sizes(pages: DataFrame) -> DataFrame:
@@ -33,42 +41,70 @@ def sizes(pages: DataFrame) -> DataFrame:
     )
 
 
-def header_page(pages: DataFrame) -> DataFrame:
-    """Per document the page that holds the preamble: (doc_id, header_page).
+def _header_rank(language: Column) -> Column:
+    """Order of a page as the document's header, least first; null for pages that cannot be it.
 
-    Of the first pages with enough characters, the first with a marker of the language; else the first; else 0.
+    A page with enough characters and a marker of the language, else one with enough characters, else the first page.
     """
     solid = F.length(F.regexp_replace("text", f"{WS}+", "")) >= HEADER_CHARS
     low = F.lower("text")
-    code = F.lower(F.substring("language", 1, 2))
+    code = F.lower(F.substring(language, 1, 2))
     has = lambda words: F.greatest(*[low.contains(w) for w in words])
     marked = F.when(code == "en", has(PREAMBLE_MARKERS["en"])).when(code == "pl", has(PREAMBLE_MARKERS["pl"])).otherwise(has(PREAMBLE_MARKERS["ru"]))
+    kind = F.when(solid & marked, 0).when(solid, 1).when(F.col("page_num") == 0, 2)
+    return F.when(F.col("page_num") < HEADER_PAGES, kind * HEADER_PAGES + F.col("page_num"))
+
+
+def header_page(pages: DataFrame) -> DataFrame:
+    """Per document the page that holds the preamble, of its first pages: (doc_id, header_page)."""
     first = pages.where(F.col("page_num") < HEADER_PAGES)
-    return first.groupBy("doc_id").agg(
-        F.coalesce(F.min(F.when(solid & marked, F.col("page_num"))), F.min(F.when(solid, F.col("page_num"))), F.lit(0)).alias("header_page")
-    )
+    return first.groupBy("doc_id").agg(F.coalesce(F.min_by("page_num", _header_rank(F.col("language"))), F.lit(0)).alias("header_page"))
+
 
+@F.pandas_udf(T.LongType())
+def _simhash(texts: pd.Series) -> pd.Series:
+    hashes: dict[str, bytes] = {}  # each distinct gram of a batch is hashed once
 
-def simhash(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """64-bit SimHash of 4-character grams: (key, simhash as bigint in two's complement).
+    def one(text):
+        if text is None:
+            return None
+        n = max(1, len(text) - GRAM + 1)
+        counts = np.zeros(64, np.int64)
+        for start in range(0, n, GRAMS_AT_ONCE):
+            found = []
+            for i in range(start, min(n, start + GRAMS_AT_ONCE)):
+                gram = text[i : i + GRAM]
+                h = hashes.get(gram)
+                if h is None:
+                    if len(hashes) >= GRAMS_KEPT:
+                        hashes.clear()
+                    h = hashes[gram] = hashlib.md5(gram.encode()).digest()[8:]
+                found.append(h)
+            counts += np.unpackbits(np.frombuffer(b"".join(found), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        return int(np.packbits(2 * counts > n).view(">i8")[0])
+
+    return pd.Series([one(t) for t in texts], dtype="Int64")
+
+
+def simhash(text: Column) -> Column:
+    """64-bit SimHash of 4-character grams, as bigint in two's complement; null for null.
 
     Lower-cased letters, digits and underscores; a text shorter than four is one gram. A bit is set if more
-    than half of all grams have it. Two bits are counted per sum, in the halves of a bigint.
+    than half of all grams have it in the low half of their MD5.
     """
-    plain = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}_]", "")
-    grams = texts.select(key, plain.alias("t")).select(key, F.explode(F.expr("transform(sequence(1, greatest(1, length(t) - 3)), i -> substr(t, i, 4))")).alias("gram"))
-    hashed = grams.select(key, F.expr("cast(conv(substr(md5(gram), 17, 16), 16, -10) as bigint)").alias("h"))
-    pairs = [F.sum(F.expr(f"shiftright(h, {b}) & 4294967297L")).alias(f"s{b}") for b in range(32)]
-    sums = hashed.groupBy(key).agg(F.count("*").alias("n"), *pairs)
-    low = " | ".join(f"if(2 * (s{b} & 4294967295L) > n, {1 << b}L, 0L)" for b in range(32))
-    high = " | ".join(f"if(2 * shiftrightunsigned(s{b}, 32) > n, shiftleft(1L, {b + 32}), 0L)" for b in range(32))
-    return sums.select(key, F.expr(f"({low}) | ({high})").alias("simhash"))
+    return _simhash(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]", ""))
+
+
+def _header_hashes(pages: DataFrame) -> DataFrame:
+    """Adds the header order and, for pages that can be the header, the SimHash: 8 bytes a page are shuffled, no text."""
+    ranked = pages.withColumn("_rank", _header_rank(F.col("language")))
+    return ranked.withColumn("_hash", simhash(F.when(F.col("_rank").isNotNull(), F.col("text"))))
 
 
 def header_simhash(pages: DataFrame) -> DataFrame:
     """(doc_id, simhash) of every document's header page."""
-    headers = pages.where(F.col("page_num") < HEADER_PAGES).join(header_page(pages), "doc_id").where("page_num = header_page")
-    return simhash(headers)
+    hashed = _header_hashes(pages.where(F.col("page_num") < HEADER_PAGES)).where("_rank is not null")
+    return hashed.groupBy("doc_id").agg(F.min_by("_hash", "_rank").alias("simhash"))
 
 
 def section_titles(lines: DataFrame) -> DataFrame:
@@ -80,9 +116,13 @@ def section_titles(lines: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, pages: DataFrame, lines: DataFrame) -> DataFrame:
-    """All parts of the fingerprint of every document."""
+    """All parts of the fingerprint of every document that has pages: one pass and one aggregation of the pages, one of the titles."""
+    sized = _header_hashes(pages).select("doc_id", "page_num", F.length("text").alias("n"), "_rank", "_hash")
+    parts = sized.groupBy("doc_id").agg(
+        F.count("*").alias("page_count"), F.sum("n").alias("total_chars"), F.transform(F.array_sort(F.collect_list(F.struct("page_num", "n"))), lambda x: x["n"]).alias("chars_per_page"),
+        F.coalesce(F.min_by("page_num", "_rank"), F.lit(0)).alias("header_page"), F.min_by("_hash", "_rank").alias("simhash"),
+    )
     return (
-        docs.select("doc_id", "language", "is_template").join(sizes(pages), "doc_id").join(header_page(pages), "doc_id", "left")
-        .join(header_simhash(pages), "doc_id", "left").join(section_titles(lines), "doc_id", "left")
+        docs.select("doc_id", "language", "is_template").join(parts, "doc_id").join(section_titles(lines), "doc_id", "left")
         .withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
     )
