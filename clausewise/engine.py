@@ -1,25 +1,102 @@
-"""The engine's front: analysis of documents against the registry, placements, anchors from clicks."""
+"""The engine's front: analysis of documents against the registry, placements, anchors from clicks, new templates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import similarity as sim
-from .operators import clicks, fingerprint, matcher, placement, search
+from .operators import auto, clicks, fingerprint, matcher, placement, registry, search
+
+#: What an analysis says of every document.
+RESULT = ("doc_id", "traffic_light", "template_id", "score", "explanation", "path", "our_side", "n_matches", "error")
+BOXES = ("doc_id", "match_id", "page_num", "x0", "y0", "x1", "y1", "context", "pattern")
+
+
+@dataclass(frozen=True)
+class Analysis:
+    """results: one row per document (``RESULT``); matches: ``BOXES``; prints: the documents' fingerprints; events: uses of templates."""
+
+    results: DataFrame
+    matches: DataFrame
+    prints: DataFrame
+    events: DataFrame
 
+    @property
+    def anchors(self) -> DataFrame:
+        """The matches as anchors of a template."""
+        return search.matches_to_anchors(self.matches)
 
-def analyze(docs: DataFrame, pages: DataFrame, lines: DataFrame, templates: DataFrame, decision: matcher.Decision = matcher.Decision()) -> DataFrame:
-    """One decision row per document.
+
+def settled(df: DataFrame) -> DataFrame:
+    """Rows that are computed once: written to the checkpoint folder where the session names one."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
+def decide(docs: DataFrame, pages: DataFrame, lines: DataFrame, templates: DataFrame, decision: matcher.Decision = matcher.Decision(), synonyms_match: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one decision row per document, fingerprints).
 
     docs: doc_id, language, is_template; templates: template_id, t_name, t_created_at and the t_ columns of the fingerprint.
-    Synonyms of our side are an option of ``templates`` (column synonyms_match, true where it is missing).
+    ``synonyms_match`` compares our party with a template's; without it all fit.
     """
     found = fingerprint.fingerprints(docs, pages, lines).withColumn("unit_pages", sim.unit(F.col("chars_per_page")))
-    pairs = matcher.candidates(found, templates)
-    if "synonyms_match" not in pairs.columns:
-        pairs = pairs.withColumn("synonyms_match", F.lit(True))
-    return matcher.summary(matcher.decisions(found, matcher.ranked(matcher.scored(pairs), decision), decision))
+    pairs = matcher.candidates(found, templates).withColumn("synonyms_match", F.lit(True) if synonyms_match is None else synonyms_match)
+    return matcher.summary(matcher.decisions(found, matcher.ranked(matcher.scored(pairs), decision), decision)), found
+
+
+def apply_templates(pages: DataFrame, chosen: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Matches of each document's chosen template: chosen (doc_id, template_id), anchors (template_id and the columns of ``search.apply_anchors``)."""
+    mine = chosen.join(anchors, "template_id")
+    return search.apply_anchors(pages.join(chosen.select("doc_id"), "doc_id", "left_semi"), mine)
+
+
+def analyze(
+    docs: DataFrame, pages: DataFrame, lines: DataFrame, templates: DataFrame, anchors: DataFrame, ask: Callable[[DataFrame], DataFrame],
+    decision: matcher.Decision = matcher.Decision(), synonyms_match: Column | None = None,
+) -> Analysis:
+    """Decision, places to sign and errors of every document.
+
+    Green documents get the anchors of their template. The others, and green ones on which no anchor was found, go the way of the model:
+    ``ask`` takes their ids (doc_id) and returns replies (doc_id, step, raw). A document without replies has the first step's error.
+    """
+    decided, prints = decide(docs, pages, lines, templates, decision, synonyms_match)
+    decided = settled(decided)
+    chosen = decided.where("traffic_light = 'green'").select("doc_id", "template_id")
+    by_template = settled(apply_templates(pages, chosen, anchors).select(*BOXES))
+    done = by_template.groupBy("doc_id").agg(F.count("*").alias("n_template"))
+    rest = decided.select("doc_id").join(done, "doc_id", "left_anti")
+    replies = rest.join(settled(ask(rest)), "doc_id", "left").select("doc_id", F.coalesce("step", F.lit("none")).alias("step"), "raw")
+    sides = settled(auto.sides(replies))
+    by_model = settled(auto.matches(pages, sides).select(*BOXES))
+    model = auto.results(sides, by_model).select("doc_id", "error", "n_matches").join(sides.select("doc_id", "side"), "doc_id")
+    rows = decided.join(done, "doc_id", "left").join(model, "doc_id", "left")
+    path = F.when(F.col("n_template").isNotNull(), "template").otherwise("model")
+    results = rows.select(
+        "doc_id", "traffic_light", "template_id", "score", "explanation", path.alias("path"), F.when(F.col("error").isNull(), F.col("side")).alias("our_side"),
+        F.coalesce("n_template", "n_matches", F.lit(0)).cast("long").alias("n_matches"), "error",
+    )
+    events = results.where("path = 'template'").select("template_id", F.lit("applied").alias("event"), F.current_timestamp().cast("string").alias("ts"))
+    return Analysis(results, by_template.unionByName(by_model), prints, events)
+
+
+def saved_templates(analysis: Analysis, stamp: str, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(template rows, anchor rows) of the documents with matches: fingerprint, our side's synonyms, origin and no usage.
+
+    The id is the document's with the stamp; the name is ``name`` or follows the rule for names.
+    """
+    rows = analysis.prints.join(analysis.results.where("n_matches > 0").select("doc_id", "our_side"), "doc_id")
+    key = F.concat(F.lit(f"tpl_{stamp}_"), F.col("doc_id").cast("string"))
+    entity = F.coalesce("our_side.legal_entity", F.lit(""))
+    templates = rows.select(
+        key.alias("template_id"), (registry.template_name(F.col("language"), F.lit(stamp), entity) if name is None else name).alias("t_name"), F.lit(stamp).alias("t_created_at"), F.lit("pipeline_auto_1").alias("created_by"),
+        *[F.col(c).alias(f"t_{c}") for c in ("language", "page_count", "total_chars", "chars_per_page", "unit_pages", "simhash", "titles")],
+        entity.alias("t_entity"), F.coalesce("our_side.roles", F.array().cast("array<string>")).alias("t_roles"), F.coalesce("our_side.signer", F.lit("")).alias("t_signer"),
+        *[F.lit(0).alias(c) for c in ("times_applied", "times_confirmed", "times_rejected")],
+    )
+    return templates, analysis.anchors.withColumn("template_id", key).drop("doc_id")
 
 
 def signatures(pages: DataFrame, party: search.Party, more_patterns: tuple[str, ...] = ()) -> DataFrame:

@@ -60,7 +60,7 @@ def matches(pages: DataFrame, found: DataFrame) -> DataFrame:
     rows = se.candidates(rows, _spans(F.col("text"), F.col("patterns"), F.col("allowed")), F.col("tokens"), F.col("others"))
     rows = se.placed(rows).withColumn("kept", geo.one_per_row(geo.without_overlaps(F.col("raw"))))
     m = rows.select("doc_id", "page_num", "patterns", "text", F.explode("kept").alias("m"))
-    return m.select("doc_id", "page_num", F.col("m.seq").alias("seq"), *[F.col(f"m.r.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], F.get("patterns", F.col("m.s.pattern_idx")).alias("pattern"), tx.snippet(F.col("text"), F.col("m.s.start"), F.col("m.s.stop")).alias("context"))
+    return m.select("doc_id", se.match_name("sig", F.col("m.seq")).alias("match_id"), "page_num", F.col("m.seq").alias("seq"), *[F.col(f"m.r.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], F.get("patterns", F.col("m.s.pattern_idx")).alias("pattern"), tx.snippet(F.col("text"), F.col("m.s.start"), F.col("m.s.stop")).alias("context"))
 
 
 def results(found: DataFrame, places: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from ..functions import text as tx
 NONE = "array<struct<pattern_idx: int, start: int, stop: int, matched: string>>"
 #: Case and character classes as Unicode has them.
 FLAGS = "(?iuU)"
+#: A pattern that matches nowhere.
+NEVER = "(?!)"
 
 
 @dataclass(frozen=True)
@@ -123,12 +125,18 @@ def raw_matches(pages: DataFrame, party: Party) -> DataFrame:
     return placed(rows).select("doc_id", "page_num", "text", "raw")
 
 
+def match_name(prefix: str, number: Column) -> Column:
+    """A match's id: its number with three digits at least."""
+    n = number.cast("string")
+    return F.concat(F.lit(f"{prefix}_"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0")))
+
+
 def listed(rows: DataFrame, column: str, party: Party, prefix: str = "sig") -> DataFrame:
     """One row per match of an array column."""
     patterns = F.array(*map(F.lit, party.patterns))
     m = rows.select("doc_id", "page_num", "text", F.explode(column).alias("m"))
     return m.select(
-        "doc_id", F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("m.seq").cast("string"), F.greatest(F.lit(3), F.length(F.col("m.seq").cast("string"))), F.lit("0"))).alias("match_id"), "page_num",
+        "doc_id", match_name(prefix, F.col("m.seq")).alias("match_id"), "page_num",
         F.col("m.r.x0").alias("x0"), F.col("m.r.y0").alias("y0"), F.col("m.r.x1").alias("x1"), F.col("m.r.y1").alias("y1"),
         tx.snippet(F.col("text"), F.col("m.s.start"), F.col("m.s.stop")).alias("context"), F.get(patterns, F.col("m.s.pattern_idx")).alias("pattern"),
     )
@@ -171,8 +179,7 @@ def located(pages: DataFrame, locations: DataFrame) -> DataFrame:
     """Places that a model named (doc_id, pos, page from 1, text_marker, context), with rectangles and confidence 0.7."""
     rows = locations.where("text_marker <> ''").withColumn("page_num", F.col("page") - 1).join(with_lines(pages).select("doc_id", "page_num", "page_lines"), ["doc_id", "page_num"])
     rows = rows.select("*", F.posexplode(geo.marker_rects(F.col("page_lines"), F.col("text_marker"))).alias("rect_order", "r"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "rect_order")).cast("string"))
-    name = F.concat(F.lit("llm_"), F.lpad("k", F.greatest(F.lit(3), F.length("k")), F.lit("0")))
+    name = match_name("llm", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "rect_order")))
     return rows.select("doc_id", name.alias("match_id"), "page_num", F.col("r.x0").alias("x0"), F.col("r.y0").alias("y0"), F.col("r.x1").alias("x1"), F.col("r.y1").alias("y1"), F.substring(F.coalesce("context", "text_marker"), 1, 100).alias("context"), F.lit("llm_fallback").alias("pattern"), F.lit(0.7).alias("confidence"))
 
 
@@ -201,14 +208,17 @@ def apply_anchors(pages: DataFrame, anchors: DataFrame) -> DataFrame:
         F.concat(F.lit("[bbox_fallback] "), F.coalesce("pattern", F.lit(""))).alias("pattern"),
     )
     order = Window.partitionBy("doc_id").orderBy("anchor_idx", "page_order", "start", "rect_order")
-    found = hits.unionByName(own).withColumn("k", F.row_number().over(order).cast("string"))
-    name = F.concat(F.lit("tpl_"), F.lpad("k", F.greatest(F.lit(3), F.length("k")), F.lit("0")))
-    return found.select("doc_id", name.alias("match_id"), "page_num", F.col("r.x0").alias("x0"), F.col("r.y0").alias("y0"), F.col("r.x1").alias("x1"), F.col("r.y1").alias("y1"), "context", "pattern")
+    found = hits.unionByName(own)
+    return found.select("doc_id", match_name("tpl", F.row_number().over(order)).alias("match_id"), "page_num", F.col("r.x0").alias("x0"), F.col("r.y0").alias("y0"), F.col("r.x1").alias("x1"), F.col("r.y1").alias("y1"), "context", "pattern")
 
 
 def matches_to_anchors(matches: DataFrame) -> DataFrame:
-    """Matches as anchors: the context is the text, and what stands before and after the pattern in it is kept."""
-    pattern = F.concat(F.lit(FLAGS), F.col("pattern"))
+    """Matches as anchors: the context is the text, and what stands before and after the pattern in it is kept.
+
+    A pattern that does not compile (a box's note in front of it can do that) finds nothing in the context.
+    """
+    matches = matches.withColumn("_regex", F.coalesce(compiling("pattern"), F.lit(NEVER)))
+    pattern = F.col("_regex")
     hit = F.get(tx.find_all(F.col("context"), pattern), F.lit(0))
     parts = F.split("context", pattern, 2)
     before, after = F.when(hit.isNotNull(), F.get(parts, F.lit(0))).otherwise(""), F.when(hit.isNotNull(), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).otherwise("")

@@ -179,12 +179,17 @@ ANCHORS = (
 )
 
 
-def apply_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = contracts(spark, sf_dir)
+def anchor_table(rows: DataFrame) -> DataFrame:
+    """The fixtures' anchors for each row of a table of keys."""
     fields = lambda i, a: f"struct({i} as anchor_idx, {'cast(null as string)' if a[0] is None else tx.quoted(a[0])} as pattern, {tx.quoted(a[1])} as page_hint, {tx.quoted(a[2])} as context_before, {tx.quoted(a[3])} as anchor_text)"
-    anchors = docs.select("doc_id", F.explode(F.expr("array(" + ", ".join(fields(i, a) for i, a in enumerate(ANCHORS)) + ")")).alias("a")).select("doc_id", "a.*")
+    anchors = rows.select("*", F.explode(F.expr("array(" + ", ".join(fields(i, a) for i, a in enumerate(ANCHORS)) + ")")).alias("a")).select(*rows.columns, "a.*")
     box = F.struct(F.lit(10.0).alias("x0"), (F.col("anchor_idx") * 10.0).alias("y0"), F.lit(110.0).alias("x1"), (F.col("anchor_idx") * 10.0 + 12.0).alias("y1"))
-    return se.apply_anchors(pages(docs), anchors.withColumn("bbox", box))
+    return anchors.withColumn("bbox", box)
+
+
+def apply_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = contracts(spark, sf_dir)
+    return se.apply_anchors(pages(docs), anchor_table(docs.select("doc_id")))
 
 
 _anchor_rows = ", ".join(f"({i}, {'NULL' if a[0] is None else _sql(a[0])}, {_sql(a[1])}, {_sql(a[2])}, {_sql(a[3])})" for i, a in enumerate(ANCHORS))
