@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import engine
 from ..operators import auto
 from ..operators import fingerprint as fp
+from ..operators import matcher
 from ..operators import patterns as pt
 from ..operators import prompts as pr
 from ..operators import registry as rg
@@ -136,12 +137,13 @@ SELECT doc_id, 'llm_' || lpad(num::VARCHAR, greatest(3, len(num::VARCHAR))::INTE
 
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON record per decision, for an append-only log."""
-    rows = matching._decided(spark, sf_dir)
-    record = F.to_json(F.struct(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".pdf")).alias("doc_filename"), "traffic_light", F.col("template_id").alias("best_template_id"), F.least(F.lit(5), F.col("n_candidates")).alias("candidates_count")))
-    return rows.select("doc_id", record.alias("record"))
+    rows = matcher.summary(matching._decided(spark, sf_dir))
+    return matcher.log_records(rows, F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".pdf")), F.lit("2024-01-01T00:00:00+00:00"))
 
 
-DECISION_LOG = matching.DECISION_CTE + """ SELECT doc_id, '{"doc_filename":"doc' || doc_id || '.pdf","traffic_light":"' || traffic_light || '"' || coalesce(',"best_template_id":"' || template_id || '"', '') || ',"candidates_count":' || least(5, n_candidates) || '}' AS record FROM decided"""
+DECISION_LOG = f"""WITH d AS ({matching.DECISION_CTE} SELECT * FROM decided), x AS ({matching.TPL_EXPLAIN})
+SELECT d.doc_id, '{{"timestamp":"2024-01-01T00:00:00+00:00","doc_filename":"doc' || d.doc_id || '.pdf","traffic_light":"' || traffic_light || '","best_score":' || coalesce(score::VARCHAR, 'null') || ',"best_template_id":' ||
+  coalesce('"' || template_id || '"', 'null') || ',"candidates_count":' || least(5, n_candidates) || ',"explanation":"' || explanation || '"}}' AS record FROM d JOIN x ON d.doc_id = x.doc_id"""
 
 
 def new_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,13 +63,13 @@ HEADER_TEXT = PAGE_CTE + f", h AS (SELECT doc_id, substr(string_agg('{ts.PAGE_BA
 
 def doc_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir)
-    plain, full = rows.select("doc_id", F.lit(3000).alias("budget"), *_digest(ts.prefix(F.col("p"), 3000))), rows.select("doc_id", F.lit(5000).alias("budget"), *_digest(ts.prefix(F.col("p"), 5000, True)))
-    return plain.unionByName(full)
+    cut = lambda budget, banners=False: rows.select("doc_id", F.lit(budget).alias("budget"), *_digest(ts.prefix(F.col("p"), budget, banners)))
+    return cut(2000).unionByName(cut(3000)).unionByName(cut(5000, True))
 
 
 _until = lambda src, budget: f"SELECT doc_id, string_agg(left(c, ({budget} - b)::BIGINT), chr(10) ORDER BY o) AS h FROM (SELECT *, coalesce(sum(length(c)) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ({src})) WHERE b < {budget} GROUP BY doc_id"
 _BANNERED = f"chr(10) || '{ts.PAGE_BANNER}' || (i + 1) || ' ---' || chr(10) || t"
-DOC_PREFIX = PAGE_CTE + f", a AS ({_until('SELECT doc_id, i AS o, t AS c FROM pg', 3000)}), b AS ({_until(f'SELECT doc_id, i AS o, {_BANNERED} AS c FROM pg', 5000)}) SELECT doc_id, 3000 AS budget, length(h)::INTEGER AS size, md5(h) AS digest FROM a UNION ALL SELECT doc_id, 5000, length(h)::INTEGER, md5(h) FROM b"
+DOC_PREFIX = PAGE_CTE + f", z AS ({_until('SELECT doc_id, i AS o, t AS c FROM pg', 2000)}), a AS ({_until('SELECT doc_id, i AS o, t AS c FROM pg', 3000)}), b AS ({_until(f'SELECT doc_id, i AS o, {_BANNERED} AS c FROM pg', 5000)}) SELECT doc_id, 2000 AS budget, length(h)::INTEGER AS size, md5(h) AS digest FROM z UNION ALL SELECT doc_id, 3000, length(h)::INTEGER, md5(h) FROM a UNION ALL SELECT doc_id, 5000, length(h)::INTEGER, md5(h) FROM b"
 
 
 def strategic_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,10 @@ def alias_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(rg.aliases_of(full, code), "|").alias("aliases"))
 
 
-ALIAS_BY_LANG = PRELUDE + " SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR language = 'en' THEN 'Daisy' WHEN language = 'ru' THEN 'Ромашка' ELSE 'Ромашка|Daisy|K' || doc_id END AS aliases FROM contracts"
+ALIAS_BY_LANG = PRELUDE + """, names AS (SELECT doc_id, left(lower(CASE WHEN doc_id % 5 = 0 THEN 'EN-us' ELSE language END), 2) AS code,
+    list_filter([{'l': 'ru', 'v': 'Ромашка'}, {'l': 'en', 'v': 'Daisy'}, {'l': 'en', 'v': ' '}, {'l': 'de', 'v': 'K' || doc_id}], lambda a: trim(a.v) <> '') AS known FROM contracts),
+picked AS (SELECT *, list_filter(known, lambda a: a.l = code) AS own FROM names)
+SELECT doc_id, array_to_string(list_transform(CASE WHEN len(own) > 0 THEN own ELSE known END, lambda a: a.v), '|') AS aliases FROM picked"""
 
 
 def ink_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:

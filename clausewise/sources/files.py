@@ -5,7 +5,9 @@ Decoding and language models are boundaries: a decoder or client is passed in, n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import json
+import os
+from collections.abc import Callable, Iterable, Mapping
 from posixpath import normpath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,24 +78,62 @@ class Catalog:
         relative = F.substr(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), F.lit(len(plain) + 2))
         return found.select(relative.alias("path")).where(F.col("path").startswith(prefix)).orderBy("path")
 
-    def read_text(self, name: str) -> str | None:
+    def read_bytes(self, name: str) -> bytes | None:
+        """The whole object; null if it is not there. For settings and single files, not for tables."""
         if not self.exists(name):
             return None
-        return self.spark.read.text(self.path(name), wholetext=True).first()[0]
+        return bytes(self.spark.read.format("binaryFile").load(self.path(name)).first()["content"])
 
-    def write_text(self, name: str, text: str) -> None:
+    def write_bytes(self, name: str, data: bytes) -> None:
+        """Writes the object, with the folders it needs."""
         fs, p = self._fs(self.path(name))
         out = fs.create(p, True)
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(data))
         out.close()
 
+    def read_text(self, name: str) -> str | None:
+        data = self.read_bytes(name)
+        return None if data is None else data.decode("utf-8")
+
+    def write_text(self, name: str, text: str) -> None:
+        self.write_bytes(name, text.encode("utf-8"))
+
+    def read_json(self, name: str):
+        """The parsed object; null if it is not there. One that does not parse raises ValueError."""
+        text = self.read_text(name)
+        return None if text is None else json.loads(text)
+
+    def write_json(self, name: str, value) -> None:
+        self.write_text(name, json.dumps(value, ensure_ascii=False, indent=2))
+
     def read_table(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(self.path(name)) if self.exists(name) else None
 
     def write_table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> None:
-        """Replace a table: it is written beside the old one and moved into its place."""
-        fresh = self.path(name + ".new")
+        """Replace a table: it is written beside the old one, which is moved aside before and deleted after the new one took its place."""
+        fresh, old = self.path(name + ".new"), self.path(name + ".old")
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(fresh)
-        fs, p = self._fs(fresh)
-        fs.delete(self._fs(self.path(name))[1], True)
-        fs.rename(p, self._fs(self.path(name))[1])
+        fs, new = self._fs(fresh)
+        here, aside = self._fs(self.path(name))[1], self._fs(old)[1]
+        fs.delete(aside, True)
+        if fs.exists(here):
+            fs.rename(here, aside)
+        fs.rename(new, here)
+        fs.delete(aside, True)
+
+
+def catalog(spark: SparkSession, mode: str | None = None, root: str | None = None, env: Mapping[str, str] | None = None) -> Catalog:
+    """The catalog by arguments, else by STORAGE_MODE (local or gcs), STORAGE_PATH and GCS_BUCKET, else below ./data.
+
+    Without a mode, a named bucket means gcs. Modes of another name raise ValueError; other file systems are reached by ``Catalog`` with their URI.
+    """
+    env = os.environ if env is None else env
+    mode = (mode or env.get("STORAGE_MODE") or ("gcs" if env.get("GCS_BUCKET") else "local")).lower()
+    if mode == "local":
+        return Catalog(spark, "file://" + os.path.abspath(root or env.get("STORAGE_PATH") or "data"))
+    if mode == "gcs":
+        bucket = root or env.get("GCS_BUCKET")
+        if not bucket:
+            raise ValueError("no bucket named")
+        return Catalog(spark, f"gs://{bucket}")
+    raise ValueError(f"unknown storage mode: {mode}")
