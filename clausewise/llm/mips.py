@@ -2,8 +2,9 @@
 
 Fit. Vectors are cut into subspaces of ``SUB`` dimensions with 16 codewords each. The loss is score-aware:
 the part of the residual that is parallel to the vector weighs ``eta`` times the rest, as it moves large inner
-products. Assignments descend coordinate by coordinate, codewords solve the weighted least squares.
-The codebooks are fitted on at most ``SAMPLE`` vectors (those with the least hash of their id).
+products. Assignments descend coordinate by coordinate; codewords solve the weighted least squares subspace by subspace,
+in ``SWEEPS`` passes, so the driver's memory is in proportion to the fitted vectors whatever their length. The codebooks are fitted
+on at most ``SAMPLE`` vectors and ``FITTED`` bytes of them (those with the least hash of their id).
 
 Index. Every distinct vector is encoded once, four bits a subspace, two to a byte; equal vectors are one entry that
 stands for its ``k`` + 1 least ids, so a vector that very many rows share neither crowds others out nor costs more.
@@ -13,8 +14,8 @@ through its table (one lookup a byte) and keeps the best, its share of ``rerank`
 the shuffle. Their vectors are joined, the exact inner products in double precision rank them, and the ``k`` best rows stay.
 
 Scale. A stated query set meets all rows in blocks: what travels to every block of queries are codes (a byte for four
-dimensions), and what travels to every block of codes are queries. Blocks grow with the data up to ``QUERIES`` and ``CANDIDATES``, which
-bounds a cell; a vector is shuffled once to be fetched and once for each short list it is on.
+dimensions), and what travels to every block of codes are queries. Blocks grow with the data up to ``QUERIES`` and ``CANDIDATES`` and, for long
+vectors, up to ``ASKED`` and ``CODED`` bytes, which bounds a cell; a vector is shuffled once to be fetched and once for each short list it is on.
 
 Defined results. Vectors that are null, zero, of another than the commonest length (the longer on ties; their product with the rest is
 not defined) or that hold null or non-finite components take no part, nor do null ids; very long ones only cost more. A query's own id is no candidate.
@@ -36,14 +37,20 @@ from .store import cut, small_batches
 SUB = 2
 CODES = 16
 SAMPLE = 10_000
+FITTED = 32 << 20
 THRESHOLD = 0.2
 ROUNDS = 4
+SWEEPS = 3
 #: Vectors reranked exactly for a query over a table of ``USUAL`` rows; more for larger tables, as the ``POWER`` of their size.
 RERANK, USUAL, POWER = 400, 50_000, 0.4
 #: Most codes and queries in a cell (some 40 and 600 bytes each), and how many are looked at together.
 CANDIDATES = 1 << 20
 QUERIES = 1 << 14
-SCAN = 1 << 16
+#: Most bytes of query vectors and of codes in a cell.
+ASKED, CODED = 16 << 20, 64 << 20
+#: Code bytes that are scanned together, and distances to codewords that are held together.
+SCAN = 1 << 20
+HELD = 1 << 21
 #: Most bytes of query vectors that are sent to all executors for reranking; more are joined by shuffle.
 SENT = 16 << 20
 
@@ -63,6 +70,11 @@ class Index:
 
     def encode(self, x, rounds: int = 2):
         """Codes (n, subspaces) by coordinate descent on the anisotropic loss."""
+        step = max(1, HELD // (self.books.shape[0] * CODES))
+        found = [self._encode(x[lo : lo + step], rounds) for lo in range(0, len(x), step)]
+        return np.concatenate(found) if found else np.zeros((0, self.books.shape[0]), dtype=np.int64)
+
+    def _encode(self, x, rounds):
         x = self.parts(x)
         unit = x / np.sqrt((x * x).sum(axis=(1, 2), keepdims=True))
         far = ((x[:, :, None, :] - self.books[None]) ** 2).sum(axis=3)  # (n, m, 16)
@@ -105,23 +117,22 @@ def fit(x, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> Index:
     index.books = np.stack([parts[rng.choice(n, CODES, replace=n < CODES), i] for i in range(m)])
     unit = parts / np.sqrt((parts * parts).sum(axis=(1, 2), keepdims=True))
     own = (parts * unit).sum(axis=(1, 2))
-    width = m * CODES * SUB
+    at = np.arange(m)
     for _ in range(rounds):
         code = index.encode(x, 1)
-        # Normal equations of |r|^2 + (eta - 1) (u r)^2 in all codeword components at once.
-        a, b = np.zeros((width, width)), np.zeros(width)
-        for lo in range(0, n, 4096):
-            c, p, u = code[lo : lo + 4096], parts[lo : lo + 4096], unit[lo : lo + 4096]
-            at = ((np.arange(m) * CODES + c)[:, :, None] * SUB + np.arange(SUB)).reshape(len(c), -1)
-            v = np.zeros((len(c), width), dtype=np.float32)
-            np.put_along_axis(v, at, u.reshape(len(c), -1), axis=1)
-            a += (eta - 1) * (v.T @ v)
-            b += (eta - 1) * (own[lo : lo + 4096] @ v)
-            a[np.arange(width), np.arange(width)] += np.bincount(at.ravel(), minlength=width)
-            b += np.bincount(at.ravel(), weights=p.reshape(-1), minlength=width)
-        a[np.arange(width), np.arange(width)] += 1e-3
-        b += 1e-3 * index.books.ravel()
-        index.books = np.linalg.solve(a, b).reshape(m, CODES, SUB)
+        hit = np.einsum("nmd,nmd->nm", unit, index.books[at, code])
+        rest = own - hit.sum(axis=1)
+        for i in np.tile(at, SWEEPS):
+            # Normal equations of |r|^2 + (eta - 1) (u r)^2 in the codewords of one subspace, the others as they are.
+            c, p, u = code[:, i], parts[:, i], unit[:, i]
+            without = rest + hit[:, i]
+            total = lambda w: np.bincount(c, w, CODES)  # noqa: B023, E731
+            a = np.stack([[total((eta - 1) * u[:, j] * u[:, k]) for k in range(SUB)] for j in range(SUB)]).transpose(2, 0, 1)
+            b = np.stack([total(p[:, j] + (eta - 1) * without * u[:, j]) for j in range(SUB)], axis=1) + 1e-3 * index.books[i]
+            a = a + (np.bincount(c, minlength=CODES) + 1e-3)[:, None, None] * np.eye(SUB)
+            index.books[i] = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+            hit[:, i] = (u * index.books[i][c]).sum(axis=1)
+            rest = without - hit[:, i]
     return index
 
 
@@ -132,11 +143,11 @@ def _vectors(column, dim):
 
 def scan(index, q, packed, rerank):
     """The ``rerank`` best rows of the packed codes for each query, by rough score: (query, row, score)."""
-    out = []
+    out, step = [], max(256, SCAN // packed.shape[1])
     for lo in range(0, len(q), 64):
         table, best = index.tables(q[lo : lo + 64]), [None] * min(64, len(q) - lo)
-        for begin in range(0, len(packed), SCAN):
-            columns = np.ascontiguousarray(packed[begin : begin + SCAN].T).astype(np.int64)
+        for begin in range(0, len(packed), step):
+            columns = np.ascontiguousarray(packed[begin : begin + step].T).astype(np.int64)
             for row in range(len(table)):
                 rough = table[row, 0][columns[0]]
                 for b in range(1, len(columns)):
@@ -206,6 +217,9 @@ def mips_search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     n, m = rows.count(), asked.count()
     if not n or not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = len(rows.select("v").first()["v"])
+    sample = max(CODES, min(sample, FITTED // (8 * dim)))
+    queries, candidates = min(queries, max(64, ASKED // (8 * dim))), min(candidates, max(4096, CODED // (40 + dim // 4)))
     known = rows.orderBy(F.xxhash64("id"), "id", "a").limit(sample).select("v").toArrow().column("v").combine_chunks()
     x = known.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(known), -1)
     index = spark.sparkContext.broadcast(fit(x))
@@ -228,7 +242,7 @@ def mips_search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     distinct = rows.groupBy("a", "b").agg(F.first("v").alias("v"), F.min("id").alias("least"))
     product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
     asking = asked.withColumnRenamed("v", "q")
-    asking = F.broadcast(asking) if m * x.shape[1] * 8 <= SENT else asking
+    asking = F.broadcast(asking) if m * dim * 8 <= SENT else asking
     scored = short.join(distinct, ["a", "b"]).join(asking, [*query]).select(*query, "a", "b", "least", product.alias("score"))
     # Each better vector has a better row, one of which may be the query's own.
     near = scored.withColumn("place", place(F.desc("score"), "least")).where(F.col("place") <= k + 1)

@@ -5,6 +5,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA
@@ -71,6 +72,19 @@ def test_vectors_repeat_and_share_ids(spark):
     assert got.keys() == {(0, 1, 9.0)} and got[(0, 1, 9.0)] in (2, 4)
 
 
+def test_long_vectors_are_found_in_bounded_cells(spark, monkeypatch):
+    """Vectors of 1,536 components: fitted, dealt and scanned in the bytes that are allowed, found as short ones are."""
+    monkeypatch.setattr(mips, "FITTED", 2 << 20)
+    monkeypatch.setattr(mips, "SCAN", 1 << 17)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(20, 1536))[r.integers(0, 20, 900)] + r.normal(size=(900, 1536))
+    got = mips.mips_search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=60, k=10).toPandas()
+    d = x @ x[::60].T
+    d[np.arange(0, 900, 60), np.arange(15)] = -np.inf
+    best = np.argsort(-d, axis=0)[:10]
+    assert len(got) == 150 and np.mean([len(set(best[:, q // 60]) & set(part.vec_id)) / 10 for q, part in got.groupby("query_id")]) > 0.95
+
+
 def test_words_of_equal_structure_differ(spark):
     """Thue-Morse words: polynomials modulo a power of two cannot tell them apart."""
     data, offsets = tx.column_bytes(pa.array([" ".join(TWINS)]))
