@@ -20,7 +20,8 @@ Scale. The fit reads at most ``SAMPLE`` labelled documents (chosen by a hash of
 the executors, so no text is shuffled. Scoring is one narrow pass with a model of fixed size.
 
 Defined results. Null and empty texts have no evidence and get the score of that. Null ids are never
-learned from. Conflicting labels of one id all count; null labels do not. Without labels of both kinds
+learned from. An id counts once: of its labels those of the majority (toxic if even), of its texts that with the least
+hash; null labels do not count. Without labels of both kinds
 the score is the share of toxic labels (0 without any). Repeated rows are scored alike; clashing extra
 columns are ignored.
 """
@@ -237,13 +238,15 @@ def _decisive(bad, good, words, n_bad, n_good):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` labelled rows, those with the least hash of their id."""
+    """Learns from at most ``sample`` labelled ids, those with the least hash."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
-    known = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
+    known = known.groupBy("id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     train = cut(base.join(F.broadcast(known), "id").select("id", "text", "toxic"), "labelled")
+    if not train.groupBy("id").count().where("count > 1").isEmpty():  # combined before the shuffle, so an id that very many rows share is no load
+        train = cut(train.groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("id", "text", "toxic"), "labelled")
     marks = train.select("id", "text").mapInArrow(_min_hashes, "id long, which int, mark long").distinct()
     least = marks.groupBy("which", "mark").agg(F.min("id").alias("id")).groupBy("id").count().where(F.col("count") == MARKS).select("id")
     train = cut(train.join(F.broadcast(least), "id").select("text", "toxic"), "train")
