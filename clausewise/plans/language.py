@@ -304,6 +304,43 @@ def prompts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROMPTS_WHOLE = PRELUDE + ", p AS (SELECT doc_id, 'Language ' || language || ': - \"Lessor\" (синонимы/языковые варианты: Owner, Арендодатель; отображение: Side A)' || chr(10) || '- \"Lessee\" (Lessee)' || chr(10) || text AS t FROM contracts) SELECT doc_id, length(t)::INTEGER AS size, md5(t) AS digest FROM p"
 
 
+def prompt_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of the seven prompts over whole contract texts, in short templates, each as its MD5."""
+    rows = contracts(spark, sf_dir)
+    odd, none = F.col("doc_id") % 2 == 1, F.array().cast("array<string>")
+    places = F.expr("transform(sequence(0, cast(doc_id % 8 as int)), i -> struct(i + 1 as page, concat('place \"', i, '\"') as description, if(i % 2 = 0, null, concat('п', i)) as note))")
+    places = F.when(F.col("doc_id") % 9 == 0, F.slice(places, 1, 0)).otherwise(places)
+    fields = ("page", "description", "note")
+    names = F.when(odd, F.array(F.lit("Daisy"), F.lit("{signer}"))).otherwise(none)
+    person = F.when(odd, F.lit("{language} Ivanov")).otherwise("")
+    previous = F.when(F.col("doc_id") % 4 == 1, F.struct(F.lit('["a"]').alias("patterns"), F.lit("[]").alias("found_locations")))
+    items = F.transform(F.slice(places, 1, 2), lambda x: F.struct(F.concat(F.lit("sig_"), x["page"].cast("string")).alias("id"), x["page"].alias("page"), x["description"].alias("context"), x["note"].alias("pattern")))
+    text, party = F.col("text"), F.lit("Lessor")
+    made = {
+        "side": pr.filled_once("{language}|{company_aliases}|{signer_aliases}|{markers}|{header_text}", pr.side_values(text, F.col("language"), names, none, F.lit("{}"))),
+        "patterns": pr.filled("{legal_entity}|{roles}|{signer}|{language}|{underline_patterns}|{marker_words}|{strategic_fragments}", pr.pattern_values(F.lit(None).cast("string"), names, person, F.col("language"), names, none, text)),
+        "extraction": pr.filled_once("{language}|{refinement}|{other}|{doc_text}", pr.extraction_values(text, party, F.col("language"), F.lit(""), F.lit(""), person, previous, "{patterns} {found_locations} {refinement}", "more {refinement}")),
+        "regeneration": pr.filled_once("{party_name}\n{locations}\n{raw_text}", pr.regeneration_values(party, places, fields, text, F.lit(""))),
+        "narrowing": pr.filled_once("{expected}|{actual}|{surplus}|{counts}|{locations}", pr.narrowing_values(party, places, fields, text, F.lit(7), F.lit("-"), F.lit(""))),
+        "validation": pr.filled_once("{items}{party_name}", pr.validation_values(items, party, F.lit(""))),
+        "resolver": pr.filled_once("{company}|{signer_name}|{parties}|{doc_text}", pr.resolver_values(text, party, person, F.lit("-"), F.lit(""))),
+    }
+    return rows.select("doc_id", *[F.md5(p.cast("binary")).alias(n) for n, p in made.items()])
+
+
+PROMPT_VALUES = PRELUDE + """, r AS (SELECT doc_id, language, text, doc_id % 2 = 1 AS odd, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE doc_id % 8 + 1 END AS n FROM contracts),
+q AS (SELECT *, '[' || chr(10) AS b, chr(10) || ']' AS e, CASE WHEN odd THEN 'Daisy, {signer}' ELSE '' END AS names, CASE WHEN odd THEN '{language} Ivanov' ELSE '' END AS person,
+  list_transform(range(n), lambda i: ['  {', '    "page": ' || (i + 1) || ',', '    "description": "place \\"' || i || '\\"",', '    "note": ' || CASE WHEN i % 2 = 0 THEN 'null' ELSE '"п' || i || '"' END, '  }']) AS shown,
+  list_transform(range(least(n, 2)), lambda i: ['  {', '    "id": "sig_' || (i + 1) || '",', '    "page": ' || (i + 1) || ',', '    "context": "place \\"' || i || '\\"",', '    "pattern": ' || CASE WHEN i % 2 = 0 THEN 'null' ELSE '"п' || i || '"' END, '  }']) AS found FROM r),
+j AS (SELECT *, CASE WHEN n = 0 THEN '[]' ELSE b || array_to_string(list_transform(shown[1:5], lambda x: array_to_string(x, chr(10))), ',' || chr(10)) || e END AS places,
+  CASE WHEN n = 0 THEN '[]' ELSE b || array_to_string(list_transform(found, lambda x: array_to_string(x, chr(10))), ',' || chr(10)) || e END AS items FROM q)
+SELECT doc_id, md5(language || '|' || CASE WHEN odd THEN names ELSE '(не указано)' END || '|(не указано)|{}|' || text) AS side,
+  md5('(не определено)|' || CASE WHEN odd THEN 'Daisy, ' || language || ' Ivanov|' || language || ' Ivanov' ELSE '(не определено)|(не определено)' END || '|' || language || '|' || names || '||' || text) AS patterns,
+  md5(CASE language WHEN 'ru' THEN 'русском' WHEN 'en' THEN 'английском' ELSE 'польском' END || '|' || CASE WHEN NOT odd THEN '' WHEN doc_id % 4 = 1 THEN '["a"] [] ' || person ELSE 'more ' || person END || '|{other}|' || text) AS extraction,
+  md5('Lessor' || chr(10) || places || chr(10) || text) AS regeneration, md5(n || '|7|' || (7 - n) || '|-|' || places) AS narrowing, md5(items || 'Lessor') AS validation,
+  md5(CASE WHEN odd THEN 'Компания: "' || person || '"' ELSE 'Компания: (не указана)' END || '|Lessor|-|' || text) AS resolver FROM j"""
+
+
 def settings_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored settings by nation: the first of two stored values, else the default; profiles merge by key."""
     n = table(spark, sf_dir, "nation")
@@ -315,6 +352,6 @@ def settings_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SETTINGS_FALLBACK = "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 0.8 WHEN n_nationkey % 2 = 0 THEN 0.9 ELSE 0.95 END::DOUBLE AS green_threshold, CASE WHEN n_nationkey % 4 = 0 THEN '2.0' ELSE '1.0' END AS version, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS updated_at FROM nation"
 
-_names = "anchor_words alias_tokens distinctive_tokens header_text doc_prefix strategic_fragments strategic_text llm_parse our_side llm_validate party_map parties_json parties_md merge_patterns tpl_list tpl_upsert tpl_archive tpl_version add_anchors usage_stats alias_by_lang ink_confidence names_and_keys prompts_whole settings_fallback"
+_names = "anchor_words alias_tokens distinctive_tokens header_text doc_prefix strategic_fragments strategic_text llm_parse our_side llm_validate party_map parties_json parties_md merge_patterns tpl_list tpl_upsert tpl_archive tpl_version add_anchors usage_stats alias_by_lang ink_confidence names_and_keys prompts_whole prompt_values settings_fallback"
 QUERIES = {n: globals()[n] for n in _names.split()}
 SQL = {n: globals()[n.upper()] for n in _names.split() if n not in ("parties_json", "parties_md")} | {"parties_json": PARTIES_JSON_SQL, "parties_md": PARTIES_MD_SQL}

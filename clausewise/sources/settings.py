@@ -5,13 +5,17 @@ A missing, empty or unreadable object is the default.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import asdict
 from datetime import datetime, timezone
 
 from ..operators.matcher import Decision
 from .files import Catalog
 
-MARKERS, PROFILE, PROMPTS = "markers.json", "signer_profile.json", "prompts.json"
+MARKERS, PROFILE, PROMPTS, PROVIDERS = "markers.json", "signer_profile.json", "prompts.json", "llm_config.json"
+#: The variable that names a model provider where the object does not.
+PROVIDER_VARIABLE = "LLM_PROVIDER"
 #: Where thresholds are looked for, in order; they are saved in the last place.
 THRESHOLDS = ("settings/traffic_light.json", "traffic_light_config.json")
 #: A profile without aliases.
@@ -76,3 +80,48 @@ def thresholds(catalog: Catalog | None) -> Decision:
 
 def save_thresholds(catalog: Catalog, value: Decision) -> None:
     catalog.write_json(THRESHOLDS[-1], asdict(value))
+
+
+class Providers:
+    """Model providers: keys stored in a catalog, else in the environment. ``known`` maps a provider to its key's variable."""
+
+    def __init__(self, catalog: Catalog | None, known: Mapping[str, str], env: Mapping[str, str] | None = None):
+        self.catalog, self.known, self.env = catalog, dict(known), os.environ if env is None else env
+
+    def config(self) -> dict:
+        """The stored object; every known provider has an entry."""
+        stored = _stored(self.catalog, PROVIDERS)
+        if not isinstance(stored, dict):
+            stored = {"active_provider": ""}
+        return stored | {"providers": {name: {"api_key": ""} for name in self.known} | stored.get("providers", {})}
+
+    def save(self, config: dict) -> None:
+        self.catalog.write_json(PROVIDERS, config)
+
+    def _stored_key(self, provider: str) -> str:
+        return (self.config()["providers"].get(provider, {}).get("api_key") or "").strip()
+
+    def _env_key(self, provider: str) -> str:
+        return self.env.get(self.known.get(provider, ""), "").strip()
+
+    def key(self, provider: str) -> str:
+        """The stored key, else that of the environment, else RuntimeError."""
+        found = self._stored_key(provider) or self._env_key(provider)
+        if not found:
+            raise RuntimeError(f"no key for the provider {provider}")
+        return found
+
+    def active(self) -> str:
+        """The stored provider if it has a stored key, else that of the environment if it has one there, else RuntimeError."""
+        name = (self.config().get("active_provider") or "").strip().lower()
+        if name and self._stored_key(name):
+            return name
+        name = self.env.get(PROVIDER_VARIABLE, "").strip().lower()
+        if name and self._env_key(name):
+            return name
+        raise RuntimeError("no provider with a key")
+
+    def configured(self) -> list[str]:
+        """Providers with a stored key, then those with one in the environment only."""
+        stored = [p for p in self.known if self._stored_key(p)]
+        return stored + [p for p in self.known if p not in stored and self._env_key(p)]

@@ -61,6 +61,24 @@ def test_settings(store):
     assert settings.thresholds(store).green_threshold == 0.9 and settings.profile(store) == settings.NO_PROFILE
 
 
+def test_providers(store):
+    known, env = {"one": "ONE_KEY", "two": "TWO_KEY"}, {"ONE_KEY": " e1 ", "LLM_PROVIDER": "One"}
+    own = settings.Providers(store, known, env)
+    assert own.config() == {"active_provider": "", "providers": {"one": {"api_key": ""}, "two": {"api_key": ""}}}
+    assert own.active() == "one" and own.key("one") == "e1" and own.configured() == ["one"]
+    own.save({"active_provider": " TWO ", "providers": {"two": {"api_key": "s2"}}})
+    assert own.active() == "two" and own.key("two") == "s2" and own.configured() == ["two", "one"]
+    own.save({"active_provider": "two"})
+    assert own.active() == "one"
+    empty = settings.Providers(None, known, {"LLM_PROVIDER": "one"})
+    assert empty.configured() == []
+    for work in (empty.active, lambda: empty.key("one")):
+        with pytest.raises(RuntimeError):
+            work()
+    store.write_text(settings.PROVIDERS, "{")
+    assert own.configured() == ["one"]
+
+
 def test_ink(spark):
     def mask(w, h, x0, y0, x1, y1):
         return bytearray(b"".join(bytes(1 if x0 <= x < x1 and y0 <= y < y1 else 0 for x in range(w)) for y in range(h)))
