@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, toxicity, warc
+from . import language_id, mixing, quality, toxicity, warc
+from .alignment import align_tokenizers
 from .fingerprints import fingerprint_edits
 from .jaccard_join import ngram_jaccard_join
 from .mips import mips_search
+from .negatives import hard_negatives
 from .sentencepiece import encode_documents
 from .store import table
 from .substring_dedup import substring_dedup
@@ -133,6 +135,40 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~_fold(5, 0)))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", _fold(5, 0).alias("held_out"), "score", "predicted")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label)
+
+
+OP13_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r AS a JOIN r AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (
+  SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 100 * s.score BETWEEN 80 * positive_score AND 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -144,5 +180,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op5_substring_dedup": OP5_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op3_warc": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op13_hard_negatives": OP13_SQL}
