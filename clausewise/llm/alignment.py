@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
 
 import numpy as np
@@ -34,9 +35,11 @@ from .store import cut, small_batches
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-PART = 4 << 20
+PART = 1 << 20
+#: Units that tokenizer A is given at once.
+TOGETHER = 2048
 #: Units that a worker remembers.
-KNOWN = 1 << 20
+KNOWN = 3 << 18
 U = tx.U
 PAIRS = 4_000_000
 HOT = 2_000
@@ -61,6 +64,7 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         self.a = Tokenizer.from_str(byte_bpe.decode())
         self.a.encode_special_tokens = True
         own, vocabulary = _byte_alphabet(), self.a.get_vocab()
@@ -78,7 +82,8 @@ class Tokenizers:
 
     def encode(self, units: list[str]):
         """Of A and of B: (ids, the first of each unit)."""
-        for found in ([x.ids for x in self.a.encode_batch(units, add_special_tokens=False)], self.b.encode([u[1:] for u in units], num_threads=1)):
+        some = [units[lo : lo + TOGETHER] for lo in range(0, len(units), TOGETHER)]  # A returns much more than ids
+        for found in ([x.ids for part in some for x in self.a.encode_batch(part, add_special_tokens=False)], self.b.encode([u[1:] for u in units], num_threads=1)):
             first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
             yield np.fromiter(itertools.chain.from_iterable(found), np.int64, first[-1]), first
 
