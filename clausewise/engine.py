@@ -106,7 +106,7 @@ def signatures(pages: DataFrame, party: search.Party, more_patterns: tuple[str,
 
 def placements(matches: DataFrame, pages: DataFrame, options: placement.Options = placement.Options()) -> DataFrame:
     """Boxes for stamping."""
-    return placement.placements(matches, search.with_lines(pages), options)
+    return placement.placements(matches, pages, options)
 
 
 def anchors_from_clicks(clicked: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Rectangles (struct<x0, y0, x1, y1> in points) and text search on the page layout, as column expressions."""
+"""Rectangles (struct<x0, y0, x1, y1> in points) and text search on the page layout, as column expressions.
+
+A page's layout is searched through a function from a text to its rectangles: ``on_words`` over the boxes of a decoder's words, or
+``on_lines`` over the monospaced lines of the fixtures.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.contracts import box
-from .text import anchor_words, escaped, let
+from .text import anchor_words, escaped, let, squeeze, strip
 
 SAME_LINE = 4.0
 SAME_ROW = 6.0
@@ -47,25 +51,79 @@ def touches(a: Column, b: Column) -> Column:
 RECTS = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
 
 
-def search_for(page_lines: Column, needle: Column) -> Column:
-    """Rectangles of a text on a page: on one line, letter case apart, left to right without overlaps."""
+def _occurrences(text: Column, needle: Column, each) -> Column:
+    """``each(offset, size)`` of a needle's occurrences, left to right without overlaps; none of an empty needle."""
+    size = F.length(needle)
+
+    def found(parts):
+        at = lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * size
+        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: let(at(k), lambda c: each(c, size))))
+
+    return F.when(size > 0, let(F.split(text, escaped(needle), -1), found))
+
+
+def on_lines(page_lines: Column):
+    """Search on monospaced lines: a text on one line, letter case apart."""
+
+    def find(needle: Column) -> Column:
+        on_line = lambda line, row: F.coalesce(_occurrences(F.lower(line), F.lower(needle), lambda c, _: box(row, c, F.length(needle))), F.array().cast(RECTS))
+        return F.when(F.length(needle) > 0, F.flatten(F.transform(page_lines, on_line))).otherwise(F.array().cast(RECTS))
+
+    return find
+
+
+#: Stands between the words of an index; no word holds it.
+GAP = "\x1f"
+
+
+def word_index(words: Column) -> Column:
+    """What ``on_words`` searches: struct<text, words>, the words of array<struct<text, x0, y0, x1, y1>> in lower case and packed into one text."""
+    low = F.transform(words, lambda w: F.translate(F.lower(w["text"]), GAP, " "))
+    boxes = F.zip_with(low, words, lambda t, w: F.struct(F.length(t).alias("size"), *[w[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    return let(F.struct(low.alias("low"), boxes.alias("boxes")), lambda b: F.struct(F.array_join(b["low"], GAP).alias("text"), b["boxes"].alias("words")))
+
+
+def on_words(index: Column):
+    """Search over words with boxes: a text, letter case and the kind of white space apart, one rectangle for each line that it stands on.
+
+    The words of an occurrence are known by the gaps before it and in it; a word that it holds in part gives that share of its box. Words whose middles
+    differ by at most ``SAME_LINE`` and that run on to the right are on one line.
+    """
+
+    def find(needle: Column) -> Column:
+        plain = F.translate(strip(squeeze(F.lower(needle))), " ", GAP)
+
+        def rects(text, words, wanted):
+            gaps = lambda t: F.length(t) - F.length(F.replace(t, F.lit(GAP), F.lit("")))
+
+            def grown(state, w, size):
+                share = lambda n: w["x0"] + (w["x1"] - w["x0"]) * n / w["size"]
+                own = rect(share(F.greatest(F.lit(0), -state["at"])), w["y0"], share(F.least(w["size"], size - state["at"])), w["y1"])
+                last = F.get(state["rects"], F.size(state["rects"]) - 1)
+                same = (F.abs(centre_y(last) - centre_y(own)) <= SAME_LINE) & (own["x0"] >= last["x0"])
+                more = F.when(F.coalesce(same, F.lit(False)), F.concat(F.slice(state["rects"], F.lit(1), F.size(state["rects"]) - 1), F.array(merged(last, own)))).otherwise(F.concat(state["rects"], F.array(own)))
+                return F.struct((state["at"] + w["size"] + 1).alias("at"), more.alias("rects"))
+
+            def each(at, size):
+                before = F.left(text, at)
+                inside = F.length(F.substring_index(before, GAP, -1))
+                return F.aggregate(
+                    F.slice(words, gaps(before) + 1, gaps(wanted) + 1), F.struct((-inside).alias("at"), F.array().cast(RECTS).alias("rects")), lambda state, w: grown(state, w, size), lambda state: state["rects"]
+                )
 
-    def on_line(line, row):
-        def each(parts):
-            col = lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * F.length(needle)
-            return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: let(col(k), lambda c: box(row, c, F.length(needle))))).otherwise(F.array().cast(RECTS))
+            return F.flatten(F.coalesce(_occurrences(text, wanted, each), F.array().cast(f"array<{RECTS}>")))
 
-        return let(F.split(F.lower(line), escaped(F.lower(needle)), -1), each)
+        return let(F.struct(plain.alias("n"), index["text"].alias("t"), index["words"].alias("w")), lambda b: rects(b["t"], b["w"], b["n"]))
 
-    return F.when(F.length(needle) > 0, F.flatten(F.transform(page_lines, on_line))).otherwise(F.array().cast(RECTS))
+    return find
 
 
-def line_rects(page_lines: Column) -> Column:
+def line_rects(find) -> Column:
     """Rectangles of the lines to sign on."""
-    return F.concat(search_for(page_lines, F.lit("___")), search_for(page_lines, F.lit(".....")))
+    return F.concat(find(F.lit("___")), find(F.lit(".....")))
 
 
-def text_rects(page_lines: Column, matched: Column) -> Column:
+def text_rects(find, matched: Column) -> Column:
     """Where a matched text stands on its page.
 
     The exact text; else, by what it is made of: its underline, its first word, or each of its words
@@ -80,7 +138,7 @@ def text_rects(page_lines: Column, matched: Column) -> Column:
 
     def fallback(b):
         words, lines = b["words"], b["lines"]
-        first = F.slice(search_for(page_lines, F.coalesce(F.get(words, F.lit(0)), F.lit(""))), 1, 1)
+        first = F.slice(find(F.coalesce(F.get(words, F.lit(0)), F.lit(""))), 1, 1)
 
         def with_words(found):
             pairs = F.transform(found, lambda a: F.struct(a.alias("a"), nearest(a, lines).alias("n")))
@@ -88,19 +146,19 @@ def text_rects(page_lines: Column, matched: Column) -> Column:
             best = let(joined, lambda js: F.when(F.size(js) > 0, js).otherwise(first))
             return F.when(F.size(found) == 0, F.slice(lines, 1, 1)).when(F.size(lines) == 0, F.slice(found, 1, 1)).otherwise(best)
 
-        both = let(F.flatten(F.transform(words, lambda w: search_for(page_lines, w))), with_words)
+        both = let(F.flatten(F.transform(words, lambda w: find(w))), with_words)
         return F.when(under, F.when(F.size(words) == 0, F.slice(lines, 1, 1)).otherwise(both)).when(F.size(words) > 0, first).otherwise(F.array().cast(RECTS))
 
-    parts = F.struct(anchor_words(matched).alias("words"), search_for(page_lines, F.lit("___")).alias("lines"))
-    return let(search_for(page_lines, matched), lambda exact: F.when(F.size(exact) > 0, exact).otherwise(let(parts, fallback)))
+    parts = F.struct(anchor_words(matched).alias("words"), find(F.lit("___")).alias("lines"))
+    return let(find(matched), lambda exact: F.when(F.size(exact) > 0, exact).otherwise(let(parts, fallback)))
 
 
-def marker_rects(page_lines: Column, marker: Column) -> Column:
+def marker_rects(find, marker: Column) -> Column:
     """Where a reply's marker text stands: exact, else its first longer word that is found, else the first underline."""
-    exact = search_for(page_lines, marker)
+    exact = find(marker)
     words = anchor_words(marker)
-    found = F.filter(F.transform(words, lambda w: search_for(page_lines, w)), lambda r: F.size(r) > 0)
-    lines = F.when(marker.contains("__"), F.slice(search_for(page_lines, F.lit("___")), 1, 1)).otherwise(F.slice(exact, 1, 0))
+    found = F.filter(F.transform(words, lambda w: find(w)), lambda r: F.size(r) > 0)
+    lines = F.when(marker.contains("__"), F.slice(find(F.lit("___")), 1, 1)).otherwise(F.slice(exact, 1, 0))
     return F.when(F.size(exact) > 0, exact).when(F.size(found) > 0, F.slice(F.get(found, F.lit(0)), 1, 1)).otherwise(lines)
 
 

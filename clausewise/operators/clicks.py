@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -19,6 +19,19 @@ def blocks(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "page_num", F.col("line_in_page").alias("block_no"), F.col("line").alias("text"), box(F.col("line_in_page"), F.lit(0), F.length("line")).alias("r"))
 
 
+def word_blocks(pages: DataFrame) -> DataFrame:
+    """``blocks`` from a decoder's words: those that follow each other to the right on one height are a line."""
+    rows = pages.select("doc_id", "page_num", F.posexplode("words").alias("at", "w"))
+    on = Window.partitionBy("doc_id", "page_num").orderBy("at")
+    before = F.lag("w").over(on)
+    opens = F.coalesce(~((F.abs(geo.centre_y(before) - geo.centre_y(F.col("w"))) <= geo.SAME_LINE) & (F.col("w.x0") >= before["x0"])), F.lit(True))
+    rows = rows.withColumn("opens", opens).withColumn("block_no", (F.sum(F.col("opens").cast("int")).over(on) - 1).cast("int"))
+    found = rows.groupBy("doc_id", "page_num", "block_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("w.text").alias("t")))), lambda x: x["t"]), " ").alias("text"), *[f(f"w.{c}").alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
+    )
+    return found.select("doc_id", "page_num", "block_no", "text", geo.rect(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("r"))
+
+
 def _levels(clicks: DataFrame, found: DataFrame) -> DataFrame:
     """Clicks with the blocks of their page, their distance and the least level that each satisfies."""
     rows = clicks.join(found, ["doc_id", "page_num"])

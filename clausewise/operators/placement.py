@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from .search import finder, layout, with_layout
 
 HEIGHT, LEAST, MOST, SHIFT = 42.0, 20.0, 85.0, 20.0
 
@@ -27,9 +28,10 @@ def placements(matches: DataFrame, pages: DataFrame, options: Options = Options(
     underline next to the match, if its page has one, else on the lower edge of the match.
     """
     kept = matches.where("not operator_excluded and status <> 'rejected_by_llm'")
-    rows = kept.join(pages.select("doc_id", "page_num", "page_lines"), ["doc_id", "page_num"])
+    pages = with_layout(pages)
+    rows = kept.join(pages.select("doc_id", "page_num", layout(pages)), ["doc_id", "page_num"])
     r = geo.rect(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
-    lines = F.transform(geo.search_for(F.col("page_lines"), F.lit("___")), lambda u, i: F.struct(F.abs(geo.centre_y(u) - geo.centre_y(r)).alias("d"), i.alias("i"), u.alias("u")))
+    lines = F.transform(finder(rows)(F.lit("___")), lambda u, i: F.struct(F.abs(geo.centre_y(u) - geo.centre_y(r)).alias("d"), i.alias("i"), u.alias("u")))
     near = F.filter(lines, lambda c: (c["u"]["y1"] >= F.col("y0") - 2) & (c["u"]["y0"] <= F.col("y1") + 2) & (c["u"]["x0"] >= F.col("x0") - 10) & (c["u"]["x0"] <= F.col("x1")))
     rows = rows.withColumn("u", F.array_min(near)["u"])
     on_line = F.col("pattern").startswith("_")

@@ -1,6 +1,6 @@
 """Finding the places to sign: pattern search with filters, suppression, template anchors, conversions.
 
-A page is one row with its text and its lines; matches, rectangles and suppression are array expressions
+A page is one row with its text and its layout (a decoder's words with boxes, or the fixtures' monospaced lines); matches, rectangles and suppression are array expressions
 of that row, so a search is a projection of the pages. Only match ids need the document's pages in order.
 """
 
@@ -9,17 +9,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geometry as geo
+from ..functions import patterns as pt
 from ..functions import text as tx
 
+#: Words of a page in reading order, as decoders give them.
+WORDS = "array<struct<text: string, x0: double, y0: double, x1: double, y1: double>>"
 NONE = "array<struct<pattern_idx: int, start: int, stop: int, matched: string>>"
-#: Case and character classes as Unicode has them.
-FLAGS = "(?iuU)"
 #: A pattern that matches nowhere.
 NEVER = "(?!)"
 
@@ -35,31 +34,11 @@ class Party:
     other_aliases: tuple[str, ...] = field(default=())
 
 
-def valid_pattern(pattern: str) -> bool:
-    """Whether a pattern compiles; checked on the driver over the few patterns of a party."""
-    try:
-        re.compile(pattern, re.IGNORECASE)
-    except re.error:
-        return False
-    return True
-
-
-@F.pandas_udf(T.StringType())
-def compiling(patterns: pd.Series) -> pd.Series:
-    """Spark's form of each pattern, null where it does not compile."""
-    return patterns.map(lambda p: for_spark(p) if p is not None and valid_pattern(p) else None)
-
-
 def admissible(pattern: str) -> bool:
-    """Not a backward pattern over several lines (line first, then any text), and valid."""
+    """Not a backward pattern over several lines (line first, then any text), and one that can run."""
     bare = re.sub(r"^\(\?:", "", pattern)
     backward = bare.startswith(("_", "\\.", "."))
-    return not (backward and ("\\s\\S" in pattern or "\\S\\s" in pattern)) and valid_pattern(pattern)
-
-
-def for_spark(pattern: str) -> str:
-    """A Python pattern for Spark's engine: letter case ignored in all scripts, and classes such as \\s or \\w of all scripts."""
-    return FLAGS + pattern.replace("(?P<", "(?<")
+    return not (backward and ("\\s\\S" in pattern or "\\S\\s" in pattern)) and pt.valid(pattern)
 
 
 def party_tokens(party: Party, spark: SparkSession) -> Column:
@@ -75,15 +54,28 @@ def party_tokens(party: Party, spark: SparkSession) -> Column:
     return F.array(*map(F.lit, words)).cast("array<string>")
 
 
-def with_lines(pages: DataFrame) -> DataFrame:
-    """Adds the lines of each page."""
+def with_layout(pages: DataFrame) -> DataFrame:
+    """Adds what a page's layout is searched by: ``word_index`` where pages hold a decoder's words, else the monospaced ``page_lines``."""
+    if "words" in pages.columns:
+        return pages.withColumn("word_index", geo.word_index(F.coalesce("words", F.array().cast(WORDS)))).drop("words")
     parts = F.split("text", "\n")
     return pages.withColumn("page_lines", F.slice(parts, F.lit(1), F.size(parts) - 1))
 
 
+def layout(pages: DataFrame) -> str:
+    """The column that ``with_layout`` adds."""
+    return "word_index" if "word_index" in pages.columns else "page_lines"
+
+
+def finder(pages: DataFrame):
+    """The search on the pages' layout: from a text to its rectangles."""
+    return geo.on_words(F.col("word_index")) if layout(pages) == "word_index" else geo.on_lines(F.col("page_lines"))
+
+
 def pattern_spans(text: Column, patterns) -> Column:
-    """Matches of all patterns, pattern by pattern."""
-    found = [F.transform(tx.spans(text, for_spark(p)), lambda s, i=i: F.struct(F.lit(i).alias("pattern_idx"), s["start"].alias("start"), s["stop"].alias("stop"), s["matched"].alias("matched"))) for i, p in patterns]
+    """Matches of all patterns (index, form for Java), pattern by pattern."""
+    marked = lambda i: lambda s: F.struct(F.lit(i).alias("pattern_idx"), s["start"].alias("start"), s["stop"].alias("stop"), s["matched"].alias("matched"))
+    found = [F.transform(tx.spans(text, p), marked(i)) for i, p in patterns]
     return F.concat(*found) if found else F.array().cast(NONE)
 
 
@@ -104,10 +96,11 @@ def candidates(rows: DataFrame, spans: Column, tokens: Column, others: Column) -
 
 def placed(rows: DataFrame) -> DataFrame:
     """Adds ``raw``: the candidates of ``found`` with their rectangles on a line to sign on, numbered through the document."""
-    rows = rows.withColumn("lines", geo.line_rects(F.col("page_lines")))
+    find = finder(rows)
+    rows = rows.withColumn("lines", geo.line_rects(find))
 
     def boxes(s):
-        good = F.filter(geo.text_rects(F.col("page_lines"), s["matched"]), lambda r: (r["y1"] - r["y0"] <= geo.MAX_HEIGHT) & F.exists("lines", lambda u: geo.touches(u, r)))
+        good = F.filter(geo.text_rects(find, s["matched"]), lambda r: (r["y1"] - r["y0"] <= geo.MAX_HEIGHT) & F.exists("lines", lambda u: geo.touches(u, r)))
         return F.transform(good, lambda r: F.struct(s.alias("s"), r.alias("r")))
 
     rows = rows.withColumn("raw", F.flatten(F.transform("found", boxes)))
@@ -120,8 +113,8 @@ def placed(rows: DataFrame) -> DataFrame:
 def raw_matches(pages: DataFrame, party: Party) -> DataFrame:
     """Per page the matches of one party before suppression."""
     others = F.array(*[F.lit(a.strip().lower()) for a in party.other_aliases if len(a.strip()) >= 3]).cast("array<string>")
-    spans = pattern_spans(F.col("text"), [(i, p) for i, p in enumerate(party.patterns) if admissible(p)])
-    rows = candidates(with_lines(pages), spans, party_tokens(party, pages.sparkSession), others)
+    spans = pattern_spans(F.col("text"), [(i, own) for i, p in enumerate(party.patterns) if admissible(p) and (own := pt.compiled(pages.sparkSession, p))])
+    rows = candidates(with_layout(pages), spans, party_tokens(party, pages.sparkSession), others)
     return placed(rows).select("doc_id", "page_num", "text", "raw")
 
 
@@ -177,8 +170,9 @@ def page_hint(page: Column, n: Column) -> Column:
 
 def located(pages: DataFrame, locations: DataFrame) -> DataFrame:
     """Places that a model named (doc_id, pos, page from 1, text_marker, context), with rectangles and confidence 0.7."""
-    rows = locations.where("text_marker <> ''").withColumn("page_num", F.col("page") - 1).join(with_lines(pages).select("doc_id", "page_num", "page_lines"), ["doc_id", "page_num"])
-    rows = rows.select("*", F.posexplode(geo.marker_rects(F.col("page_lines"), F.col("text_marker"))).alias("rect_order", "r"))
+    pages = with_layout(pages)
+    rows = locations.where("text_marker <> ''").withColumn("page_num", F.col("page") - 1).join(pages.select("doc_id", "page_num", layout(pages)), ["doc_id", "page_num"])
+    rows = rows.select("*", F.posexplode(geo.marker_rects(finder(rows), F.col("text_marker"))).alias("rect_order", "r"))
     name = match_name("llm", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "rect_order")))
     return rows.select("doc_id", name.alias("match_id"), "page_num", F.col("r.x0").alias("x0"), F.col("r.y0").alias("y0"), F.col("r.x1").alias("x1"), F.col("r.y1").alias("y1"), F.substring(F.coalesce("context", "text_marker"), 1, 100).alias("context"), F.lit("llm_fallback").alias("pattern"), F.lit(0.7).alias("confidence"))
 
@@ -187,20 +181,20 @@ def apply_anchors(pages: DataFrame, anchors: DataFrame) -> DataFrame:
     """A template's anchors on a document: (doc_id, match_id, page_num, box, context, pattern).
 
     anchors: doc_id, anchor_idx, pattern, page_hint, context_before, anchor_text, bbox. An anchor without any match (none is looked for
-    where its pattern is null or does not compile) falls back to its own box on its first hinted page, if that exists.
+    where its pattern is null or cannot run) falls back to its own box on its first hinted page, if that exists.
     """
-    anchors = anchors.withColumn("_regex", compiling("pattern"))
-    pages = with_lines(pages)
+    anchors = anchors.withColumn("_regex", pt.java(F.col("pattern")))
+    pages = with_layout(pages)
     count = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
     asked = anchors.join(count, "doc_id").withColumn("hinted", hinted_pages(F.col("page_hint"), F.col("n")))
     on_page = asked.select("*", F.posexplode("hinted").alias("page_order", "page")).withColumn("page_num", F.when(F.col("page") < 0, F.col("n") + F.col("page")).otherwise(F.col("page")))
-    rows = on_page.join(pages.select("doc_id", "page_num", "text", "page_lines"), ["doc_id", "page_num"]).where("_regex is not null")
+    rows = on_page.join(pages.select("doc_id", "page_num", "text", layout(pages)), ["doc_id", "page_num"]).where("_regex is not null")
     rows = rows.withColumn("s", F.explode(tx.spans(F.col("text"), F.col("_regex"))))
     wanted = F.lower(tx.strip(tx.squeeze(F.col("context_before"))))
     size = F.length("context_before") + 40
     preceding = F.lower(tx.squeeze(F.substr(F.col("text"), F.greatest(F.lit(0), F.col("s.start") - size) + 1, F.least(F.col("s.start"), size))))
     rows = rows.where((wanted == "") | preceding.contains(wanted))
-    rows = rows.select("*", F.posexplode(geo.text_rects(F.col("page_lines"), F.col("s.matched"))).alias("rect_order", "r")).where(F.col("r.y1") - F.col("r.y0") <= geo.MAX_HEIGHT)
+    rows = rows.select("*", F.posexplode(geo.text_rects(finder(rows), F.col("s.matched"))).alias("rect_order", "r")).where(F.col("r.y1") - F.col("r.y0") <= geo.MAX_HEIGHT)
     hits = rows.select("doc_id", "anchor_idx", "page_order", F.col("s.start").alias("start"), "rect_order", F.col("page").alias("page_num"), "r", tx.snippet(F.col("text"), F.col("s.start"), F.col("s.stop")).alias("context"), "pattern")
     missed = asked.join(hits.select("doc_id", "anchor_idx").distinct(), ["doc_id", "anchor_idx"], "left_anti").withColumn("page_num", F.get("hinted", F.lit(0))).where("page_num between 0 and n - 1 and bbox is not null")
     own = missed.select(
@@ -215,9 +209,9 @@ def apply_anchors(pages: DataFrame, anchors: DataFrame) -> DataFrame:
 def matches_to_anchors(matches: DataFrame) -> DataFrame:
     """Matches as anchors: the context is the text, and what stands before and after the pattern in it is kept.
 
-    A pattern that does not compile (a box's note in front of it can do that) finds nothing in the context.
+    A pattern that cannot run (a box's note in front of it can do that) finds nothing in the context.
     """
-    matches = matches.withColumn("_regex", F.coalesce(compiling("pattern"), F.lit(NEVER)))
+    matches = matches.withColumn("_regex", F.coalesce(pt.java(F.col("pattern")), F.lit(NEVER)))
     pattern = F.col("_regex")
     hit = F.get(tx.find_all(F.col("context"), pattern), F.lit(0))
     parts = F.split("context", pattern, 2)
@@ -229,8 +223,9 @@ def matches_to_anchors(matches: DataFrame) -> DataFrame:
 
 
 def count_patterns(pages: DataFrame, patterns) -> DataFrame:
-    """Per document and pattern the number of matches, -1 for an invalid pattern; and whether any is found."""
-    counts = [F.sum(F.regexp_count("text", F.lit(for_spark(p)))).alias(f"c{i}") if valid_pattern(p) else F.lit(-1).cast("long").alias(f"c{i}") for i, p in enumerate(patterns)]
+    """Per document and pattern the number of matches (empty ones by Java's rule), -1 for a pattern that cannot run."""
+    java = [pt.compiled(pages.sparkSession, p, filled=False) for p in patterns]
+    counts = [F.lit(-1).cast("long").alias(f"c{i}") if p is None else F.sum(F.regexp_count("text", F.lit(p))).alias(f"c{i}") for i, p in enumerate(java)]
     rows = pages.groupBy("doc_id").agg(*counts)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("pattern_idx"), F.col(f"c{i}").cast("long").alias("n")) for i in range(len(patterns))]))
     return rows.select("doc_id", each.alias("c")).select("doc_id", "c.pattern_idx", "c.n")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flow, language, matching, searching
+from . import flow, language, matching, searching, words
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (matching, searching, language, flow)
+MODULES = (matching, searching, words, language, flow)
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..functions import patterns as pt
 from ..functions import text as tx
 from ..operators import clicks as ck
 from ..operators import placement as pl
@@ -48,7 +49,7 @@ def d_strip(text: str) -> str:
     return f"regexp_replace({text}, '^{tx.WS}+|{tx.WS}+$', '', 'g')"
 
 
-def d_rects(source: str, name: str) -> str:
+def d_rects(source: str, name: str, d_search=d_search) -> str:
     """CTEs that add ``rects`` (where ``matched`` stands on the page ``L``) to a table."""
     gap = "CASE WHEN u.x0 >= a.x1 THEN u.x0 - a.x1 WHEN u.x1 <= a.x0 THEN a.x0 - u.x1 ELSE 0 END"
     near = f"list_sort(list_transform(list_filter(range(1, len(us) + 1), lambda n: abs((us[n].y0 + us[n].y1) / 2 - (a.y0 + a.y1) / 2) <= 4), lambda n: {{'g': {gap.replace('u.', 'us[n].')}, 'n': n}}))[1].n"
@@ -103,20 +104,26 @@ def _d_role(tokens: str, v: str) -> str:
 SIG_ROLE_FILTER = f"""WITH c AS (SELECT doc_id, lower(CASE doc_id % 4 {' '.join(f"WHEN {i} THEN {c}" for i, c in enumerate(_CASES))} END || ' ' || 'Ivanov ____ Глава Petrov' || doc_id) AS w FROM documents)
 SELECT doc_id, {_d_role("['Ivanov']", "a")} AS first_in_role, {_d_role("['Petrov', 'none']", "b")} AS second_in_role FROM c"""
 
-_cand = " UNION ALL ".join(
-    f"SELECT doc_id, page_num, text, L, {i} AS pattern_idx, {_sql(p)} AS pattern, unnest({d_spans('text', _sql('(?i)' + p), 'c')}) AS s FROM plines WHERE regexp_matches(text, {_sql('(?i)' + p)})"
-    for i, p in enumerate(PARTY.patterns) if se.admissible(p)
-)
+
+
+def d_candidates(patterns) -> str:
+    """All matches of patterns (index, pattern, RE2's spelling)."""
+    return " UNION ALL ".join(f"SELECT doc_id, page_num, text, L, {i} AS pattern_idx, {_sql(p)} AS pattern, unnest({d_spans('text', _sql('(?i)' + re2), 'c')}) AS s FROM plines WHERE regexp_matches(text, {_sql('(?i)' + re2)})" for i, p, re2 in patterns)
+
+
+_cand = d_candidates([(i, p, p) for i, p in enumerate(PARTY.patterns) if se.admissible(p)])
 _inter = "(least(k.x1, y[1].x1) - greatest(k.x0, y[1].x0))"
 _inter_y = "(least(k.y1, y[1].y1) - greatest(k.y0, y[1].y0))"
 _area = "(({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0))"
 _ratio = f"CASE WHEN {_inter} > 0 AND {_inter_y} > 0 THEN {_inter} * {_inter_y} / least({_area.format('k')}, {_area.format('y[1]')}) ELSE 0 END"
-FIND_CTE = PAGE_LINES + f""",
-cand0 AS ({_cand}),
+def find_cte(pages: str = PAGE_LINES, d_search=d_search, candidates: str = _cand, others: tuple[str, ...] = ("petrov", "lessee")) -> str:
+    """Places to sign of the fixtures' party on pages (``plines``: doc_id, page_num, text, layout ``L``), by a layout's search."""
+    return pages + f""",
+cand0 AS ({candidates}),
 cand1 AS (SELECT *, s.start AS start, s.matched AS matched FROM cand0 WHERE regexp_matches(s.matched, '_{{3,}}|\\.{{5,}}')),
 cand2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, start, len(matched) ORDER BY pattern_idx) AS rn FROM cand1),
-cand AS (SELECT * FROM cand2 WHERE rn = 1 AND NOT contains(lower(matched), 'petrov') AND NOT contains(lower(matched), 'lessee'))
-""" + d_rects("cand", "rc") + f""",
+cand AS (SELECT * FROM cand2 WHERE rn = 1{"".join(f" AND NOT contains(lower(matched), '{o}')" for o in others)})
+""" + d_rects("cand", "rc", d_search) + f""",
 boxes AS (SELECT *, rects[i] AS r, list_concat(us, {d_search("L", "'.....'", "v")}) AS ln FROM (SELECT *, unnest(range(1, len(rects) + 1)) AS i FROM rc)),
 hit AS (SELECT * FROM boxes WHERE len(list_filter(ln, lambda u: u.y0 <= r.y1 AND u.y1 >= r.y0 AND u.x0 <= r.x1 AND u.x1 >= r.x0)) > 0),
 raw AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, pattern_idx, start, i) AS seq FROM hit),
@@ -126,6 +133,9 @@ sorted AS (SELECT *, list_transform(list_sort(list_transform(kept, lambda x: {{'
 one AS (SELECT *, list_reduce(list_transform(by_area, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: abs((k.y0 + k.y1) / 2 - (y[1].y0 + y[1].y1) / 2) <= 6 AND least(k.x1, y[1].x1) > greatest(k.x0, y[1].x0))) > 0 THEN acc ELSE list_concat(acc, y) END) AS final FROM sorted)"""
 
 
+FIND_CTE = find_cte()
+
+
 def _matches(spark, sf_dir, column):
     rows = se.raw_matches(_pages(spark, sf_dir), PARTY)
     if column != "raw":
@@ -157,11 +167,15 @@ def find_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONTEXT = d_strip("replace(substr(text, (greatest(0, start - 40) + 1)::BIGINT, (start + len(matched) + 40 - greatest(0, start - 40))::BIGINT), chr(10), ' ')")
-FIND_SIGNATURES = FIND_CTE + f""", f AS (SELECT doc_id, unnest(final) AS c FROM one)
+def find_sql(cte: str = FIND_CTE) -> str:
+    return cte + f""", f AS (SELECT doc_id, unnest(final) AS c FROM one)
 SELECT raw.doc_id, 'sig_' || lpad(raw.seq::VARCHAR, greatest(3, len(raw.seq::VARCHAR))::INTEGER, '0') AS match_id, page_num::INTEGER AS page_num, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1, {_CONTEXT} AS context, pattern
 FROM raw JOIN f ON raw.doc_id = f.doc_id AND raw.seq = f.c.seq"""
 
 
+FIND_SIGNATURES = find_sql()
+
+
 def find_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No regular pattern fits two of three documents; those are searched again with the fallback's patterns."""
     party = se.Party("Lessor", (r"Annex No 1\nLessor: _{5,}",), PARTY.aliases, PARTY.signer, PARTY.other_aliases)
@@ -194,7 +208,10 @@ def apply_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _anchor_rows = ", ".join(f"({i}, {'NULL' if a[0] is None else _sql(a[0])}, {_sql(a[1])}, {_sql(a[2])}, {_sql(a[3])})" for i, a in enumerate(ANCHORS))
 _anchor_spans = " UNION ALL ".join(f"SELECT *, unnest({d_spans('text', _sql('(?i)' + a[0]), 'c')}) AS s FROM onpage WHERE anchor_idx = {i}" for i, a in enumerate(ANCHORS) if a[0])
-APPLY_TEMPLATE = PAGE_LINES + f""",
+
+
+def apply_sql(pages: str = PAGE_LINES, d_search=d_search) -> str:
+    return pages + f""",
 anchors(anchor_idx, pattern, page_hint, context_before, anchor_text) AS (VALUES {_anchor_rows}),
 n AS (SELECT doc_id, count(*) AS n FROM plines GROUP BY doc_id),
 asked AS (
@@ -205,7 +222,7 @@ onpage AS (SELECT a.*, p.text, p.L FROM spread a JOIN plines p ON a.doc_id = p.d
 found AS (SELECT *, s.start AS start, s.matched AS matched FROM ({_anchor_spans})),
 fit AS (
   SELECT * FROM found WHERE context_before = '' OR contains(lower(regexp_replace(substr(text, (greatest(0, start - len(context_before) - 40) + 1)::BIGINT, least(start, len(context_before) + 40)::BIGINT), '{tx.WS}+', ' ', 'g')), lower(context_before))
-)""" + d_rects("fit", "fr") + f""",
+)""" + d_rects("fit", "fr", d_search) + f""",
 hits AS (SELECT doc_id, anchor_idx, o, start, i, page, rects[i] AS r, {_CONTEXT} AS context, pattern FROM (SELECT *, unnest(range(1, len(rects) + 1)) AS i FROM fr)),
 missed AS (
   SELECT doc_id, anchor_idx, 1 AS o, 0 AS start, 1 AS i, hinted[1] AS page, {{'x0': 10::DOUBLE, 'y0': anchor_idx * 10::DOUBLE, 'x1': 110::DOUBLE, 'y1': anchor_idx * 10::DOUBLE + 12}} AS r, anchor_text AS context, '[bbox_fallback] ' || coalesce(pattern, '') AS pattern
@@ -215,6 +232,9 @@ every AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY anchor_idx,
 SELECT doc_id, 'tpl_' || lpad(k::VARCHAR, greatest(3, len(k::VARCHAR))::INTEGER, '0') AS match_id, page::INTEGER AS page_num, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1, context, pattern FROM every"""
 
 
+APPLY_TEMPLATE = apply_sql()
+
+
 def match_to_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.matches_to_anchors(se.find_signatures(_pages(spark, sf_dir), PARTY))
 
@@ -227,12 +247,46 @@ SELECT doc_id, match_id, substr({d_strip("context")}, 1, 120) AS anchor_text, pa
   CASE WHEN ok THEN substr(substr(context, pos + len(hit)), 1, 50) ELSE '' END AS context_after, page_num::VARCHAR AS page_hint, 'auto_regex' AS added_by, x0, y0, x1, y1 FROM p"""
 
 
+#: Patterns that Java reads otherwise than Python, or not at all, each with RE2's spelling for the oracle (None: it cannot run and is skipped).
+FORMS = (
+    (r"Lessor {name} _{3,}", r"Lessor \{name\} _{3,}"), (r"[[]?_{3,}", r"\[?_{3,}"), (r"_{,9}_{3,}", r"_{0,9}_{3,}"), (r"(?P<x>_)(?P=x){3,}", r"_{4,}"), (r"Annex No {1}\d", r"Annex No {1}[0-9]"), (r"No{,1} [0-9]", r"No{0,1} [0-9]"),
+    (r"[]/]Ivanov", r"[\]/]Ivanov"), (r"[a&&b]nnex", r"[a&b]nnex"), (r"[l-m[]essor", r"[l-m\[]essor"), (r"\bPayment\b", r"\bPayment\b"), (r"Lessor\Z", None), (r"(?P<w>s)(?P=w)or", "ssor"), (r"(?s:Payment.Annex)", r"Payment\nAnnex"),
+    (r"(?m)^Lessor:", r"(?m)^Lessor:"), (r"(?m)[0-9]$", r"(?m)[0-9]$"), (r"(?>_+) /", "_+ /"), (r"_++ /P", "_+ /P"), (r"(?#note)Lessee", "Lessee"), ("(?x) Les see  # comment", "Lessee"), (r"\x4cessee:\s_", r"Lessee:\s_"), (r"[\d-]+ LLC", r"[0-9-]+ LLC"),
+    (r"(?-i:lessor)", None), (r"(?i:LESSOR):", "Lessor:"), (r"\u004cessor", "Lessor"), (r"\N{LATIN CAPITAL LETTER L}essee", "Lessee"), (r"Les{2}(?:or|ee): __", r"Les{2}(?:or|ee): __"), (r"(?:_{2}){2}", "(?:_{2}){2}"), (r"\.\sPayment", r"\.\sPayment"),
+    (r"Section \d(?=\.)", r"Section [0-9]"), (r"(?<=Section )\d", None), (r"(a)?(?(1)b|c)", None), (r"(", None), (r"\p{L}", None), (r"(a)(?<=\1)b", None), (r"{Lessor}", r"\{Lessor\}"), (r"Firm[0-9] LLC", r"Firm[0-9] LLC"),
+)
+
+
+def translated_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of each form in each document, and the sum of where they start on their pages; those without an oracle's spelling must only end nothing."""
+    known = [(i, java) for i, (p, re2) in enumerate(FORMS) if (java := pt.compiled(spark, p)) and re2 is not None]
+    rows = _pages(spark, sf_dir).select("doc_id", F.explode(se.pattern_spans(F.col("text"), known)).alias("s"))
+    return rows.groupBy("doc_id", F.col("s.pattern_idx").alias("pattern_idx")).agg(F.count("*").alias("n"), F.sum("s.start").cast("long").alias("starts"), F.sum(F.length("s.matched")).cast("long").alias("sizes"))
+
+
+_forms = " UNION ALL ".join(f"SELECT doc_id, {i} AS pattern_idx, unnest({d_spans('text', _sql('(?i)' + re2), 'c')}) AS s FROM plines" for i, (_, re2) in enumerate(FORMS) if re2 is not None)
+TRANSLATED_PATTERNS = PAGE_LINES + f""", f AS ({_forms})
+SELECT doc_id, pattern_idx, count(*) AS n, CAST(sum(s.start) AS BIGINT) AS starts, CAST(sum(len(s.matched)) AS BIGINT) AS sizes FROM f GROUP BY doc_id, pattern_idx"""
+
+#: A party whose patterns and the model's replies hold such forms beside ordinary ones.
+ODD = se.Party("Lessee", (r"Lessor {name} _{3,}", r"(a)?(?(1)b|c)", r"(?P<l>Less)ee:[ ]_{,9}_{3,}", r"\p{L}_{3,}", r"(?m)^Lessee: (?P<x>_)(?P=x){3,}", r"Lessee: [[]?_{3,}"), ("Lessee",), "Petrov P.P.", ("Ivanov", "Lessor"))
+
+
+def odd_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return se.find_signatures(_pages(spark, sf_dir), ODD)
+
+
+ODD_FORMS = {2: r"Lessee:[ ]_{0,9}_{3,}", 4: r"(?m)^Lessee: _{4,}", 5: r"Lessee: \[?_{3,}"}
+
+ODD_SIGNATURES = find_sql(find_cte(candidates=d_candidates([(i, ODD.patterns[i], re2) for i, re2 in ODD_FORMS.items()]), others=("ivanov", "lessor")))
+
+
 def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = se.count_patterns(_pages(spark, sf_dir), PARTY.patterns)
     return rows.groupBy("doc_id").agg(F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("total"), F.max(F.col("n") > 0).alias("any"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pattern_idx", "n"))), lambda x: x["n"].cast("string")), ",").alias("by_pattern"))
 
 
-_counts = [f"CAST(sum(len(regexp_extract_all(text, {_sql('(?i)' + p)}))) AS BIGINT)" if se.valid_pattern(p) else "-1" for p in PARTY.patterns]
+_counts = [f"CAST(sum(len(regexp_extract_all(text, {_sql('(?i)' + p)}))) AS BIGINT)" if pt.valid(p) else "-1" for p in PARTY.patterns]
 PATTERN_COUNTS = PRELUDE + f""", c AS (SELECT doc_id, [{", ".join(_counts)}] AS c FROM cpages GROUP BY doc_id)
 SELECT doc_id, CAST(list_sum(list_filter(c, lambda x: x > 0)) AS BIGINT) AS total, len(list_filter(c, lambda x: x > 0)) > 0 AS "any", array_to_string(c, ',') AS by_pattern FROM c"""
 
@@ -316,26 +370,30 @@ def _reviewed(found):
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pages(spark, sf_dir)
-    return pl.placements(_reviewed(se.find_signatures(rows, PARTY)), se.with_lines(rows), pl.Options(scale=1.5, aspect=2.5, marker_color="gray"))
+    return pl.placements(_reviewed(se.find_signatures(rows, PARTY)), rows, pl.Options(scale=1.5, aspect=2.5, marker_color="gray"))
 
 
-PLACEMENTS = f"""WITH found AS ({FIND_SIGNATURES}),
-pg AS (SELECT doc_id, page_num, L FROM ({PAGE_LINES} SELECT * FROM plines)),
+def placements_sql(pages: str = PAGE_LINES, d_search=d_search) -> str:
+    return f"""WITH found AS ({find_sql(find_cte(pages, d_search))}),
+pg AS (SELECT doc_id, page_num, L FROM ({pages} SELECT * FROM plines)),
 k AS (SELECT f.*, {d_search("L", "'___'", "z")} AS us FROM found f JOIN pg ON f.doc_id = pg.doc_id AND f.page_num = pg.page_num WHERE f.doc_id % 5 <> 0 AND f.doc_id % 7 <> 0),
 b AS (SELECT *, us[list_sort(list_transform(list_filter(range(1, len(us) + 1), lambda n: us[n].y1 >= y0 - 2 AND us[n].y0 <= y1 + 2 AND us[n].x0 >= x0 - 10 AND us[n].x0 <= x1), lambda n: {{'d': abs((us[n].y0 + us[n].y1) / 2 - (y0 + y1) / 2), 'n': n}}))[1].n] AS u, pattern LIKE '\\_%' ESCAPE '\\' AS on_line FROM k),
 p AS (SELECT *, CASE WHEN on_line THEN x0 + 20 WHEN u IS NOT NULL THEN u.x0 + 20 ELSE x0 + (x1 - x0) * 0.3::DOUBLE END AS px, CASE WHEN NOT on_line AND u IS NOT NULL THEN u.y1 ELSE y1 END AS py FROM b)
 SELECT doc_id, match_id, page_num, px AS sig_x0, py - 63 AS sig_y0, px + 157.5::DOUBLE AS sig_x1, py AS sig_y1, 581::DOUBLE AS mark_x0, (y0 + y1) / 2 - 17 AS mark_y0, 592::DOUBLE AS mark_x1, (y0 + y1) / 2 + 17 AS mark_y1, 'gray' AS mark_color FROM p"""
 
 
+PLACEMENTS = placements_sql()
+
+
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.highlights(_reviewed(se.find_signatures(_pages(spark, sf_dir), PARTY)))
 
 
 HIGHLIGHTS = f"WITH found AS ({FIND_SIGNATURES}) SELECT doc_id, match_id, page_num, x0 * 1.5::DOUBLE AS x0, y0 * 1.5::DOUBLE AS y0, x1 * 1.5::DOUBLE AS x1, y1 * 1.5::DOUBLE AS y1, CASE WHEN doc_id % 7 = 0 THEN 'gray' ELSE 'red' END AS color FROM found"
 
-QUERIES = {f.__name__: f for f in (sig_spans, sig_role_filter, sig_rects, sig_nms, sig_rows, find_signatures, find_smart, apply_template, match_to_anchor, pattern_counts, click_anchor, has_anchor, page_hint_decode, placements, highlights)}
+QUERIES = {f.__name__: f for f in (sig_spans, sig_role_filter, sig_rects, sig_nms, sig_rows, find_signatures, find_smart, apply_template, match_to_anchor, translated_patterns, odd_signatures, pattern_counts, click_anchor, has_anchor, page_hint_decode, placements, highlights)}
 SQL = {
     "sig_spans": SIG_SPANS, "sig_role_filter": SIG_ROLE_FILTER, "sig_rects": _listed_sql("grouped", "m"), "sig_nms": _listed_sql("nms", "kept"), "sig_rows": _listed_sql("one", "final"), "find_signatures": FIND_SIGNATURES,
-    "find_smart": FIND_SMART, "apply_template": APPLY_TEMPLATE, "match_to_anchor": MATCH_TO_ANCHOR, "pattern_counts": PATTERN_COUNTS, "click_anchor": CLICK_ANCHOR, "has_anchor": HAS_ANCHOR, "page_hint_decode": PAGE_HINT_DECODE,
+    "find_smart": FIND_SMART, "apply_template": APPLY_TEMPLATE, "match_to_anchor": MATCH_TO_ANCHOR, "translated_patterns": TRANSLATED_PATTERNS, "odd_signatures": ODD_SIGNATURES, "pattern_counts": PATTERN_COUNTS, "click_anchor": CLICK_ANCHOR, "has_anchor": HAS_ANCHOR, "page_hint_decode": PAGE_HINT_DECODE,
     "placements": PLACEMENTS, "highlights": HIGHLIGHTS,
 }

@@ -46,6 +46,25 @@ def pages(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "language", "is_template", F.posexplode(text).alias("page_num", "text"))
 
 
+def word_pages(docs: DataFrame) -> DataFrame:
+    """``pages`` as a decoder gives them: with ``words`` (text and box, in reading order) of a font whose characters are 3 to 7 points wide by their code."""
+    wide = lambda word: F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0.0), lambda s, c: s + 3.0 + F.ascii(c) % 5)
+    kind = "array<struct<text: string, x0: double, y0: double, x1: double, y1: double>>"
+
+    def on_line(line, row):
+        y0 = 50.0 + 20.0 * row
+        word = lambda x, t, w: F.struct(t.alias("text"), x.alias("x0"), y0.alias("y0"), (x + w).alias("x1"), (y0 + 12.0).alias("y1"))
+
+        def on(state, t):
+            w = F.when(t == "", 0.0).otherwise(wide(t))
+            return F.struct((state["x"] + w + 5.0).alias("x"), F.when(t == "", state["words"]).otherwise(F.concat(state["words"], F.array(word(state["x"], t, w)))).alias("words"))
+
+        return F.aggregate(F.split(line, " "), F.struct(F.lit(50.0).alias("x"), F.array().cast(kind).alias("words")), on, lambda state: state["words"])
+
+    parts = F.split("text", "\n")
+    return pages(docs).withColumn("words", F.flatten(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), on_line)))
+
+
 def box(line_in_page, col, size):
     """Layout rule: rectangle of ``size`` characters from column ``col``."""
     y0 = 50.0 + 20.0 * line_in_page

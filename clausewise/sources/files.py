@@ -7,15 +7,25 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from posixpath import normpath
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prompts import decoder_of
 
-PAGES = "path string, page_num int, text string, error string"
+WORDS = "array<struct<text: string, x0: double, y0: double, x1: double, y1: double>>"
+PAGES = f"path string, page_num int, text string, error string, words {WORDS}, language string"
+
+
+class Page(NamedTuple):
+    """A decoded page: its text, its words (text, x0, y0, x1, y1) in reading order and, where known, the document's language."""
+
+    text: str
+    words: Sequence[tuple[str, float, float, float, float]] | None = None
+    language: str | None = None
 
 
 def documents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -24,22 +34,24 @@ def documents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return found.select("path", "content", decoder_of(F.col("path")).alias("decoder"))
 
 
-def decoded(files: DataFrame, decoders: dict[str, Callable[[bytes], Iterable[str]]]) -> DataFrame:
-    """One row per page; a file that fails, or has no decoder, is one row with its error."""
+def decoded(files: DataFrame, decoders: dict[str, Callable[[bytes], Iterable[str | Page]]]) -> DataFrame:
+    """One row per page; a file that fails, or has no decoder, is one row with its error. Decoders yield texts or ``Page``s."""
 
     def job(frames):
         import pandas as pd
 
+        box = ("text", "x0", "y0", "x1", "y1")
         for frame in frames:
             rows = []
             for path, content, kind in zip(frame["path"], frame["content"], frame["decoder"], strict=True):
                 try:
                     if kind not in decoders:
                         raise ValueError(f"unsupported file: {path}")
-                    rows += [(path, i, text, None) for i, text in enumerate(decoders[kind](bytes(content)))]
+                    found = [p if isinstance(p, Page) else Page(p) for p in decoders[kind](bytes(content))]
+                    rows += [(path, i, p.text, None, None if p.words is None else [dict(zip(box, w, strict=True)) for w in p.words], p.language) for i, p in enumerate(found)]
                 except Exception as e:  # the file's own row says what was wrong
-                    rows.append((path, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "page_num", "text", "error"]).astype({"page_num": "Int32"})
+                    rows.append((path, None, None, str(e), None, None))
+            yield pd.DataFrame(rows, columns=["path", "page_num", "text", "error", "words", "language"]).astype({"page_num": "Int32"})
 
     return files.select("path", "content", "decoder").mapInPandas(job, PAGES)
 

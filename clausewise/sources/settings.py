@@ -13,10 +13,11 @@ from datetime import datetime, timezone
 from ..operators.matcher import Decision
 from .files import Catalog
 
+#: Names of the objects.
 MARKERS, PROFILE, PROMPTS, PROVIDERS = "markers.json", "signer_profile.json", "prompts.json", "llm_config.json"
-#: The variable that names a model provider where the object does not.
+#: Fixed value: the variable that names a model provider where the object does not.
 PROVIDER_VARIABLE = "LLM_PROVIDER"
-#: Where thresholds are looked for, in order; they are saved in the last place.
+#: Where thresholds are looked for, in order; they are saved in the last place.
 THRESHOLDS = ("settings/traffic_light.json", "traffic_light_config.json")
 #: A profile without aliases.
 NO_PROFILE = {"version": "1.0", "company_aliases": [], "signer_aliases": [], "updated_at": ""}
@@ -83,45 +84,39 @@ def save_thresholds(catalog: Catalog, value: Decision) -> None:
 
 
 class Providers:
-    """Model providers: keys stored in a catalog, else in the environment. ``known`` maps a provider to its key's variable."""
+    """Model providers. Keys come from the environment only (``known`` maps a provider to its key's variable) and are never written; a catalog may hold which provider is preferred.
+
+    All answers are read from one list, the best place first: the catalog's provider, the environment's, then all others with a key.
+    """
 
     def __init__(self, catalog: Catalog | None, known: Mapping[str, str], env: Mapping[str, str] | None = None):
         self.catalog, self.known, self.env = catalog, dict(known), os.environ if env is None else env
 
-    def config(self) -> dict:
-        """The stored object; every known provider has an entry."""
-        stored = _stored(self.catalog, PROVIDERS)
-        if not isinstance(stored, dict):
-            stored = {"active_provider": ""}
-        return stored | {"providers": {name: {"api_key": ""} for name in self.known} | stored.get("providers", {})}
-
-    def save(self, config: dict) -> None:
-        self.catalog.write_json(PROVIDERS, config)
+    def prefer(self, provider: str) -> None:
+        """Stores the name of the provider to use, and nothing else."""
+        self.catalog.write_json(PROVIDERS, {"active_provider": provider.strip().lower()})
 
-    def _stored_key(self, provider: str) -> str:
-        return (self.config()["providers"].get(provider, {}).get("api_key") or "").strip()
-
-    def _env_key(self, provider: str) -> str:
-        return self.env.get(self.known.get(provider, ""), "").strip()
+    def ranked(self) -> list[tuple[str, str, str]]:
+        """(place, provider, key) of the providers with a key."""
+        stored = _stored(self.catalog, PROVIDERS)
+        named = [("catalog", stored.get("active_provider") if isinstance(stored, dict) else ""), ("environment", self.env.get(PROVIDER_VARIABLE, "")), *(("key", p) for p in self.known)]
+        rows = [(place, p := str(name or "").strip().lower(), self.env.get(self.known.get(p, ""), "").strip()) for place, name in named]
+        return [r for r in rows if r[2]]
 
     def key(self, provider: str) -> str:
-        """The stored key, else that of the environment, else RuntimeError."""
-        found = self._stored_key(provider) or self._env_key(provider)
-        if not found:
-            raise RuntimeError(f"no key for the provider {provider}")
-        return found
+        """A provider's key, else RuntimeError."""
+        for _, name, key in self.ranked():
+            if name == provider:
+                return key
+        raise RuntimeError(f"no key for the provider {provider}")
 
     def active(self) -> str:
-        """The stored provider if it has a stored key, else that of the environment if it has one there, else RuntimeError."""
-        name = (self.config().get("active_provider") or "").strip().lower()
-        if name and self._stored_key(name):
-            return name
-        name = self.env.get(PROVIDER_VARIABLE, "").strip().lower()
-        if name and self._env_key(name):
-            return name
+        """The first provider that was chosen and has a key, else RuntimeError."""
+        for place, name, _ in self.ranked():
+            if place != "key":
+                return name
         raise RuntimeError("no provider with a key")
 
     def configured(self) -> list[str]:
-        """Providers with a stored key, then those with one in the environment only."""
-        stored = [p for p in self.known if self._stored_key(p)]
-        return stored + [p for p in self.known if p not in stored and self._env_key(p)]
+        """All providers with a key, the best first."""
+        return list(dict.fromkeys(name for _, name, _ in self.ranked()))

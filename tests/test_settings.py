@@ -62,21 +62,25 @@ def test_settings(store):
 
 
 def test_providers(store):
-    known, env = {"one": "ONE_KEY", "two": "TWO_KEY"}, {"ONE_KEY": " e1 ", "LLM_PROVIDER": "One"}
+    known, env = {"one": "ONE_KEY", "two": "TWO_KEY", "three": "THREE_KEY"}, {"ONE_KEY": " e1 ", "TWO_KEY": "e2", "LLM_PROVIDER": "One"}
     own = settings.Providers(store, known, env)
-    assert own.config() == {"active_provider": "", "providers": {"one": {"api_key": ""}, "two": {"api_key": ""}}}
-    assert own.active() == "one" and own.key("one") == "e1" and own.configured() == ["one"]
-    own.save({"active_provider": " TWO ", "providers": {"two": {"api_key": "s2"}}})
-    assert own.active() == "two" and own.key("two") == "s2" and own.configured() == ["two", "one"]
-    own.save({"active_provider": "two"})
-    assert own.active() == "one"
+    assert own.active() == "one" and own.key("one") == "e1" and own.configured() == ["one", "two"]
+    own.prefer(" TWO ")
+    assert own.active() == "two" and own.key("two") == "e2" and own.configured() == ["two", "one"]
+    own.prefer("three")
+    assert own.active() == "one" and own.configured() == ["one", "two"]
     empty = settings.Providers(None, known, {"LLM_PROVIDER": "one"})
     assert empty.configured() == []
-    for work in (empty.active, lambda: empty.key("one")):
+    for work in (empty.active, lambda: empty.key("one"), lambda: settings.Providers(store, known, {"ONE_KEY": "e1"}).active()):
         with pytest.raises(RuntimeError):
             work()
     store.write_text(settings.PROVIDERS, "{")
-    assert own.configured() == ["one"]
+    assert own.configured() == ["one", "two"]
+
+
+def test_keys_are_never_written(store):
+    settings.Providers(store, {"one": "ONE_KEY"}, {"ONE_KEY": "secret"}).prefer("one")
+    assert store.read_json(settings.PROVIDERS) == {"active_provider": "one"}
 
 
 def test_ink(spark):
