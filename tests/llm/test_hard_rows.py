@@ -181,3 +181,22 @@ def test_mixing_of_one_hot_id(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PER_BUCKET", 1)
     out = mixing.training_order(s, mixing.by_rule(s)).collect()
     assert len(out) == sum(len(k[3]) * n for k, n in plain.items()) and all(x.doc.text.split() == ["x"] * len(x.doc.text.split()) and x.doc.doc_id == x.id for x in out)
+
+
+def test_blank_runs_of_any_length_take_linear_time():
+    """A megabyte of runs takes about as long whatever the runs' length, and runs are counted as the library counts them."""
+    import time
+
+    from clausewise.llm import token_counts as tc
+
+    with open(tc.RANKS, "rb") as f:
+        enc = tc.encoder(f.read(), tc.PATTERN)
+    for n in (1, 62, 63, 64, 65, 66, 127, 500):
+        for form in (" ", "\n", "\t \u00a0", "\u3000", "\r\n"):
+            for text in (form * n, "a" + form * n, form * n + "b", f"a{form * n}b{form * n}1{form * n}!", f"x {form * n}\n'{form * n}"):
+                assert tc.length(enc, text) == len(enc.encode_ordinary(text)), (n, form)
+    for n in (64, 1000, 9_999, 100_000, 1_000_000):
+        text = (" " * n + "word ") * (1_000_000 // n)
+        began = time.perf_counter()
+        tc.length(enc, text)
+        assert time.perf_counter() - began < 3, n

@@ -69,3 +69,21 @@ def test_stages_take_hard_tables(spark, tmp_path):
         ids = {x.doc_id for x in out}
         # Texts without words are not taken; the null source is taken as often as allowed, the other one not quite whole.
         assert all(x.round_trip for x in out) and ids <= {4, 5, None, *clean} and (not rows and not ids or None in ids and len(ids) >= 15)
+
+
+def test_user_columns_pass_all_stages(spark, tmp_path):
+    """Columns named like an operator's own keep their values through every stage; the last one's columns take free names."""
+    names = ("score", "predicted", "passages", "n_words", "n_removed", "spans", "kept_text", "decoded", "ids", "n_tokens", "round_trip", "row", "doc", "size", "position", "id", "class_id", "n_links", "_user0", "a.b")
+    rows = [(i, f"these are the clean words of number {i} and no others {i * 7}", "en", f"s{i % 3}", *(f"{n} of {i}" for n in names)) for i in range(40)]
+    rows += [(50, None, "en", "s0", *(f"{n} of 50" for n in names)), (51, " ".join(f"p{j}" for j in range(60)), "en", "s1", *(f"{n} of 51" for n in names)), (52, " ".join(f"p{j}" for j in range(10, 50)) + " end", "en", "s1", *(f"{n} of 52" for n in names))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    spark.createDataFrame([(i, 1, int(i == 3)) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for i, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        last = i == len(cp.STAGES) - 1
+        assert out.columns == docs.columns + (["ids_", "n_tokens_", "round_trip_"] if last else [])
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        found = docs.collect()
+        assert len(found) > 20 and all(r[n] == f"{n} of {r['doc_id']}" for r in found for n in names)
+    assert all(r["round_trip_"] and len(r["ids_"]) == r["n_tokens_"] for r in found)
