@@ -39,9 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     both, one stays (that with the least hash of all its columns). Texts without words (null and empty too) have no links and all stay. Very long texts are
     compared whole; an empty table gives an empty one. All columns come back as they were, whatever their names (the join sees none but a key and the text).
     """
-    key = "_key"
-    while key in docs.columns:
-        key += "_"
+    key, columns = "_key", docs.columns
+    docs, names = aside(docs, "doc_id", "text")
     words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     small = lambda df: F.broadcast(df) if df.count() <= SENT else df
@@ -53,9 +52,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = cut(keyed.where(words).groupBy(key).count().where("count > 1").select(key), "repeated")
     kept = keyed.join(small(rest), key, "left_anti")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    least = kept.join(small(repeated), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("d")).select("d.*")
-    return kept.join(small(repeated), key, "left_anti").select(*docs.columns).unionByName(least)
+        return kept.select(*names).toDF(*columns)
+    least = kept.join(small(repeated), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("d")).select("d.*")
+    return kept.join(small(repeated), key, "left_anti").select(*names).unionByName(least).toDF(*columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +77,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     may come first. The document in which a target ends is kept whole, very long ones too; an empty table gives an empty one. Columns travel inside one struct, so none is
     mistaken for the operator's, whatever their names (size, id, position).
     """
-    rows = mixing.sizes(docs, keep=True)
-    return mixing.training_order(rows, mixing.by_rule(mixing.sizes(docs), (1.0, 2.0, 3.0)), 3).select("doc.*")
+    own, _ = aside(docs, "doc_id", "text", "source")
+    rows = mixing.sizes(own, keep=True)
+    return mixing.training_order(rows, mixing.by_rule(mixing.sizes(own), (1.0, 2.0, 3.0)), 3).select("doc.*").toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
