@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = {good: [bytes(r["block"]) for r in parts.where(F.col("good") == good).orderBy("nth", "mark", "block").limit(most).select("block").toLocalIterator()] for good in (1, 0)}
     model = Model(dictionary(chosen[1]), dictionary(chosen[0]), float(share))
     sent = spark.sparkContext.broadcast(model)
-    seen = train.where("not learn").select("text", "good").mapInArrow(_sizes(sent, ["good"]), "good int, a long, b long, n long").orderBy("good", "a", "b", "n").toArrow()
+    seen = train.where("not learn").select("text", "good").mapInArrow(_sizes(sent, ["good"]), "good int, a long, b long, n long").toArrow().sort_by([(c, "ascending") for c in ("good", "a", "b", "n")])
     good, a, b, n = (seen.column(c).to_numpy().astype(float) for c in ("good", "a", "b", "n"))
     x = features(a, b, n)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
