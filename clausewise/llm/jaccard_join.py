@@ -12,7 +12,8 @@ the stated recall, the loss by the sketch ``cutoff`` included.
 
 Brute force on sketches only says which classes may be linked; it emits a spanning forest, not
 pairs. Its components are disjoint, so each class's text travels once to its component, where the
-exact Jaccard similarity of every pair decides. In components over ``BLOCK`` each class is first compared with the
+exact Jaccard similarity of every pair decides. Components are sized in classes and in bytes of their sets (``BYTES`` make a full ``BLOCK``, so a cell holds two blocks of them at most, or a single longer set). In
+components over ``BLOCK`` each class is first compared with the
 least class of its component. Jaccard distances obey the triangle inequality, so two classes are linked for sure if their
 distances to that pivot add up to no more than the allowed one, and unlinked if they differ by more: sure links are counted from a histogram
 of distances, and only classes that leave some pair open are dealt in pairs of blocks. A template filled in a million ways
@@ -43,6 +44,8 @@ COORDS = 64
 SMALL = 4096
 DEPTH = 3
 BLOCK = 1000
+#: Bytes of shingle hashes that stand for a full block: classes of long texts count as several.
+BYTES = 16 << 20
 #: Classes whose ids are sent to all executors rather than shuffling texts (16 bytes each).
 SENT = 250_000
 U = tx.U
@@ -95,7 +98,7 @@ def _signatures(k):
                     sig[:, c] = np.minimum.reduceat(((values * MULT[c] + PLUS[c]) >> U(32)).astype(np.uint32), at)
                 one = tx.mix(np.add.reduceat(tx.mix(values), at) + n.astype(U))
                 two = tx.mix(np.bitwise_xor.reduceat(tx.mix(values ^ U(0x5851F42D4C957F2D)), at))
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[lo:hi][some]), "mark": pa.array(marks[lo:hi][some]), "one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64)), "sig": _binary(sig)})
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[lo:hi][some]), "mark": pa.array(marks[lo:hi][some]), "one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64)), "sig": _binary(sig), "n": pa.array(n.astype(np.int64))})
 
     return job
 
@@ -283,7 +286,7 @@ def _pivot_distances(k):
     def job(batches):
         for group in runs_of(batches, "cell"):
             rep, copies, pivot = (group.column(c).to_numpy() for c in ("rep", "copies", "label"))
-            data, offsets = tx.column_bytes(group.column("text"))
+            data, offsets = tx.column_bytes(group.column("text").cast(pa.large_string()))
             values, begin = tx.sorted_sets(*tx.row_shingles(data, offsets, k))
             first = int(np.flatnonzero(group.column("visit").to_numpy(zero_copy_only=False))[0])
             of_pivot = values[begin[first] : begin[first + 1]]
@@ -330,7 +333,7 @@ def _verify(k, threshold):
             rep, copies, block, steps = (group.column(c).to_numpy() for c in ("rep", "copies", "block", "steps"))
             if len(rep) < 2:
                 continue
-            data, offsets = tx.column_bytes(group.column("text"))
+            data, offsets = tx.column_bytes(group.column("text").cast(pa.large_string()))
             values, begin = tx.sorted_sets(*tx.row_shingles(data, offsets, k))
             size = np.diff(begin)
             both = _shared(values, begin)
@@ -378,15 +381,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    keys = cut(base.where("id is not null and text is not null").mapInArrow(_signatures(k), "id long, mark long, one long, two long, sig binary"), "keys")
+    keys = cut(base.where("id is not null and text is not null").mapInArrow(_signatures(k), "id long, mark long, one long, two long, sig binary, n long"), "keys")
     # A class is known by a hash of its set; the row of its least id gives its text.
     least = F.min(F.struct("id", "mark")).alias("f")
-    classes = cut(keys.groupBy("one", "two").agg(least, F.countDistinct("id").alias("copies"), F.first("sig").alias("sig")).select("one", "two", "f.*", "copies", "sig", F.col("one").alias("rep")), "classes")
+    classes = cut(keys.groupBy("one", "two").agg(least, F.countDistinct("id").alias("copies"), F.first("sig").alias("sig"), F.ceil(F.greatest(F.lit(1.0), F.max("n") * (8 * BLOCK / BYTES))).alias("load")).select("one", "two", "f.*", "copies", "sig", "load", F.col("one").alias("rep")), "classes")
     edges = _candidate_edges(classes.select("rep", "sig"), threshold, recall, most_bits)
     groups = components(edges)
-    size = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = groups.withColumnRenamed("v", "rep").join(size, "label").join(classes.select("rep", "copies", "id", "mark"), "rep")
-    members = cut(members.select("rep", "label", "size", "copies", "id", "mark"), "members")
+    members = groups.withColumnRenamed("v", "rep").join(classes.select("rep", "copies", "id", "mark", "load"), "rep")
+    members = members.join(members.groupBy("label").agg(F.sum("load").alias("size")), "label")
+    members = cut(members.select("rep", "label", "size", "copies", "id", "mark", "load"), "members")
     repeated = not keys.groupBy("id", "mark").count().where("count > 1").isEmpty()
 
     def texts(some):
@@ -434,7 +437,8 @@ def _large(texts, members: DataFrame, verified, k: int, threshold: float) -> Dat
     self = F.when(F.col("steps") * 2 <= allowed, F.col("copies")).otherwise(0)
     near = known.select("rep", (F.col("sure") - self).alias("links"), F.when(F.col("steps") <= allowed, F.col("label")).otherwise(F.col("rep")).alias("peer"))
     left = known.where("open")
-    left = left.join(left.groupBy("label").agg(F.count("*").alias("size")), "label").join(members.select("rep", "id", "mark"), "rep")
+    left = left.join(members.select("rep", "id", "mark", "load"), "rep")
+    left = left.join(left.groupBy("label").agg(F.sum("load").alias("size")), "label")
     left = cut(left.select("rep", "label", "size", "copies", "steps", "id", "mark"), "open")
     if left.isEmpty():
         return near

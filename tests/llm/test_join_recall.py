@@ -108,3 +108,15 @@ def test_recall_on_a_given_table(spark):
     got = {r.doc_id: r.n_links for r in jj.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     found = sum(got.values()) / sum(want.values())
     assert 0.99 <= found <= 1 and all(got[i] <= want[i] for i in got)
+
+
+def test_long_near_copies_are_dealt_by_bytes(spark, monkeypatch):
+    """A component of few but long sets is dealt in blocks of so many bytes; the counts stay those of all pairs."""
+    monkeypatch.setattr(jj, "BYTES", 100_000)
+    rows = list(near_copies(1200))
+    held = []
+    verify, distances = jj._verify, jj._pivot_distances
+    for name, own in (("_verify", verify), ("_pivot_distances", distances)):
+        monkeypatch.setattr(jj, name, lambda *a, own=own: held.append(own.__name__) or own(*a))
+    out = jj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert "_pivot_distances" in held and {r["doc_id"]: (r["class_id"], r["n_links"]) for r in out} == brute(rows)
