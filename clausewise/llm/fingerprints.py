@@ -84,6 +84,14 @@ def sketches(texts, k: int = K, shingle: int = SHINGLE):
     return np.concatenate([np.zeros(0, U), *values]), np.cumsum(n)
 
 
+def rows_of(sketch, rows):
+    """Some rows of (values, begin)."""
+    values, begin = sketch
+    n = np.diff(begin)[rows]
+    ends = np.cumsum(n)
+    return values[np.repeat(begin[:-1][rows] - ends + n, n) + np.arange(n.sum())], np.concatenate(([0], ends))
+
+
 def alike(a, b, k: int = K):
     """``resemblance`` of many pairs; a and b are (values, begin) as ``sketches`` returns them."""
     rows = len(a[1]) - 1
@@ -188,7 +196,12 @@ def _edits(k, shingle):
     def work(ids, copies, texts, after):
         half = [len(t) // 2 for t in texts]
         edited = [t[: len(t) - h] + n[:h] for t, n, h in zip(texts, after, half, strict=True)]
-        own, new, nxt = (sketches(pa.array(x, pa.large_string()), k, shingle) for x in (texts, edited, after))
+        # What follows a row is mostly the next row: only the rest is sketched beside them.
+        rest = [i for i, n in enumerate(after) if n is not (texts[i + 1] if i + 1 < len(texts) else None) and n is not texts[i]]
+        place = np.arange(len(texts)) + np.fromiter((n is not t for n, t in zip(after, texts, strict=True)), np.int64, len(texts))
+        place[rest] = len(texts) + np.arange(len(rest))
+        every = sketches(pa.array([*texts, *(after[i] for i in rest)], pa.large_string()), k, shingle)
+        own, nxt, new = rows_of(every, np.arange(len(texts))), rows_of(every, place), sketches(pa.array(edited, pa.large_string()), k, shingle)
         return pa.RecordBatch.from_pydict({
             "id": pa.array(ids, pa.int64()),
             "n_chars": pa.array([len(t) for t in texts], pa.int64()),
