@@ -94,8 +94,8 @@ def candidates(rows: DataFrame, spans: Column, tokens: Column, others: Column) -
     return rows.withColumn("found", F.filter("_first", lambda s: ~F.exists(others, lambda a: F.contains(F.lower(s["matched"]), a)))).drop("_all", "_kept", "_first")
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """Adds ``raw``: the candidates of ``found`` with their rectangles on a line to sign on, numbered through the document."""
+def placed(rows: DataFrame, *by: str) -> DataFrame:
+    """Adds ``raw``: the candidates of ``found`` with their rectangles on a line to sign on, numbered through the document (and each value of ``by``)."""
     find = finder(rows)
     rows = rows.withColumn("lines", geo.line_rects(find))
 
@@ -104,7 +104,7 @@ def placed(rows: DataFrame) -> DataFrame:
         return F.transform(good, lambda r: F.struct(s.alias("s"), r.alias("r")))
 
     rows = rows.withColumn("raw", F.flatten(F.transform("found", boxes)))
-    before = Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("doc_id", *by).orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum(F.size("raw")).over(before), F.lit(0)))
     numbered = F.transform("raw", lambda m, i: F.struct((F.col("before") + i + 1).cast("int").alias("seq"), m["s"].alias("s"), m["r"].alias("r")))
     return rows.withColumn("raw", numbered).drop("lines", "before", "found")
