@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import similarity as sim
 from .operators import auto, clicks, fingerprint, matcher, placement, registry, search
+from .sources import scratch
 
 #: What an analysis says of every document.
 RESULT = ("doc_id", "traffic_light", "template_id", "score", "explanation", "path", "our_side", "n_matches", "error")
@@ -32,18 +33,18 @@ class Analysis:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Rows that are computed once: written to the checkpoint folder where the session names one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    """Rows that are computed once, model calls included."""
+    return scratch.written(df, "settled")
 
 
 def decide(docs: DataFrame, pages: DataFrame, lines: DataFrame, templates: DataFrame, decision: matcher.Decision = matcher.Decision(), synonyms_match: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(one decision row per document, fingerprints).
 
     docs: doc_id, language, is_template; templates: template_id, t_name, t_created_at and the t_ columns of the fingerprint.
-    ``synonyms_match`` compares our party with a template's; without it all fit.
+    ``synonyms_match`` compares our party with a template's (an expression over the templates' columns); without it all fit.
     """
-    found = fingerprint.fingerprints(docs, pages, lines).withColumn("unit_pages", sim.unit(F.col("chars_per_page")))
-    pairs = matcher.candidates(found, templates).withColumn("synonyms_match", F.lit(True) if synonyms_match is None else synonyms_match)
+    found = settled(fingerprint.fingerprints(docs, pages, lines).withColumn("unit_pages", sim.unit(F.col("chars_per_page"))))
+    pairs = matcher.shortlisted(found, templates.withColumn("synonyms_match", F.lit(True) if synonyms_match is None else synonyms_match), decision)
     return matcher.summary(matcher.decisions(found, matcher.ranked(matcher.scored(pairs), decision), decision)), found
 
 

@@ -29,8 +29,8 @@ HEADER_CHARS = 300
 HEADER_PAGES = 3
 TITLE_CHARS = 200
 GRAM = 4
-#: Grams hashed and counted at once, and distinct ones kept: bounds of a worker's memory, not of the text.
-GRAMS_AT_ONCE, GRAMS_KEPT = 1 << 16, 1 << 20
+#: Grams hashed and counted at once: a bound of a worker's memory, not of the text.
+GRAMS_AT_ONCE = 1 << 16
 
 
 def sizes(pages: DataFrame) -> DataFrame:
@@ -61,29 +61,53 @@ def header_page(pages: DataFrame) -> DataFrame:
     return first.groupBy("doc_id").agg(F.coalesce(F.min_by("page_num", _header_rank(F.col("language"))), F.lit(0)).alias("header_page"))
 
 
+def _grams(codes, starts, sizes):
+    """The grams at some places of a run of code points, as rows of ``GRAM`` (zeros beyond a gram's size)."""
+    at = np.arange(GRAM)
+    wide = codes[np.minimum(starts[:, None] + at, len(codes) - 1)]
+    return np.where(at < sizes[:, None], wide, 0)
+
+
+def _bits(grams, text: str, starts, sizes):
+    """The 64 bits of each gram, each distinct one hashed once; and which row each gram has. Gram i is ``text`` from starts[i] on."""
+    letters, dense = np.unique(grams, return_inverse=True)
+    dense = dense.reshape(grams.shape)
+    if len(letters) <= 1 << 16:  # four letters of so few make one number
+        key = (dense.astype(np.uint64) << (np.uint64(16) * np.arange(GRAM, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+        _, pick, row = np.unique(key, return_index=True, return_inverse=True)
+    else:
+        _, pick, row = np.unique(dense, axis=0, return_index=True, return_inverse=True)
+    found = [text[i : i + n] for i, n in zip(starts[pick].tolist(), sizes[pick].tolist(), strict=True)]
+    hashed = np.frombuffer(b"".join([hashlib.md5(t.encode()).digest()[8:] for t in found]), np.uint8).reshape(-1, 8)
+    return np.unpackbits(hashed, axis=1), row.reshape(-1)
+
+
 @F.pandas_udf(T.LongType())
 def _simhash(texts: pd.Series) -> pd.Series:
-    hashes: dict[str, bytes] = {}  # each distinct gram of a batch is hashed once
-
-    def one(text):
-        if text is None:
-            return None
-        n = max(1, len(text) - GRAM + 1)
-        counts = np.zeros(64, np.int64)
-        for start in range(0, n, GRAMS_AT_ONCE):
-            found = []
-            for i in range(start, min(n, start + GRAMS_AT_ONCE)):
-                gram = text[i : i + GRAM]
-                h = hashes.get(gram)
-                if h is None:
-                    if len(hashes) >= GRAMS_KEPT:
-                        hashes.clear()
-                    h = hashes[gram] = hashlib.md5(gram.encode()).digest()[8:]
-                found.append(h)
-            counts += np.unpackbits(np.frombuffer(b"".join(found), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        return int(np.packbits(2 * counts > n).view(">i8")[0])
-
-    return pd.Series([one(t) for t in texts], dtype="Int64")
+    out, given = [None] * len(texts), [(i, t) for i, t in enumerate(texts) if t is not None]
+    while given:
+        # Texts whose grams are looked at together; a longer one stands alone and is read in parts.
+        size, some = 0, []
+        while given and (not some or size + len(given[0][1]) <= GRAMS_AT_ONCE):
+            some.append(given.pop(0))
+            size += len(some[-1][1])
+        joined = "".join(t for _, t in some)
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        length = np.array([len(t) for _, t in some])
+        n = np.maximum(1, length - GRAM + 1)
+        begin, first = np.cumsum(length) - length, np.concatenate(([0], np.cumsum(n)))
+        counts = np.zeros((len(some), 64), np.int64)
+        for lo in range(0, first[-1], GRAMS_AT_ONCE):
+            at = np.arange(lo, min(lo + GRAMS_AT_ONCE, first[-1]))
+            text = np.searchsorted(first, at, side="right") - 1
+            starts = begin[text] + at - first[text]
+            sizes = np.minimum(length[text], GRAM)
+            bits, row = _bits(_grams(codes, starts, sizes) if len(codes) else np.zeros((len(at), GRAM), np.uint32), joined, starts, sizes)
+            new = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            counts[text[new]] += np.add.reduceat(bits[row], new, axis=0, dtype=np.int64)
+        for (i, _), h in zip(some, np.packbits(2 * counts > n[:, None], axis=1).view(">i8").reshape(-1).tolist(), strict=True):
+            out[i] = h
+    return pd.Series(out, dtype="Int64")
 
 
 def simhash(text: Column) -> Column:

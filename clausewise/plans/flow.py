@@ -63,7 +63,7 @@ def _analysis(spark: SparkSession, sf_dir: str) -> engine.Analysis:
     """All contracts (those that became templates find themselves) against the registry whose templates all have the fixtures' anchors."""
     docs, replies = contracts(spark, sf_dir), _replies(spark, sf_dir)
     templates = matching.registry(matching.prints(spark, sf_dir))
-    ours = matching.synonyms_match(matching._our_tokens(), matching.synonym_tokens(F.col("t_entity"), F.col("t_roles"), F.col("t_signer")))
+    ours = matching.same_side()
     fixed = searching.anchor_table(templates.select("template_id"))
     return engine.analyze(docs, pages(docs), lines(docs), templates, fixed, lambda ids: replies.join(ids, "doc_id", "left_semi"), synonyms_match=ours)
 
