@@ -14,6 +14,7 @@ from .sources import scratch
 
 #: What an analysis says of every document.
 RESULT = ("doc_id", "traffic_light", "template_id", "score", "explanation", "path", "our_side", "n_matches", "error")
+NO_PAGES = "the document has no pages"
 BOXES = ("doc_id", "match_id", "page_num", "x0", "y0", "x1", "y1", "context", "pattern")
 
 
@@ -56,9 +57,9 @@ def apply_templates(pages: DataFrame, chosen: DataFrame, anchors: DataFrame) ->
 
 def analyze(
     docs: DataFrame, pages: DataFrame, lines: DataFrame, templates: DataFrame, anchors: DataFrame, ask: Callable[[DataFrame], DataFrame],
-    decision: matcher.Decision = matcher.Decision(), synonyms_match: Column | None = None,
+    decision: matcher.Decision = matcher.Decision(), synonyms_match: Column | None = None, failed: DataFrame | None = None,
 ) -> Analysis:
-    """Decision, places to sign and errors of every document.
+    """Decision, places to sign and errors of every document. One without pages has the light no_match and an error: that of ``failed`` (doc_id, error), where its file could not be decoded.
 
     Green documents get the anchors of their template. The others, and green ones on which no anchor was found, go the way of the model:
     ``ask`` takes their ids (doc_id) and returns replies (doc_id, step, raw). A document without replies has the first step's error.
@@ -79,6 +80,10 @@ def analyze(
         "doc_id", "traffic_light", "template_id", "score", "explanation", path.alias("path"), F.when(F.col("error").isNull(), F.col("side")).alias("our_side"),
         F.coalesce("n_template", "n_matches", F.lit(0)).cast("long").alias("n_matches"), "error",
     )
+    said = (docs.select("doc_id").withColumn("_said", F.lit(None).cast("string")) if failed is None else docs.select("doc_id").unionByName(failed.select("doc_id")).distinct().join(failed.select("doc_id", F.col("error").alias("_said")), "doc_id", "left"))
+    lost = said.join(decided.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.coalesce(F.max("_said"), F.lit(NO_PAGES)).alias("_error"))
+    missing = {"doc_id": F.col("doc_id"), "traffic_light": F.lit("no_match"), "n_matches": F.lit(0).cast("long"), "error": F.col("_error")}
+    results = results.unionByName(lost.select(*[(missing.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in results.schema]))
     events = results.where("path = 'template'").select("template_id", F.lit("applied").alias("event"), F.current_timestamp().cast("string").alias("ts"))
     return Analysis(results, by_template.unionByName(by_model), prints, events)
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from posixpath import normpath
 from typing import NamedTuple
@@ -29,7 +30,7 @@ class Page(NamedTuple):
 
 
 def documents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, content, decoder) of the files below ``root``; unsupported endings are marked, not dropped."""
+    """(path, content, decoder) of the files below ``root``; unsupported endings are marked, not dropped. Spark lists no files of 0 bytes."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return found.select("path", "content", decoder_of(F.col("path")).alias("decoder"))
 
@@ -118,20 +119,33 @@ class Catalog:
     def write_json(self, name: str, value) -> None:
         self.write_text(name, json.dumps(value, ensure_ascii=False, indent=2))
 
-    def read_table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self.path(name)) if self.exists(name) else None
-
-    def write_table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> None:
-        """Replace a table: it is written beside the old one, which is moved aside before and deleted after the new one took its place."""
-        fresh, old = self.path(name + ".new"), self.path(name + ".old")
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(fresh)
-        fs, new = self._fs(fresh)
-        here, aside = self._fs(self.path(name))[1], self._fs(old)[1]
-        fs.delete(aside, True)
-        if fs.exists(here):
-            fs.rename(here, aside)
-        fs.rename(new, here)
-        fs.delete(aside, True)
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of a table's whole versions, in order; one that was not written to its end is not among them."""
+        fs, here = self._fs(self.path(name))
+        if not fs.exists(here):
+            return []
+        found = [s.getPath() for s in fs.listStatus(here) if re.fullmatch("v=[0-9]+", s.getPath().getName())]
+        done = lambda p: fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(int(p.getName()[2:]) for p in found if done(p))
+
+    def read_table(self, name: str, version: int | None = None) -> DataFrame | None:
+        """A table's last version, or the one asked for; null if there is none."""
+        known = self._versions(name)
+        if known and version in (None, *known):
+            return self.spark.read.parquet(f"{self.path(name)}/v={known[-1] if version is None else version}")
+        return None
+
+    def write_table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = (), keep: int = 2) -> int:
+        """Writes a table's next version and returns its number. Readers see it once it is whole, which a mark in its folder says, and the last ``keep`` versions stay, so plans over the one before
+        still run. A write that ends early leaves the old version the last one; of two writers at once one fails."""
+        known = self._versions(name)
+        fs, here = self._fs(self.path(name))
+        taken = [int(n[2:]) for s in (fs.listStatus(here) if fs.exists(here) else []) if re.fullmatch("v=[0-9]+", n := s.getPath().getName())]
+        number = max(taken, default=0) + 1
+        df.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").partitionBy(*partition_by).parquet(f"{self.path(name)}/v={number}")
+        for old in [v for v in taken if v < number and v not in [*known, number][-keep:]]:
+            self.delete(f"{name}/v={old}")
+        return number
 
 
 def catalog(spark: SparkSession, mode: str | None = None, root: str | None = None, env: Mapping[str, str] | None = None) -> Catalog:
