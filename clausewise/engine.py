@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Config
 from .functions import similarity as sim
 from .operators import auto, clicks, fingerprint, matcher, placement, registry, search
-from .sources import scratch
+from .sources import files, scratch, settings, templates
+from .sources.files import Catalog
+from .sources.llm import LanguageModel
 
 #: What an analysis says of every document.
 RESULT = ("doc_id", "traffic_light", "template_id", "score", "explanation", "path", "our_side", "n_matches", "error")
@@ -118,3 +122,65 @@ def placements(matches: DataFrame, pages: DataFrame, options: placement.Options
 def anchors_from_clicks(clicked: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
     """Anchors of an operator's clicks."""
     return clicks.anchors_from_clicks(clicked, clicks.blocks(lines), pages)
+
+
+class Engine:
+    """One place for all of it: settings, a catalog with templates and replies, and a model. Every method is a function of this package with the engine's own things filled in."""
+
+    def __init__(self, spark: SparkSession, config: Config | None = None, store: Catalog | None = None, model: LanguageModel | None = None):
+        self.spark, self.config = spark, config or Config.from_env()
+        self.store = store or self.config.catalog(spark)
+        self.model = model
+
+    def read(self, root: str, decoders: dict, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+        """(pages, failed) of the files below ``root``: pages with doc_id (a hash of the path), path, page_num, text, words and language; failed with doc_id, path and error."""
+        rows = settled(files.decoded(files.documents(self.spark, root, pattern), decoders).withColumn("doc_id", F.xxhash64("path")))
+        return rows.where("error is null").drop("error"), rows.where("error is not null").select("doc_id", "path", "error")
+
+    def thresholds(self) -> matcher.Decision:
+        return settings.thresholds(self.store)
+
+    def templates(self, language: str | None = None) -> DataFrame:
+        return templates.stored(self.store, language)
+
+    def template(self, template_id: str) -> DataFrame:
+        return templates.stored(self.store).where(F.col("template_id") == template_id)
+
+    def save(self, rows: DataFrame) -> int:
+        return templates.save(self.store, rows)
+
+    def delete(self, template_id: str, stamp: str) -> bool:
+        return templates.delete(self.store, template_id, stamp)
+
+    def add_anchors(self, template_id: str, anchors: DataFrame) -> bool:
+        """Adds anchors (the fields of a stored one) whose id the template lacks; whether there is such a template."""
+        own = self.template(template_id)
+        if own.isEmpty():
+            return False
+        kind = own.schema["anchors"].dataType
+        new = anchors.select(F.struct(*[(F.col(f.name) if f.name in anchors.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.elementType]).alias("a")).agg(F.collect_list("a").alias("_new")).withColumn("template_id", F.lit(template_id))
+        # Each id once, in order; null ids count as one.
+        ids = lambda xs: F.transform(xs, lambda a: F.coalesce(a["id"], F.lit("")))
+        both = own.join(new, "template_id").withColumn("_all", F.concat(F.coalesce("anchors", F.array().cast(kind)), F.col("_new")))
+        once = F.filter("_all", lambda a, i: (i < F.size("anchors")) | (F.array_position(ids(F.col("_all")), F.coalesce(a["id"], F.lit(""))) == i + 1))
+        self.save(settled(both.withColumn("anchors", once).drop("_new", "_all")))
+        return True
+
+    def analyze(self, docs: DataFrame, pages: DataFrame, lines: DataFrame, prompts: Callable[[DataFrame], DataFrame], failed: DataFrame | None = None, synonyms_match: Column | None = None) -> Analysis:
+        """``analyze`` against the stored templates; ``prompts`` takes ids (doc_id) and returns (doc_id, step, prompt) for the model, which is asked for each distinct one once."""
+        known = self.templates()
+
+        def ask(ids: DataFrame) -> DataFrame:
+            asked = settled(prompts(ids))
+            steps = [r["step"] for r in asked.select("step").distinct().orderBy("step").collect()]
+            said = [self.model.complete(asked.where(F.col("step") == s), s).select("doc_id", "step", "raw") for s in steps]
+            return functools.reduce(DataFrame.unionByName, said) if said else self.spark.createDataFrame([], "doc_id long, step string, raw string")
+
+        return analyze(docs, pages, lines, templates.registry(known), templates.anchors(known), ask, self.thresholds(), synonyms_match, failed)
+
+    def placements(self, matches: DataFrame, pages: DataFrame, options: placement.Options = placement.Options()) -> DataFrame:
+        return placements(matches, pages, options)
+
+    def anchors_from_clicks(self, clicked: DataFrame, pages: DataFrame) -> DataFrame:
+        """Anchors of clicks on pages with words."""
+        return clicks.anchors_from_clicks(clicked, clicks.word_blocks(pages), pages)

@@ -73,14 +73,24 @@ def new_version(templates: DataFrame, wanted: DataFrame, created_at: str) -> Dat
     return named.select(*[(fresh[c] if c in fresh else F.col(c)).alias(c) for c in templates.columns])
 
 
-def usage(templates: DataFrame, events: DataFrame) -> DataFrame:
-    """Counters per template from its events (template_id, event, ts); unknown events do nothing."""
+def counted(events: DataFrame) -> DataFrame:
+    """Counters of the templates that events (template_id, event, ts) name; unknown events and null ids do nothing."""
     n = lambda e: F.count_if(F.col("event") == e)
-    counts = events.groupBy("template_id").agg(n("applied").alias("times_applied"), n("confirmed").alias("times_confirmed"), n("rejected").alias("times_rejected"), F.max(F.when(F.col("event") == "applied", F.col("ts"))).alias("last_used"))
+    named = events.where("template_id is not null")
+    return named.groupBy("template_id").agg(n("applied").alias("times_applied"), n("confirmed").alias("times_confirmed"), n("rejected").alias("times_rejected"), F.max(F.when(F.col("event") == "applied", F.col("ts"))).alias("last_used"))
+
+
+def with_counts(templates: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every template with its counters, 0 where there are none."""
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return templates.select("template_id").join(counts, "template_id", "left").select("template_id", zero("times_applied"), zero("times_confirmed"), zero("times_rejected"), "last_used")
 
 
+def usage(templates: DataFrame, events: DataFrame) -> DataFrame:
+    """Counters per template from its events (template_id, event, ts); unknown events do nothing."""
+    return with_counts(templates, counted(events))
+
+
 def aliases_of(aliases: Column, language: Column) -> Column:
     """Values of array<struct<language, value>> for a language; all of them where it has none. Blank ones go."""
     full = F.filter(aliases, lambda a: F.trim(a["value"]) != "")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flow, language, matching, parties, searching, words
+from . import exported, flow, language, matching, parties, searching, words
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (matching, searching, words, parties, language, flow)
+MODULES = (matching, searching, words, parties, language, flow, exported)
 
 
 def queries() -> dict[str, Query]:
