@@ -51,6 +51,11 @@ def touches(a: Column, b: Column) -> Column:
 RECTS = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
 
 
+def low(text: Column) -> Column:
+    """Lower case of the same length: the one letter whose lower case is longer loses its dot."""
+    return F.lower(F.translate(text, "İ", "i"))
+
+
 def _occurrences(text: Column, needle: Column, each) -> Column:
     """``each(offset, size)`` of a needle's occurrences, left to right without overlaps; none of an empty needle."""
     size = F.length(needle)
@@ -66,7 +71,7 @@ def on_lines(page_lines: Column):
     """Search on monospaced lines: a text on one line, letter case apart."""
 
     def find(needle: Column) -> Column:
-        on_line = lambda line, row: F.coalesce(_occurrences(F.lower(line), F.lower(needle), lambda c, _: box(row, c, F.length(needle))), F.array().cast(RECTS))
+        on_line = lambda line, row: F.coalesce(_occurrences(low(line), low(needle), lambda c, _: box(row, c, F.length(needle))), F.array().cast(RECTS))
         return F.when(F.length(needle) > 0, F.flatten(F.transform(page_lines, on_line))).otherwise(F.array().cast(RECTS))
 
     return find
@@ -78,9 +83,9 @@ GAP = "\x1f"
 
 def word_index(words: Column) -> Column:
     """What ``on_words`` searches: struct<text, words>, the words of array<struct<text, x0, y0, x1, y1>> in lower case and packed into one text."""
-    low = F.transform(words, lambda w: F.translate(F.lower(w["text"]), GAP, " "))
-    boxes = F.zip_with(low, words, lambda t, w: F.struct(F.length(t).alias("size"), *[w[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
-    return let(F.struct(low.alias("low"), boxes.alias("boxes")), lambda b: F.struct(F.array_join(b["low"], GAP).alias("text"), b["boxes"].alias("words")))
+    plain = F.transform(words, lambda w: F.translate(low(w["text"]), GAP, " "))
+    boxes = F.zip_with(plain, words, lambda t, w: F.struct(F.length(t).alias("size"), *[w[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    return let(F.struct(plain.alias("low"), boxes.alias("boxes")), lambda b: F.struct(F.array_join(b["low"], GAP).alias("text"), b["boxes"].alias("words")))
 
 
 def on_words(index: Column):
@@ -91,7 +96,7 @@ def on_words(index: Column):
     """
 
     def find(needle: Column) -> Column:
-        plain = F.translate(strip(squeeze(F.lower(needle))), " ", GAP)
+        plain = F.translate(strip(squeeze(low(needle))), " ", GAP)
 
         def rects(text, words, wanted):
             gaps = lambda t: F.length(t) - F.length(F.replace(t, F.lit(GAP), F.lit("")))

@@ -146,3 +146,21 @@ def test_ink(spark):
     assert c(0.25, 120, 100, 1000, 1000) == (1.0, [])
     got = c(0.26, 100, 100, 110, 110)
     assert math.isclose(got[0], 0.0) and got[1] == ["dense", "narrow", "whole"]
+
+
+def test_stored_hashes(spark):
+    from clausewise.functions import similarity as sim
+
+    known = {
+        "12": 12, " +7 ": 7, "-5": -5, "18446744073709551615": -1, "18446744073709551616": None, "9223372036854775808": -(1 << 63), "-9223372036854775809": None, "1_000": 1000, "1__0": None, "_1": None, "0x1f": 31, "0X_1f": 31, "ff": 255,
+        "f_f": 255, "ffffffffffffffff": -1, "1ffffffffffffffff": None, "0x0000000000000000ff": 255, "": None, "zz": None, "9" * 60: None, "00ff": 255,
+    }
+    rows = spark.createDataFrame([(k,) for k in known], "t string").select("t", sim.parse_simhash(F.col("t")).alias("h")).collect()
+    assert {r["t"]: r["h"] for r in rows} == known
+
+
+def test_boxes_behind_a_letter_with_a_longer_lower_case(spark):
+    from clausewise.functions import geometry as geo
+
+    row = spark.range(1).select(geo.on_lines(F.array(F.lit("İİ Lessor: ___")))(F.lit("lessor")).alias("a"), geo.on_lines(F.array(F.lit("x İstanbul")))(F.lit("İSTANBUL")).alias("b")).first()
+    assert [(r["x0"], r["x1"]) for r in row["a"]] == [(65.0, 95.0)] and [(r["x0"], r["x1"]) for r in row["b"]] == [(60.0, 100.0)]
