@@ -22,8 +22,8 @@ the executors, so no text is shuffled. Scoring is one narrow pass with a model o
 Defined results. Null and empty texts have no evidence and get the score of that. Null ids are never
 learned from. An id counts once: of its labels those of the majority (toxic if even), of its texts that with the least
 hash; null labels do not count. Without labels of both kinds
-the score is the share of toxic labels (0 without any). Repeated rows are scored alike; clashing extra
-columns are ignored.
+the score is the share of toxic labels (0 without any). Repeated rows and ties are scored alike; very long texts are scanned whole, word hashes of a megabyte at a time; an empty
+table has no rows, and learned from it every score is that share. Other columns are kept; those named score, predicted and passages are replaced.
 """
 
 from __future__ import annotations

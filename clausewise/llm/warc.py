@@ -15,8 +15,8 @@ Files are reached through Arrow's file systems by URI, on the folder of ``spark.
 
 Defined results. A null html has the empty payload. A null url leaves the target URI out. A null page id
 is written as such and is never a response to others unless all ids of its group are null; rows that repeat
-id and payload are all responses if they hold the largest id. Other columns are ignored; an empty table has
-an empty index.
+id and payload are all responses if they hold the largest id; there are no other ties. A payload longer than ``CHUNK`` is read in one piece of its own
+and held whole by one task. Other columns are ignored; an empty table has an empty index.
 """
 
 from __future__ import annotations
