@@ -13,6 +13,7 @@ from ..functions import geometry as geo
 from ..functions import literals as li
 from ..functions import patterns as pt
 from ..functions import text as tx
+from ..sources import scratch
 from . import auto
 from . import search as se
 
@@ -41,6 +42,7 @@ def find_parties(pages: DataFrame, parties: DataFrame, rivals: bool = False, mos
     listed = parties.select("party_id", F.posexplode(F.filter("patterns", lambda p: p.isNotNull())).alias("pattern_idx", "pattern"))
     able = listed.withColumns({"java": pt.java(F.col("pattern")), "allowed": F.get(auto.admissible(F.array("pattern")), F.lit(0)), "literal": pt.required_text("pattern")}).where("java is not null and allowed").drop("allowed")
     able = able.withColumn("id", F.when(F.col("literal").isNull(), F.lit(EVERY).cast("long")).otherwise(_id(F.col("literal"))))
+    able = scratch.written(able, "patterns")  # translated once
     hits = li.occurring(rows, PAGE, "text", able.where("literal is not null").select("id", "literal"), most_bytes)
     if not able.where("literal is null").isEmpty():
         hits = hits.unionByName(rows.select(*PAGE, F.lit(EVERY).cast("long").alias("id")))
