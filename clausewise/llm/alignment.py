@@ -9,7 +9,7 @@ the token of B in which each token of A starts, a range join the tokens of B tha
 units' sums and pairs are then added up for each document by how often it holds each unit.
 
 Every batch also returns one row of partial counts: in how many of its documents each pair of ids is linked. Documents with their pairs and partial counts are written once;
-Spark adds the counts up, finds each A id's best, and a second pass over the written pairs sums them for each document. Up to ``PAIRS`` counted pairs (12 bytes each) are sent to the
+Spark adds the counts up, finds each A id's best, and a second pass over the written pairs sums them for each document. Up to ``PAIRS`` counted pairs (17 bytes each) are sent to the
 executors for that, after counting them; beyond, the pairs are joined: those held by more than one of ``HOT`` shares of all rows, at most so many, by broadcast, the others by a shuffle.
 
 Defined results. A text has no tokens, and zeros in all columns, if it is null or empty or if the bytes of either tokenizer's tokens, joined, are not a space and the text (B turns U+2581 into a
