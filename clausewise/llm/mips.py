@@ -6,16 +6,18 @@ products. Assignments descend coordinate by coordinate; codewords solve the weig
 in ``SWEEPS`` passes, so the driver's memory is in proportion to the fitted vectors whatever their length. The codebooks are fitted
 on at most ``SAMPLE`` vectors and ``FITTED`` bytes of them (those with the least hash of their id).
 
-Index. Every distinct vector is encoded once, four bits a subspace, two to a byte; equal vectors are one entry that
-stands for its ``k`` + 1 least ids, so a vector that very many rows share neither crowds others out nor costs more.
+Index. The direction of every distinct vector is encoded once, four bits a subspace, two to a byte; its length and the length of what the
+code leaves out stand beside it. Equal vectors are one entry that stands for its ``k`` + 1 least ids, so a vector that very many rows share neither
+crowds others out nor costs more.
 
 Search. Queries and codes meet in cells of a query block and a code block. In a cell each query scans the packed codes
-through its table (one lookup a byte) and keeps the best, its share of ``rerank`` with six deviations to spare; over all cells its ``rerank`` best are kept, with a limit per group before
-the shuffle. Their vectors are joined, the exact inner products in double precision rank them, and the ``k`` best rows stay.
+through its table (one lookup a byte); the ``rerank`` best by the codes are scored exactly and set a mark. By Cauchy-Schwarz a row's product is at most its
+rough score and the query's length times what the code left out: rows whose bound reaches the mark are scored exactly too, so no row is missed, however alike or
+unevenly long the vectors are. Over all cells the best ``KEPT`` times ``k`` + 1 are ranked by the exact inner products in double precision, and the ``k`` best rows stay.
 
-Scale. A stated query set meets all rows in blocks: what travels to every block of queries are codes (a byte for four
-dimensions), and what travels to every block of codes are queries. Blocks grow with the data up to ``QUERIES`` and ``CANDIDATES`` and, for long
-vectors, up to ``ASKED`` and ``CODED`` bytes, which bounds a cell; a vector is shuffled once to be fetched and once for each short list it is on.
+Scale. A stated query set meets all rows in blocks: what travels to every block of queries are vectors with their codes, and what travels to every block of codes are queries.
+Blocks grow with the data up to ``QUERIES`` and ``CANDIDATES`` and up to ``ASKED`` and ``CODED`` bytes, which bounds a cell. Where the codes say little (near copies in
+large numbers, products that are all alike) a query scores most rows exactly, as a matrix product of some queries at once: time, not memory, then grows.
 
 Defined results. Vectors that are null, zero, of another than the commonest length (the longer on ties; their product with the rest is
 not defined) or that hold null or non-finite components take no part, nor do null ids; very long ones only cost more. A query's own id is no candidate.
@@ -41,16 +43,18 @@ FITTED = 32 << 20
 THRESHOLD = 0.2
 ROUNDS = 4
 SWEEPS = 3
-#: Vectors reranked exactly for a query over a table of ``USUAL`` rows; more for larger tables, as the ``POWER`` of their size.
-RERANK, USUAL, POWER = 400, 50_000, 0.4
-#: Most codes and queries in a cell (some 40 and 600 bytes each), and how many are looked at together.
+#: Vectors of a cell that set a query's mark; how many times the results asked for a cell returns (room for rounding).
+RERANK, KEPT = 400, 2
+#: Most codes and queries in a cell.
 CANDIDATES = 1 << 20
 QUERIES = 1 << 14
-#: Most bytes of query vectors and of codes in a cell.
+#: Most bytes of query vectors and of vectors with their codes in a cell.
 ASKED, CODED = 16 << 20, 64 << 20
-#: Code bytes that are scanned together, and distances to codewords that are held together.
+#: Code bytes that are scanned together, distances to codewords and rough scores that are held together.
 SCAN = 1 << 20
 HELD = 1 << 21
+#: The share of a group's scores from which they are one matrix product.
+DENSE = 0.05
 #: Most bytes of query vectors that are sent to all executors for reranking; more are joined by shuffle.
 SENT = 16 << 20
 
@@ -92,6 +96,10 @@ class Index:
                 rest = without - hit[:, m]
         return code
 
+    def decode(self, code):
+        """The vectors that codes stand for."""
+        return self.books[np.arange(self.books.shape[0]), code].reshape(len(code), -1)[:, : self.dim]
+
     def pack(self, code):
         """Two codes to a byte: (n, ceil(subspaces / 2)) uint8."""
         if code.shape[1] % 2:
@@ -141,27 +149,59 @@ def _vectors(column, dim):
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def scan(index, q, packed, rerank):
-    """The ``rerank`` best rows of the packed codes for each query, by rough score: (query, row, score)."""
-    out, step = [], max(256, SCAN // packed.shape[1])
-    for lo in range(0, len(q), 64):
-        table, best = index.tables(q[lo : lo + 64]), [None] * min(64, len(q) - lo)
-        for begin in range(0, len(packed), step):
-            columns = np.ascontiguousarray(packed[begin : begin + step].T).astype(np.int64)
-            for row in range(len(table)):
-                rough = table[row, 0][columns[0]]
-                for b in range(1, len(columns)):
-                    rough += table[row, b][columns[b]]
-                top = np.argpartition(-rough, rerank)[:rerank] if len(rough) > rerank else np.arange(len(rough))
-                at, score = begin + top, rough[top]
-                if best[row] is not None:
-                    at, score = np.append(best[row][0], at), np.append(best[row][1], score)
-                    if len(at) > rerank:
-                        top = np.argpartition(-score, rerank)[:rerank]
-                        at, score = at[top], score[top]
-                best[row] = at, score
-        out += [(np.full(len(at), lo + row), at, score) for row, (at, score) in enumerate(best)]
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+def _lengths(x):
+    """Norms of the rows; squares neither overflow nor vanish."""
+    most = np.abs(x).max(axis=1, initial=0.0)
+    return most * np.sqrt(((x / np.where(most > 0, most, 1.0)[:, None]) ** 2).sum(axis=1))
+
+
+def _rough(table, packed):
+    """Sums of the tables over the packed codes: (queries, rows)."""
+    out, step = np.empty((len(table), len(packed)), np.float32), max(256, SCAN // packed.shape[1])
+    for begin in range(0, len(packed), step):
+        columns = np.ascontiguousarray(packed[begin : begin + step].T).astype(np.int64)
+        for row in range(len(table)):
+            rough = table[row, 0][columns[0]]
+            for b in range(1, len(columns)):
+                rough += table[row, b][columns[b]]
+            out[row, begin : begin + step] = rough
+    return out
+
+
+def search(index, q, packed, length, left_out, x, ids, rerank, keep):
+    """The ``keep`` best rows of ``x`` for each query by inner product, ties by id: (query, row, score).
+
+    ``length`` and ``left_out`` are the rows' norms and those of what their codes leave out.
+    """
+    out, group = [], max(1, min(64, HELD // len(packed)))
+    for lo in range(0, len(q), group):
+        asked = q[lo : lo + group]
+        size = _lengths(asked)
+        rough = _rough(index.tables(asked / size[:, None]), packed)
+        need = np.ones(rough.shape, dtype=bool)
+        if len(packed) > rerank:
+            for row, guess in enumerate(rough):
+                guess = guess * length
+                top = np.argpartition(-guess, rerank)[:rerank]
+                mark = np.partition(x[top] @ asked[row], rerank - keep)[rerank - keep]
+                need[row] = (guess + left_out) * size[row] >= mark
+        some = np.flatnonzero(need.any(axis=0))
+        dense = need.sum() > DENSE * len(some) * len(asked)
+        if dense:
+            scores = asked @ (x if len(some) == len(x) else x[some]).T
+        for row in range(len(asked)):
+            if dense:
+                inside = np.flatnonzero(need[row, some])
+                at, score = some[inside], scores[row, inside]
+            else:
+                at = np.flatnonzero(need[row])
+                score = x[at] @ asked[row]
+            if len(at) > keep:
+                best = np.flatnonzero(score >= np.partition(score, len(at) - keep)[len(at) - keep])
+                at, score = at[best], score[best]
+            first = np.lexsort((ids[at], -score))[:keep]
+            out.append((np.full(len(first), lo + row), at[first], score[first]))
+    return [np.concatenate(part) for part in zip(*out, strict=True)]
 
 
 def _encoder(index):
@@ -169,21 +209,31 @@ def _encoder(index):
         model = index.value
         for batch in batches:
             if batch.num_rows:
-                code = model.pack(model.encode(_vectors(batch.column("v"), model.dim)))
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "a": batch.column("a"), "b": batch.column("b"), "code": pa.array([c.tobytes() for c in code], pa.binary())})
+                x = _vectors(batch.column("v"), model.dim)
+                length = _lengths(x)
+                unit = x / length[:, None]
+                code = model.encode(unit)
+                seen = model.decode(code)
+                # The sums of the tables are rounded to single precision, a term for each subspace.
+                rounding = 2e-7 * (code.shape[1] + 4) * np.maximum(1.0, np.sqrt((seen * seen).sum(axis=1)))
+                left_out = length * (np.sqrt(((unit - seen) ** 2).sum(axis=1)) + rounding)
+                own = {c: batch.column(c) for c in ("id", "a", "b", "v")}
+                yield pa.RecordBatch.from_pydict(own | {"length": length, "left_out": left_out, "code": pa.array([c.tobytes() for c in model.pack(code)], pa.binary())})
 
     return job
 
 
-def _cell(index, rerank):
+def _cell(index, rerank, keep):
     def job(queries: pa.Table, codes: pa.Table) -> pa.Table:
-        model, columns = index.value, ("query_id", "qa", "qb")
+        model, columns, own = index.value, ("query_id", "qa", "qb"), ("a", "b", "id")
         if not queries.num_rows or not codes.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in (*columns, "a", "b")} | {"rough": pa.array([], pa.float32())})
+            return pa.table({c: pa.array([], pa.int64()) for c in (*columns, *own)} | {"near": pa.array([], pa.float64())})
         packed = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(codes.num_rows, -1)
-        row, at, rough = scan(model, _vectors(queries.column("v").combine_chunks(), model.dim), packed, rerank)
-        found = {c: queries.column(c).to_numpy()[row] for c in columns} | {c: codes.column(c).to_numpy()[at] for c in ("a", "b")}
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in found.items()} | {"rough": pa.array(rough, pa.float32())})
+        q, x = (_vectors(side.column("v").combine_chunks(), model.dim) for side in (queries, codes))
+        length, left_out, ids = (codes.column(c).to_numpy() for c in ("length", "left_out", "id"))
+        row, at, near = search(model, q, packed, length, left_out, x, ids, rerank, keep)
+        found = {c: queries.column(c).to_numpy()[row] for c in columns} | {c: codes.column(c).to_numpy()[at] for c in own}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in found.items()} | {"near": pa.array(near, pa.float64())})
 
     return job
 
@@ -219,11 +269,11 @@ def mips_search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(rows.select("v").first()["v"])
     sample = max(CODES, min(sample, FITTED // (8 * dim)))
-    queries, candidates = min(queries, max(64, ASKED // (8 * dim))), min(candidates, max(4096, CODED // (40 + dim // 4)))
+    queries, candidates = min(queries, max(64, ASKED // (8 * dim))), min(candidates, max(256, CODED // (60 + 9 * dim)))
     known = rows.orderBy(F.xxhash64("id"), "id", "a").limit(sample).select("v").toArrow().column("v").combine_chunks()
     x = known.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(known), -1)
-    index = spark.sparkContext.broadcast(fit(x))
-    codes = rows.select("id", "a", "b", "v").mapInArrow(_encoder(index), "id long, a long, b long, code binary")
+    index = spark.sparkContext.broadcast(fit(x / _lengths(x)[:, None]))
+    codes = rows.select("id", "a", "b", "v").mapInArrow(_encoder(index), "id long, a long, b long, v array<double>, length double, left_out double, code binary")
     nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))
     entries = cut(codes.withColumn("nth", nth).where(F.col("nth") <= k + 1), "codes")
     members = entries.select("a", "b", F.col("id").alias("vec_id"))
@@ -232,14 +282,12 @@ def mips_search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     every_of = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     left = asked.withColumn("x", block(q_blocks, 1, "query_id", "qa")).withColumn("y", every_of(c_blocks)).groupBy("x", "y")
     right = entries.where("nth = 1").withColumn("y", block(c_blocks, 2, "a")).withColumn("x", every_of(q_blocks)).groupBy("x", "y")
-    # Codes are dealt by hash, so a block holds its share of the best ones; six deviations are added to it.
-    rerank = math.ceil(rerank * max(1.0, n / USUAL) ** POWER)
-    own = min(rerank, math.ceil(rerank / c_blocks + 6 * math.sqrt(rerank / c_blocks) + 10))
-    found = left.cogroup(right).applyInArrow(_cell(index, own), "query_id long, qa long, qb long, a long, b long, rough float")
+    keep = KEPT * (k + 1)
+    found = left.cogroup(right).applyInArrow(_cell(index, max(rerank, keep), keep), "query_id long, qa long, qb long, a long, b long, id long, near double")
     query = ("query_id", "qa", "qb")
     place = lambda *order: F.row_number().over(Window.partitionBy(*query).orderBy(*order))
-    short = found.withColumn("place", place(F.desc("rough"), "a", "b")).where(F.col("place") <= rerank).select(*query, "a", "b")
-    distinct = rows.groupBy("a", "b").agg(F.first("v").alias("v"), F.min("id").alias("least"))
+    short = found.withColumn("place", place(F.desc("near"), "id")).where(F.col("place") <= keep).select(*query, "a", "b")
+    distinct = entries.where("nth = 1").select("a", "b", "v", F.col("id").alias("least"))
     product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
     asking = asked.withColumnRenamed("v", "q")
     asking = F.broadcast(asking) if m * dim * 8 <= SENT else asking

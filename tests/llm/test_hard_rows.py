@@ -85,6 +85,28 @@ def test_long_vectors_are_found_in_bounded_cells(spark, monkeypatch):
     assert len(got) == 150 and np.mean([len(set(best[:, q // 60]) & set(part.vec_id)) / 10 for q, part in got.groupby("query_id")]) > 0.95
 
 
+@pytest.mark.parametrize("kind", ["lengths", "near copies", "one axis", "whole numbers"])
+def test_vectors_of_any_shape_are_all_found(spark, kind):
+    """Lengths of many orders, clusters of near copies, one large component, products that tie: none of the nearest is missed."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(4000, 32))
+    if kind == "lengths":
+        x *= np.exp(3 * r.normal(size=(4000, 1)))
+    elif kind == "near copies":
+        x = r.normal(size=(4, 32))[r.integers(0, 4, 4000)] + 1e-3 * x
+    elif kind == "one axis":
+        x[:, 0] = 100 + 0.01 * x[:, 0]
+    else:
+        x = r.integers(-1, 2, size=(4000, 32)).astype(float)
+        x[:, 0] = 1
+    got = mips.mips_search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=200, k=20).toPandas()
+    assert len(got) == 20 * 20
+    for q, part in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert part.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(4000), -score))[:20].tolist()
+
+
 def test_words_of_equal_structure_differ(spark):
     """Thue-Morse words: polynomials modulo a power of two cannot tell them apart."""
     data, offsets = tx.column_bytes(pa.array([" ".join(TWINS)]))
