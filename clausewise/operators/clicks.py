@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as geo
 from ..functions import text as tx
-from ..sources.contracts import box
+from ..sources.contracts import SIDES, box
 from .search import page_hint
 
 NEAR, ROW, FAR, UNDERLINE = 30.0, 10.0, 200.0, 50.0
@@ -19,17 +22,34 @@ def blocks(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "page_num", F.col("line_in_page").alias("block_no"), F.col("line").alias("text"), box(F.col("line_in_page"), F.lit(0), F.length("line")).alias("r"))
 
 
+_RECT = T.StructType([T.StructField(c, T.DoubleType()) for c in SIDES])
+BLOCKS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("r", _RECT)]))
+
+
+@F.arrow_udf(BLOCKS)
+def _blocks(words: pa.Array) -> pa.Array:
+    """The lines of pages of words, in reading order."""
+    sizes, every = words.value_lengths().fill_null(0).to_numpy(), words.flatten()
+    box = {c: every.field(c).to_numpy(zero_copy_only=False) for c in SIDES} if len(every) else {c: np.zeros(0) for c in SIDES}
+    middle = (box["y0"] + box["y1"]) / 2
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    opens = np.ones(len(page), dtype=bool)
+    opens[1:] = (page[1:] != page[:-1]) | ~((np.abs(middle[:-1] - middle[1:]) <= geo.SAME_LINE) & (box["x0"][1:] >= box["x0"][:-1]))
+    first = np.flatnonzero(opens)
+    texts, ends = every.field("text").to_pylist() if len(every) else [], np.append(first[1:], len(page))[: len(first)]
+    joined = pa.array([" ".join([t for t in texts[lo:hi] if t is not None]) for lo, hi in zip(first.tolist(), ends.tolist(), strict=True)], pa.string())
+    # The least and greatest of a line, null sides apart.
+    ends_of = {c: (np.fmin if c.endswith("0") else np.fmax).reduceat(box[c], first) if len(first) else np.zeros(0) for c in SIDES}
+    r = pa.StructArray.from_arrays([pa.array(ends_of[c], pa.float64(), from_pandas=True) for c in SIDES], names=list(SIDES))
+    rows = pa.StructArray.from_arrays([joined, r], names=["text", "r"])
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(page[first], minlength=len(sizes)))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+
 def word_blocks(pages: DataFrame) -> DataFrame:
-    """``blocks`` from a decoder's words: those that follow each other to the right on one height are a line."""
-    rows = pages.select("doc_id", "page_num", F.posexplode("words").alias("at", "w"))
-    on = Window.partitionBy("doc_id", "page_num").orderBy("at")
-    before = F.lag("w").over(on)
-    opens = F.coalesce(~((F.abs(geo.centre_y(before) - geo.centre_y(F.col("w"))) <= geo.SAME_LINE) & (F.col("w.x0") >= before["x0"])), F.lit(True))
-    rows = rows.withColumn("opens", opens).withColumn("block_no", (F.sum(F.col("opens").cast("int")).over(on) - 1).cast("int"))
-    found = rows.groupBy("doc_id", "page_num", "block_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("w.text").alias("t")))), lambda x: x["t"]), " ").alias("text"), *[f(f"w.{c}").alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
-    )
-    return found.select("doc_id", "page_num", "block_no", "text", geo.rect(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("r"))
+    """``blocks`` from a decoder's words: those that follow each other to the right on one height are a line. A projection of the pages, in linear time."""
+    words = F.transform("words", lambda w: F.struct(w["text"].alias("text"), *[w[c].cast("double").alias(c) for c in SIDES]))
+    return pages.select("doc_id", "page_num", F.posexplode(_blocks(words)).alias("block_no", "b")).select("doc_id", "page_num", "block_no", "b.text", "b.r")
 
 
 def _levels(clicks: DataFrame, found: DataFrame) -> DataFrame:
