@@ -34,11 +34,16 @@ class Party:
     other_aliases: tuple[str, ...] = field(default=())
 
 
-def admissible(pattern: str) -> bool:
-    """Not a backward pattern over several lines (line first, then any text), and one that can run."""
+def forward(pattern: str) -> bool:
+    """Not a backward pattern over several lines (line first, then any text)."""
     bare = re.sub(r"^\(\?:", "", pattern)
     backward = bare.startswith(("_", "\\.", "."))
-    return not (backward and ("\\s\\S" in pattern or "\\S\\s" in pattern)) and pt.valid(pattern)
+    return not (backward and ("\\s\\S" in pattern or "\\S\\s" in pattern))
+
+
+def admissible(pattern: str) -> bool:
+    """``forward``, and one that can run."""
+    return forward(pattern) and pt.valid(pattern)
 
 
 def party_tokens(party: Party, spark: SparkSession) -> Column:

@@ -64,3 +64,44 @@ def test_first_known_party_by_position(spark):
     assert sorted((r["name_id"], r["party_id"] or 0) for r in out.collect()) == [(1, 20), (1, 30), (2, 10), (3, 20), (4, 0), (5, 0), (6, 0), (7, 30)]
     plain = spark.createDataFrame([(i, n) for i, n in names if n], "name_id long, name string")
     assert sorted((r["name_id"], r["party_id"] or 0) for r in ps.known_parties(plain, spark.createDataFrame(parties, "party_id long, pos int, name string, aliases array<string>"), 5).collect()) == [(1, 20), (1, 30), (2, 10), (3, 20), (4, 0), (7, 30)]
+
+
+def test_many_literals_are_joined(spark):
+    """Beyond the automaton rows and literals are joined: no row meets every shard of 60 bytes, which took rows times shards."""
+    import time
+
+    literals = [(i, f"Firm{i} {'x' * (i % 9)}") for i in range(20_000)]
+    texts = [(k, f"between FIRM{k * 7} and firm{k} xxx or firm{k}") for k in range(2_000)]
+    begin = time.perf_counter()
+    out = {(r["k"], r["id"]) for r in li.occurring(spark.createDataFrame(texts, "k int, t string"), ["k"], "t", spark.createDataFrame(literals, "id long, literal string"), 60).collect()}
+    assert time.perf_counter() - begin < 60
+    own = {li.folded(t): i for i, t in literals}
+    sizes = {len(t) for t in own}
+    assert out == {(k, own[t[i : i + n]]) for k, t in ((k, li.folded(t)) for k, t in texts) for n in sizes for i in range(len(t) - n + 1) if t[i : i + n] in own} and len(out) > 1_000
+
+
+def test_windows_of_texts_apart_are_none():
+    """A window never runs from one text into the next, and a text longer than what is hashed at once is whole."""
+    words, bits = [(1 << 64) - 1] * 1024, 16
+    import numpy as np
+
+    full = np.array(words, np.uint64)
+    assert li._likely(["ab", "", "cde"], [2, 3], full, bits) == {(0, "ab"), (2, "cd"), (2, "de"), (2, "cde")}
+    assert list(li._at_once(["x" * (li.AT_ONCE + 5), "y", "z"])) == [(0, 1), (1, 3)]
+
+
+def test_patterns_are_parsed_once(monkeypatch):
+    calls = []
+    parse = pt.parser.parse
+    monkeypatch.setattr(pt.parser, "parse", lambda *a, **k: calls.append(a) or parse(*a, **k))
+    assert pt.translated_and_required("Tenant Acme: _{3,}") == (pt.FLAGS + r"Tenant\x{20}Acme\x{3A}\x{20}(?:\x{5F}){3,}", "Tenant Acme: ") and len(calls) == 1
+
+
+@pytest.mark.parametrize("rivals", [False, True])
+def test_parties_alike_but_for_their_id(spark, rivals):
+    pages = spark.createDataFrame([(1, 0, "Tenant Acme: _____ /x/\nOwner Beta: ______\n"), (2, 0, "Tenant Acme: _____\n")], "doc_id long, page_num int, text string")
+    one = lambda i, name, role: (i, [f"{role} {name}: _{{3,}}"], [name], "", None)
+    table = [one(1, "Acme", "Tenant"), one(2, "Beta", "Owner"), one(3, "Acme", "Tenant"), one(4, "Acme", "Tenant")]
+    out = ps.find_parties(pages, spark.createDataFrame(table, "party_id long, patterns array<string>, aliases array<string>, signer string, other_aliases array<string>"), rivals).collect()
+    # With rivals, each of the three stands in the others' way, as they have one name.
+    assert sorted((r["doc_id"], r["party_id"]) for r in out) == ([(1, 2)] if rivals else [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4)])
