@@ -38,8 +38,11 @@ class Analysis:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Rows that are computed once, model calls included."""
-    return scratch.written(df, "settled")
+    """Rows that are computed once, model calls included.
+
+    They are joined by shuffles: files hold ids and a few distinct values in so little room that Spark takes rows of all documents for small and sends them through the driver.
+    """
+    return scratch.written(df, "settled").hint("merge")
 
 
 def decide(docs: DataFrame, pages: DataFrame, lines: DataFrame, templates: DataFrame, decision: matcher.Decision = matcher.Decision(), synonyms_match: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +51,7 @@ def decide(docs: DataFrame, pages: DataFrame, lines: DataFrame, templates: DataF
     docs: doc_id, language, is_template; templates: template_id, t_name, t_created_at and the t_ columns of the fingerprint.
     ``synonyms_match`` compares our party with a template's (an expression over the templates' columns); without it all fit.
     """
-    found = settled(fingerprint.fingerprints(docs, pages, lines).withColumn("unit_pages", sim.unit(F.col("chars_per_page"))))
+    found = scratch.written(fingerprint.fingerprints(docs, pages, lines).withColumn("unit_pages", sim.unit(F.col("chars_per_page"))), "settled")
     pairs = matcher.shortlisted(found, templates.withColumn("synonyms_match", F.lit(True) if synonyms_match is None else synonyms_match), decision)
     return matcher.summary(matcher.decisions(found, matcher.ranked(matcher.scored(pairs), decision), decision)), found
 
@@ -73,7 +76,7 @@ def analyze(
     chosen = decided.where("traffic_light = 'green'").select("doc_id", "template_id")
     by_template = settled(apply_templates(pages, chosen, anchors).select(*BOXES))
     done = by_template.groupBy("doc_id").agg(F.count("*").alias("n_template"))
-    rest = decided.select("doc_id").join(done, "doc_id", "left_anti")
+    rest = decided.select("doc_id").join(done, "doc_id", "left_anti").hint("merge")
     replies = rest.join(settled(ask(rest)), "doc_id", "left").select("doc_id", F.coalesce("step", F.lit("none")).alias("step"), "raw")
     sides = settled(auto.sides(replies))
     by_model = settled(auto.matches(pages, sides).select(*BOXES))

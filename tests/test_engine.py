@@ -96,3 +96,11 @@ def test_functions_of_sql(spark):
     assert spark.sql("SELECT * FROM signature_spans('a', '(')").count() == 0
     row = spark.sql("SELECT java_pattern('([') AS j, masked_key('a-b-c-d') AS k, simhash_similarity(1, 3) AS s, page_similarity(2, 4) AS p, signature_line('..... x') AS l").first()
     assert tuple(row) == (None, "a-b-c-***", 1 - 1 / 64, 0.5, True)
+
+
+def test_settled_rows_are_not_sent_through_the_driver(spark):
+    """Files of ids and few distinct values are small, their rows of many documents are not: by the files' size they were broadcast."""
+    rows = engine.settled(spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x" * 300).alias("side")))
+    other = spark.range(100).select(F.col("id").alias("doc_id"))
+    for joined in (other.join(rows.where("doc_id % 2 = 0").select("doc_id"), "doc_id", "left_semi"), other.join(rows.groupBy("doc_id").agg(F.max("side").alias("s")), "doc_id", "left")):
+        assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString() and joined.count() in (50, 100)
